@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination
+from . import decontamination, simhash
 
 
 def op10_decontamination(spark, sf_dir):
@@ -11,7 +11,12 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.digest(found)
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.digest(simhash.components_within(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op10_decontamination": op10_decontamination,
 }
 
