@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination, simhash
+from . import decontamination, simhash, token_counts, wfst
 
 
 def op10_decontamination(spark, sf_dir):
@@ -11,11 +11,28 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.digest(found)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on the driver; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op5_sentencepiece(spark, sf_dir):
+    return wfst.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.digest(simhash.components_within(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op10_decontamination": op10_decontamination,
 }
