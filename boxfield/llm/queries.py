@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination, simhash, token_counts, wfst
+from . import decontamination, quality_rules, simhash, token_counts, wfst
 
 
 def op10_decontamination(spark, sf_dir):
@@ -30,7 +30,12 @@ def op6_simhash(spark, sf_dir):
     return simhash.digest(simhash.components_within(table(spark, sf_dir, "documents")))
 
 
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
@@ -40,7 +45,26 @@ QUERIES = {
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_SPLIT_WORDS = r"'[^\x20\x09-\x0D]+'"
+
 SQL = {
+    "op7_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPLIT_WORDS}) AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+again AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, {_SPLIT_WORDS})),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(dup.n, 0) AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 70 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_upper > word_chars) AS kept
+FROM f""",
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, {_ITEM_WORDS}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, {_ITEM_WORDS}) AS w FROM benchmark WHERE item_id IS NOT NULL),
