@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination, quality_rules, simhash, token_counts, wfst
+from . import decontamination, quality_rules, simhash, token_counts, warc, wfst
 
 
 def op10_decontamination(spark, sf_dir):
@@ -34,7 +34,12 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.digest(warc.write_and_read(table(spark, sf_dir, "pages"))).drop("n_segments", "problem")
+
+
 QUERIES = {
+    "op3_warc": op3_warc,
     "op7_quality_rules": op7_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
@@ -48,6 +53,12 @@ _ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPLIT_WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SQL = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
     "op7_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPLIT_WORDS}) AS w FROM documents),
 wins AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
