@@ -30,14 +30,14 @@ WINDOW = 5
 SAMPLE = 512
 
 
-def repeated_positions(words: list[bytes], window: int = WINDOW) -> int:
-    """Words inside windows of ``window`` words that occur twice or more, first occurrences included."""
+def repeated_mask(words: list[bytes], window: int = WINDOW) -> np.ndarray | None:
+    """Marks the words inside windows of ``window`` words that occur twice or more, first occurrences included; None if there are none."""
     n = len(words) - window + 1
     if n < 2:
-        return 0
+        return None
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     if len(number) == len(words):
-        return 0
+        return None
     ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     # Exact codes of ever longer runs: code of a pair of codes, renumbered from 0.
     code, length = ids, 1
@@ -46,14 +46,18 @@ def repeated_positions(words: list[bytes], window: int = WINDOW) -> int:
         pair = code[: len(code) - step] * (int(code.max()) + 1) + code[step:]
         _, code = np.unique(pair, return_inverse=True)
         length += step
-    again = np.bincount(code)[code] > 1
-    if not again.any():
-        return 0
+    at = np.flatnonzero(np.bincount(code)[code] > 1)
+    if not len(at):
+        return None
     marks = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(again)
     np.add.at(marks, at, 1)
     np.add.at(marks, at + window, -1)
-    return int((np.cumsum(marks[:-1]) > 0).sum())
+    return np.cumsum(marks[:-1]) > 0
+
+
+def repeated_positions(words: list[bytes], window: int = WINDOW) -> int:
+    mask = repeated_mask(words, window)
+    return 0 if mask is None else int(mask.sum())
 
 
 class Features:

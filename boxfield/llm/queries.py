@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination, quality_rules, simhash, token_counts, warc, wfst
+from . import decontamination, quality_crf, quality_rules, simhash, token_counts, toxicity, warc, wfst
 
 
 def op10_decontamination(spark, sf_dir):
@@ -38,7 +38,17 @@ def op3_warc(spark, sf_dir):
     return warc.digest(warc.write_and_read(table(spark, sf_dir, "pages"))).drop("n_segments", "problem")
 
 
+def op8_quality_crf(spark, sf_dir):
+    return quality_crf.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op8_quality_crf": op8_quality_crf,
+    "op9_toxicity": op9_toxicity,
     "op3_warc": op3_warc,
     "op7_quality_rules": op7_quality_rules,
     "op4_token_counts": op4_token_counts,
