@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontamination, quality_crf, quality_rules, simhash, token_counts, toxicity, warc, wfst
+from . import decontamination, licenses, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, warc, wfst
 
 
 def op10_decontamination(spark, sf_dir):
@@ -46,7 +46,18 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_licenses(spark, sf_dir):
+    files = licenses.document_files(table(spark, sf_dir, "documents"))
+    return licenses.licenses(files, keep=["doc_id"])
+
+
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_packing": op2_packing,
     "op8_quality_crf": op8_quality_crf,
     "op9_toxicity": op9_toxicity,
     "op3_warc": op3_warc,
