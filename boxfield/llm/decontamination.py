@@ -195,8 +195,11 @@ def digest(found: DataFrame, doc_id="doc_id") -> DataFrame:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, *, text="text", **options) -> DataFrame:
     """Documents without any benchmark occurrence, with their own columns."""
-    found = spans(docs, benchmark, text=text, keep=list(docs.columns), **options)
-    return found.where(F.size("starts") == 0).select(*(quoted(c) for c in docs.columns))
+    # Numbered names, so that no column of the documents clashes with a result column.
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    found = spans(plain, benchmark, text=names[docs.columns.index(text)], keep=names, **options)
+    return found.where(F.size("starts") == 0).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window=WINDOW) -> list[tuple]:

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from .common import column, text_udf
-from .pieces import PieceModel, Segments
-from .token_counts import read_model
+from .pieces import SPACE, PieceModel, Segments
 
 LENGTH = 4096
 GROUP_BYTES = 16 << 20
@@ -90,9 +90,16 @@ def id_type(model: PieceModel) -> str:
     return "<u2" if len(model.pieces) <= 1 << 16 else "<i4"
 
 
-def encoder(model: PieceModel, kind: str, key: int) -> Segments:
+def encoder(model: PieceModel, data: bytes, kind: str, key: int) -> Segments:
+    """Ids of parts as bytes; a part after a space goes to the library, which puts the same space before it."""
     if key not in _encoders:
-        _encoders[key] = Segments(model, lambda s: np.asarray(model.to_ids(model.merge(s)), kind).tobytes(), b"".join, limit=300_000)
+        library = SentencePieceProcessor(model_proto=data).encode
+
+        def solve(s: str) -> bytes:
+            plain = s[1:] if s[0] == SPACE and SPACE not in s[1:] and len(s) > 1 else None
+            return np.asarray(library(plain) if plain else model.to_ids(model.merge(s)), kind).tobytes()
+
+        _encoders[key] = Segments(model, solve, b"".join, limit=800_000)
     return _encoders[key]
 
 
@@ -102,14 +109,15 @@ def split(ids: bytes, width: int, length: int) -> list[dict]:
     return [{"part": k, "start": at // width, "n": (min(len(ids), at + step) - at) // width, "ids": ids[at : at + step]} for k, at in enumerate(range(0, len(ids), step))]
 
 
-def token_parts(docs: DataFrame, model: PieceModel, *, doc_id="doc_id", text="text", length: int = LENGTH) -> DataFrame:
+def token_parts(docs: DataFrame, data: bytes, *, doc_id="doc_id", text="text", length: int = LENGTH) -> DataFrame:
     """(doc_id, part, start, n, ids) for each part of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = PieceModel(data)
+    sent = docs.sparkSession.sparkContext.broadcast((model, data))
     key = sent._jbroadcast.id()
     kind = id_type(model)
 
     def make():
-        known = encoder(sent.value, kind, key)
+        known = encoder(*sent.value, kind, key)
         width = np.dtype(kind).itemsize
         return lambda batch: {"parts": [split(b"".join(known.values_of(t.decode())), width, length) if t else [] for t in batch]}
 
@@ -119,12 +127,13 @@ def token_parts(docs: DataFrame, model: PieceModel, *, doc_id="doc_id", text="te
 
 def pack(docs: DataFrame, model_path: str, *, doc_id="doc_id", text="text", length: int = LENGTH, pad: int = PAD, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Packed rows (PACKED) of all documents."""
-    model = read_model(model_path)
-    kind = id_type(model)
+    with open(model_path, "rb") as f:
+        data = f.read()
+    kind = id_type(PieceModel(data))
     width = np.dtype(kind).itemsize
     total = docs.agg(F.sum(F.octet_length(column(docs, text).cast("string")))).first()[0] or 0
     groups = -(-total // group_bytes) or 1
-    parts = token_parts(docs, model, doc_id=doc_id, text=text, length=length)
+    parts = token_parts(docs, data, doc_id=doc_id, text=text, length=length)
     # The row number spreads repeated rows and a frequent id over all groups.
     dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     names = ["doc_id", "part", "start", "n", "ids"]

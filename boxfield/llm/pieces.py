@@ -8,13 +8,14 @@ kept for wfst.py; character maps, user-defined pieces) is refused, not guessed.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from functools import cached_property
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-SHORT = 24
+SHORT = 40
 
 
 def fields(data: bytes):
@@ -87,16 +88,16 @@ class PieceModel:
         """Pieces of a normalised text: the best-ranked neighbours are joined first, the leftmost of equals."""
         if len(text) > SHORT:
             return self._merge_long(text)
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        parts, get, none = list(text), self.rank.get, math.inf
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) is not none:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
         return parts
 
     def _merge_long(self, text: str) -> list[str]:
@@ -154,7 +155,7 @@ class Segments(dict):
     values that always stay; others are dropped together at ``limit`` entries.
     """
 
-    def __init__(self, model: PieceModel, solve, join, fixed=(), limit: int = 400_000) -> None:
+    def __init__(self, model: PieceModel, solve, join, fixed=(), limit: int = 1_000_000) -> None:
         super().__init__()
         self.model, self.solve, self.join, self.limit = model, solve, join, limit
         self.bare: dict = {}

@@ -99,7 +99,7 @@ class Transducer:
             n = back[n]
         return out[::-1]
 
-    def encoder(self, limit: int = 300_000) -> Segments:
+    def encoder(self, limit: int = 800_000) -> Segments:
         """Ids of parts as little-endian 32-bit bytes."""
         to_ids = self.model.to_ids
         return Segments(self.model, lambda s: np.asarray(to_ids(self.shortest(s)), "<i4").tobytes(), b"".join, limit=limit)
