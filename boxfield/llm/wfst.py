@@ -139,27 +139,39 @@ def read_model(path: str) -> PieceModel:
     return model
 
 
-def encode(docs: DataFrame, model_path: str, *, text="text", ids="ids", keep: list[str]) -> DataFrame:
-    """``keep`` columns and ids array<int>; the model file is read on the driver only."""
+def id_lists(flat: list[bytes | None]) -> pa.ListArray:
+    sizes = np.fromiter((len(x) // 4 if x else 0 for x in flat), np.int64, len(flat))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    values = pa.array(np.frombuffer(b"".join(x for x in flat if x), "<i4"), pa.int32())
+    nulls = np.fromiter((x is None for x in flat), bool, len(flat))
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array(nulls)) if nulls.any() else pa.ListArray.from_arrays(offsets, values)
+
+
+def encode(docs: DataFrame, model_path: str, *, text="text", ids="ids", keep: list[str], check: str | None = None) -> DataFrame:
+    """``keep`` columns and ids array<int>; the model file is read on the driver only.
+
+    With ``check``, a column of that name says whether decoding the ids gives the
+    text back; the ids are decoded where they are, and not sent around for it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     key = sent._jbroadcast.id()
 
     def make():
         if key not in _encoders:
-            _encoders[key] = Transducer(sent.value).encoder()
-        known = _encoders[key]
+            _encoders[key] = Transducer(sent.value).encoder(), Decoder(sent.value)
+        known, back = _encoders[key]
 
         def work(batch):
-            flat = [None if t is None else b"".join(known.values_of(t.decode())) for t in batch]
-            sizes = np.fromiter((len(x) // 4 if x else 0 for x in flat), np.int64, len(flat))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(x for x in flat if x), "<i4"), pa.int32())
-            nulls = np.fromiter((x is None for x in flat), bool, len(flat))
-            return {ids: pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(nulls)) if nulls.any() else pa.ListArray.from_arrays(pa.array(offsets), values)}
+            texts = [None if t is None else t.decode() for t in batch]
+            flat = [None if t is None else b"".join(known.values_of(t)) for t in texts]
+            out = {ids: id_lists(flat)}
+            if check:
+                out[check] = [None if t is None else back.text(np.frombuffer(x, "<i4").tolist()) == t for t, x in zip(texts, flat)]
+            return out
 
         return work
 
-    return with_text_columns(docs, text, make, f"`{ids}` array<int>", keep)
+    return with_text_columns(docs, text, make, f"`{ids}` array<int>" + (f", `{check}` boolean" if check else ""), keep)
 
 
 def decode_column(spark, model_path: str):
@@ -177,8 +189,6 @@ def decode_column(spark, model_path: str):
 
 def round_trip(docs: DataFrame, model_path: str, *, text="text", keep: list[str]) -> DataFrame:
     """``keep`` columns, ids, n_tokens, and whether decoding the ids gives the text back (null for null)."""
-    same = "__same"
-    encoded = encode(docs, model_path, text=text, keep=[*dict.fromkeys([*keep, text])])
-    back = decode_column(docs.sparkSession, model_path)
-    out = encoded.withColumn(same, F.expr(f"`{text}`") == back(F.col("ids")))
-    return out.select(*(F.col(f"`{c}`") for c in keep), "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), F.col(same).alias("round_trip"))
+    out = encode(docs, model_path, text=text, keep=keep, check="round_trip")
+    n_tokens = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("bigint")
+    return out.select(*(F.col(f"`{c}`") for c in keep), "ids", n_tokens.alias("n_tokens"), "round_trip")
