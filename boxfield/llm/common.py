@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows of a batch that a text function gets in one call.
+ROWS_AT_ONCE = 512
+
+
 def quoted(name: str) -> str:
     """The column name with back quotes, so that dots and odd characters are taken as they are."""
     return "`" + name.replace("`", "``") + "`"
@@ -46,9 +50,12 @@ def text_udf(make: Callable[[], Callable[[list[bytes | None]], dict[str, Any]]],
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for values in batches:
-            out = work(text_bytes(values))
-            arrays = [a.cast(t) if isinstance(a := out[n], pa.Array) else pa.array(a, type=t) for n, t in types]
-            yield pa.StructArray.from_arrays(arrays, names=[n for n, _ in types])
+            parts = []
+            for at in range(0, max(1, len(values)), ROWS_AT_ONCE):  # Python objects of a few rows at a time
+                out = work(text_bytes(values.slice(at, ROWS_AT_ONCE)))
+                arrays = [a.cast(t) if isinstance(a := out[n], pa.Array) else pa.array(a, type=t) for n, t in types]
+                parts.append(pa.StructArray.from_arrays(arrays, names=[n for n, _ in types]))
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     return run.asNondeterministic()
 

@@ -7,7 +7,7 @@ into the open row with the least room that still holds it, which a segment tree
 over the room left finds in logarithmic time.  A group is one task's work and
 bounded; more documents make more groups.
 
-A packed row has the id matrix row (little-endian, padded), the cumulative
+A packed row has the id matrix row (little-endian as on the executors, padded), the cumulative
 segment lengths, the positions that restart at every segment, and which
 document and which part of it each segment is, so that ``unpacked`` gives every
 document back.  Null and empty texts have no tokens and no segments.  Repeated
@@ -16,6 +16,7 @@ rows are packed once for each row.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,9 +98,10 @@ def encoder(model: PieceModel, data: bytes, kind: str, key: int) -> Segments:
 
         def solve(s: str) -> bytes:
             plain = s[1:] if s[0] == SPACE and SPACE not in s[1:] and len(s) > 1 else None
-            return np.asarray(library(plain) if plain else model.to_ids(model.merge(s)), kind).tobytes()
+            return array(code, library(plain) if plain else model.to_ids(model.merge(s))).tobytes()
 
-        _encoders[key] = Segments(model, solve, b"".join, limit=800_000)
+        code = "H" if kind == "<u2" else "i"
+        _encoders[key] = Segments(model, solve, b"".join, limit=250_000)
     return _encoders[key]
 
 

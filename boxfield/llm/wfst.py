@@ -56,7 +56,7 @@ class Transducer:
         key = (last, piece)
         known = self.pair.get(key)
         if known is None:
-            if len(self.pair) > 2_000_000:
+            if len(self.pair) > 600_000:
                 self.pair.clear()
             known = self.pair[key] = self.model.merge(last + piece) == [last, piece]
         return known
@@ -99,7 +99,7 @@ class Transducer:
             n = back[n]
         return out[::-1]
 
-    def encoder(self, limit: int = 800_000) -> Segments:
+    def encoder(self, limit: int = 400_000) -> Segments:
         """Ids of parts as little-endian 32-bit bytes."""
         to_ids = self.model.to_ids
         return Segments(self.model, lambda s: np.asarray(to_ids(self.shortest(s)), "<i4").tobytes(), b"".join, limit=limit)
