@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from .common import column, text_udf
-from .pieces import SPACE, PieceModel, Segments
+from .pieces import PieceModel
 
 LENGTH = 4096
 GROUP_BYTES = 16 << 20
@@ -91,17 +91,10 @@ def id_type(model: PieceModel) -> str:
     return "<u2" if len(model.pieces) <= 1 << 16 else "<i4"
 
 
-def encoder(model: PieceModel, data: bytes, kind: str, key: int) -> Segments:
-    """Ids of parts as bytes; a part after a space goes to the library, which puts the same space before it."""
+def encoder(data: bytes, key: int) -> SentencePieceProcessor:
+    """The library for this model, once for each worker process."""
     if key not in _encoders:
-        library = SentencePieceProcessor(model_proto=data).encode
-
-        def solve(s: str) -> bytes:
-            plain = s[1:] if s[0] == SPACE and SPACE not in s[1:] and len(s) > 1 else None
-            return array(code, library(plain) if plain else model.to_ids(model.merge(s))).tobytes()
-
-        code = "H" if kind == "<u2" else "i"
-        _encoders[key] = Segments(model, solve, b"".join, limit=250_000)
+        _encoders[key] = SentencePieceProcessor(model_proto=data)
     return _encoders[key]
 
 
@@ -113,15 +106,20 @@ def split(ids: bytes, width: int, length: int) -> list[dict]:
 
 def token_parts(docs: DataFrame, data: bytes, *, doc_id="doc_id", text="text", length: int = LENGTH) -> DataFrame:
     """(doc_id, part, start, n, ids) for each part of each document."""
-    model = PieceModel(data)
-    sent = docs.sparkSession.sparkContext.broadcast((model, data))
+    sent = docs.sparkSession.sparkContext.broadcast(data)
     key = sent._jbroadcast.id()
-    kind = id_type(model)
+    kind = id_type(PieceModel(data))
 
     def make():
-        known = encoder(*sent.value, kind, key)
+        library = encoder(sent.value, key)
         width = np.dtype(kind).itemsize
-        return lambda batch: {"parts": [split(b"".join(known.values_of(t.decode())), width, length) if t else [] for t in batch]}
+        code = "H" if width == 2 else "i"
+
+        def work(batch):
+            ids = library.encode([t.decode() if t else "" for t in batch], num_threads=1)
+            return {"parts": [split(array(code, x).tobytes(), width, length) for x in ids]}
+
+        return work
 
     run = text_udf(make, "parts array<struct<part:int,start:bigint,n:int,ids:binary>>")
     return docs.select(column(docs, doc_id).cast("bigint").alias("doc_id"), F.explode(run(column(docs, text).cast("string"))["parts"]).alias("p")).select("doc_id", "p.*")

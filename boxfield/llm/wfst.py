@@ -48,11 +48,14 @@ class Transducer:
         self.merged = model.kind == BPE
         self.weight = {p: 1.0 if self.merged else -model.scores[i] for p, i in model.ids.items()}
         self.pair: dict[tuple[str, str], bool] = {}
+        #: The longest piece that begins each piece, without itself.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in model.ids), None) for p in model.ids}
 
     def allowed(self, last: str, piece: str) -> bool:
         """Whether the neighbour acceptor has weight 0 for the two."""
         if not self.merged or last == START:
-            return not self.merged or piece in self.model.whole or len(piece) == 1
+            known = self.pair[last, piece] = not self.merged or piece in self.model.whole or len(piece) == 1
+            return known
         key = (last, piece)
         known = self.pair.get(key)
         if known is None:
@@ -62,31 +65,64 @@ class Transducer:
         return known
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces on the tropical shortest path through a normalised text.
+        """Pieces on the tropical shortest path through a normalised text."""
+        return self._only_path(text) if self.merged else self._lightest_path(text)
 
-        One entry for each position is enough: merge models leave one finite path
-        to any position, and unigram models have no neighbour states to tell apart.
+    def _only_path(self, text: str) -> list[str]:
+        """The path of finite weight, of which merge models leave one, by expanding the composed machine depth first.
+
+        Longer pieces are tried first.  To any position there is at most one finite
+        path, so a position without a way on is closed for good, and no arc is
+        followed twice.
         """
+        n, i, last = len(text), 0, START
+        pieces: list[str] = []
+        closed: set[int] = set()
+        states, final, shorter, pair = self.states, self.final, self.shorter, self.pair
+        piece = None
+        while i < n:
+            if piece is None:
+                piece, j, at = text[i], i + 1, text[i]
+                while at in states:
+                    if at in final:
+                        piece = at
+                    if j == n:
+                        break
+                    j += 1
+                    at = text[i:j]
+            while piece is not None:
+                known = pair.get((last, piece))
+                if known is None:
+                    known = self.allowed(last, piece)
+                if known and i + len(piece) not in closed:
+                    break
+                piece = shorter.get(piece)
+            if piece is not None:
+                pieces.append(piece)
+                i, last, piece = i + len(piece), piece, None
+            else:
+                while piece is None:  # no way on from here: shorten the nearest piece that can be
+                    if not pieces:
+                        raise ValueError("no path")
+                    closed.add(i)
+                    back = pieces.pop()
+                    i, piece = i - len(back), shorter.get(back)
+                last = pieces[-1] if pieces else START
+        return pieces
+
+    def _lightest_path(self, text: str) -> list[str]:
+        """Dynamic programming forward over positions; without neighbour states one entry for each is enough."""
         n = len(text)
         total, back, piece_to = [math.inf] * (n + 1), [0] * (n + 1), [START] * (n + 1)
         total[0] = 0.0
-        states, final, weight, chars, pair = self.states, self.final, self.weight, self.chars, self.pair
         for i in range(n):
             here = total[i]
-            if here == math.inf:
-                continue
-            last, piece, j = piece_to[i], text[i], i + 1
-            if piece not in chars:
-                if here + FALLBACK < total[j]:
-                    total[j], back[j], piece_to[j] = here + FALLBACK, i, piece
-                continue
-            while piece in states:
-                if piece in final and (w := here + weight[piece]) < total[j]:
-                    known = pair.get((last, piece))
-                    if known is None:
-                        known = self.allowed(last, piece)
-                    if known:
-                        total[j], back[j], piece_to[j] = w, i, piece
+            piece, j = text[i], i + 1
+            if piece not in self.chars and here + FALLBACK < total[j]:
+                total[j], back[j], piece_to[j] = here + FALLBACK, i, piece
+            while piece in self.states:
+                if piece in self.final and (w := here + self.weight[piece]) < total[j]:
+                    total[j], back[j], piece_to[j] = w, i, piece
                 j += 1
                 if j > n:
                     break
