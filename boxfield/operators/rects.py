@@ -108,8 +108,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def chain_scores(rects: DataFrame, members: DataFrame, axis: str, other: DataFrame, width: float, height: float) -> DataFrame:
     """view_id, chain, score and its parts for every chain of an axis; ``other`` holds the chains of the other axis."""
     lo, hi, clo, chi = ("x0", "x1", "y0", "y1") if axis == "x" else ("y0", "y1", "x0", "x1")
-    edge = lambda c, at: F.abs(F.col(c) - at) <= 0.5
-    pinned = (edge("x0", 0.0) | edge("y0", 0.0) | edge("x1", width) | edge("y1", height)).cast("int")
+    pinned = ((F.col("x0") <= 0.5) | (F.col("y0") <= 0.5) | (F.col("x1") >= width - 0.5) | (F.col("y1") >= height - 0.5)).cast("int")
     on_other = other.select("view_id", "rect_id").distinct().withColumn("o", F.lit(1))
     rows = members.join(rects, ["view_id", "rect_id"]).join(on_other, ["view_id", "rect_id"], "left")
     order = Window.partitionBy("view_id", "chain").orderBy(F.col(lo) + F.col(hi), "rect_id")
@@ -118,8 +117,8 @@ def chain_scores(rects: DataFrame, members: DataFrame, axis: str, other: DataFra
     rows = rows.join(mid, ["view_id", "chain"])
     g = rows.groupBy("view_id", "chain").agg(
         F.count(F.lit(1)).alias("n"), F.max("ms").alias("ms"), F.max("mc").alias("mc"), F.max(F.abs(F.col("cross") - F.col("mc"))).alias("dev"),
-        (F.max(clo) - F.min(clo)).alias("slo"), (F.max(chi) - F.min(chi)).alias("shi"), F.avg((F.abs("gap") <= 0.12 * F.col("ms")).cast("double")).alias("adjacency"),
-        F.max(F.abs("gap")).alias("maxabs"), (F.max("gap") - F.min("gap")).alias("spread"), F.sum(pinned).alias("pinned"), F.avg(F.coalesce("o", F.lit(0)).cast("double")).alias("grid"),
+        (F.max(clo) - F.min(clo)).alias("slo"), (F.max(chi) - F.min(chi)).alias("shi"), F.avg((F.col("gap") <= 0.12 * F.col("ms")).cast("double")).alias("adjacency"),
+        F.max(F.abs("gap")).alias("maxabs"), (F.max(F.abs("gap")) - F.min(F.abs("gap"))).alias("spread"), F.median(F.abs("gap")).alias("midgap"), F.sum(pinned).alias("pinned"), F.avg(F.coalesce("o", F.lit(0)).cast("double")).alias("grid"),
     )
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     parts = {
@@ -127,13 +126,13 @@ def chain_scores(rects: DataFrame, members: DataFrame, axis: str, other: DataFra
         "size": clip(1 - F.col("dev") / F.col("mc") / 0.30),
         "align": clip(1 - F.greatest("slo", "shi") / F.col("mc") / 0.40),
         "adjacency": F.col("adjacency"),
-        "periodic": F.when(F.col("maxabs") < 1e-6, 1.0).otherwise(clip(1 - F.col("spread") / F.greatest(0.30 * F.col("ms"), F.lit(1e-6)))),
+        "periodic": F.when(F.col("maxabs") < 1e-6, 1.0).otherwise(clip(1 - F.col("spread") / F.greatest(0.30 * F.col("midgap"), F.lit(1e-6)))),
         "oob": F.least(F.col("pinned") / 2.0, F.lit(1.0)),
         "grid": F.col("grid"),
     }
     rounded = {k: F.round(v, 3) for k, v in parts.items()}
     total = sum((rounded[k] * w for k, w in list(C.CHAIN_WEIGHTS.items())[1:]), rounded["count"] * C.CHAIN_WEIGHTS["count"]) / sum(C.CHAIN_WEIGHTS.values())
-    return g.select("view_id", "chain", F.col("n").alias("members"), *(v.alias(f"s_{k}") for k, v in rounded.items()), F.round(total, 3).alias("score"))
+    return g.select("view_id", "chain", F.col("n").alias("members"), *(v.alias(f"s_{k}") for k, v in rounded.items()), total.alias("score"))
 
 
 def without_repeats(rects: DataFrame, width: float = 1280.0, height: float = 1024.0) -> DataFrame:
