@@ -126,9 +126,9 @@ def box_groups(text: str | None) -> list[tuple[list[float], str]]:
 
     read = lambda values: [b for v in values for i in items(v) if (b := box(i))]
     text = text or ""
-    arrays = [read([v]) for _, _, v in fragments(text, "[")]
-    objects = [(a, e, v) for a, e, v in fragments(text, "{")]
-    top = [v for a, e, v in objects if not any(o[0] < a and e <= o[1] for o in objects)]
+    lists, objects = fragments(text, "["), fragments(text, "{")
+    arrays = [read([v]) for _, _, v in lists]
+    top = [v for a, e, v in objects if not any(o[0] < a and e <= o[1] for o in (*lists, *objects))]
     return max([*arrays, read(top)], key=len, default=[])
 
 
