@@ -163,12 +163,14 @@ def piece_top(z_mask, z_col, seed_top, strict: bool = False) -> tuple[Column, Co
     return F.when(source == "mask", m).when(source.isNotNull(), k), source
 
 
-def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bool = False) -> DataFrame:
+def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bool = False, far_reach: float = C.TILE_SPAN) -> DataFrame:
     """box_id, side, corridor, far, open: free width past each face (``along``: each end) and which side is open.
 
-    Opacity is summed in 5 cm bins past the face; the first bin with a mass of one blocks.
+    Opacity is summed in 5 cm bins past the face; the first bin with a mass of one
+    blocks.  A side with three times the far mass of the other, and 20 at least, is
+    open whatever its corridor; far mass is looked for up to one tile away.
     """
-    near = near_points(splats, boxes, max(reach, 4.0) + 1.0)
+    near = near_points(splats, boxes, max(reach, far_reach), cell=4.0)
     long_first = F.col("sl") >= F.col("sw")
     face_is_v = long_first if not along else ~long_first
     du, dv = F.when(face_is_v, F.col("v")).otherwise(F.col("u")), F.when(face_is_v, F.col("u")).otherwise(F.col("v"))
@@ -179,7 +181,7 @@ def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bo
     rows_ = rows_.where((F.abs(dv) < strip) & (F.col("z") > 0.25) & (F.col("z") < F.greatest(F.least(top - 0.2, F.lit(2.0)), F.lit(0.5))) & (F.col("beyond") > 0.02))
     bins = rows_.where(F.col("beyond") < reach).groupBy("box_id", "side", F.floor((F.col("beyond") - 0.02) / 0.05).alias("bin")).agg(F.sum("op").alias("mass"))
     first = bins.where("mass >= 1.0").groupBy("box_id", "side").agg((F.min("bin") * 0.05 + 0.02).alias("corridor"))
-    far = rows_.where((F.col("beyond") > 1.2) & (F.col("beyond") <= 4.0)).groupBy("box_id", "side").agg(F.sum("op").alias("far"))
+    far = rows_.where((F.col("beyond") > 1.2)).groupBy("box_id", "side").agg(F.sum("op").alias("far"))
     sides = boxes.select("box_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
     out = sides.join(first, ["box_id", "side"], "left").join(far, ["box_id", "side"], "left").select("box_id", "side", F.coalesce("corridor", F.lit(reach)).alias("corridor"), F.coalesce("far", F.lit(0.0)).alias("far"))
     wide = out.groupBy("box_id").agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{n}") for c in ("corridor", "far") for s, n in ((1, "1"), (-1, "2"))))

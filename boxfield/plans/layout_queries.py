@@ -113,7 +113,7 @@ def corridor_sql(along: bool) -> str:
         "rw AS (SELECT box_id, CASE WHEN du>=0 THEN 1 ELSE -1 END side, round(abs(du)-fc,9) b, 1/(1+exp(-raw_opacity)) op FROM lo WHERE abs(dv)<st)",
         "bn AS (SELECT box_id, side, floor((b-0.02e0)/0.05e0) bin, sum(op) m FROM rw WHERE b>0.02e0 AND b<3e0 GROUP BY 1,2,3)",
         "co AS (SELECT box_id, side, min(bin)*0.05e0+0.02e0 c FROM bn WHERE m>=1e0 GROUP BY 1,2)",
-        "fa AS (SELECT box_id, side, sum(op) f FROM rw WHERE b>1.2e0 AND b<=4e0 GROUP BY 1,2)",
+        "fa AS (SELECT box_id, side, sum(op) f FROM rw WHERE b>1.2e0 GROUP BY 1,2)",
         "wd AS (SELECT x.box_id, coalesce(c1.c,3e0) c1, coalesce(c2.c,3e0) c2, coalesce(f1.f,0e0) f1, coalesce(f2.f,0e0) f2 FROM v_boxes x LEFT JOIN co c1 ON c1.box_id=x.box_id AND c1.side=1 LEFT JOIN co c2 ON c2.box_id=x.box_id AND c2.side=-1 LEFT JOIN fa f1 ON f1.box_id=x.box_id AND f1.side=1 LEFT JOIN fa f2 ON f2.box_id=x.box_id AND f2.side=-1)",
         "pk AS (SELECT *, CASE WHEN f1>=3*f2 AND f1>=20 THEN 1 WHEN f2>=3*f1 AND f2>=20 THEN -1 WHEN c1>=c2 THEN 1 ELSE -1 END s FROM wd)",
     ) + f"SELECT box_id, s open_side, {rs('CASE WHEN s=1 THEN c1 ELSE c2 END')} corridor, round(f1,4) far1, round(f2,4) far2 FROM pk"
