@@ -26,7 +26,7 @@ def support_fraction(points: DataFrame, boxes: DataFrame, expand: float = 0.0) -
     # Two steps: points of a crowded voxel are counted before they move to their box.
     occupied = hit.groupBy("box_id", key.alias("vox")).agg(F.count(F.lit(1)).alias("n")).groupBy("box_id").agg(F.sum("n").alias("n_pts"), F.count(F.lit(1)).alias("n_occ"))
     total = cells_of(size["u"], C.SUPPORT_VOXEL) * cells_of(size["v"], C.SUPPORT_VOXEL) * cells_of(size["k"], C.SUPPORT_VOXEL)
-    out = boxes.join(occupied, "box_id", "left").withColumn("n_pts", F.coalesce("n_pts", F.lit(0)).cast("bigint"))
+    out = boxes.drop("n_pts", "n_occ", "support").join(occupied, "box_id", "left").withColumn("n_pts", F.coalesce("n_pts", F.lit(0)).cast("bigint"))
     return out.withColumn("support", F.when(F.col("n_pts") < C.SUPPORT_MIN_POINTS, F.lit(0.0)).otherwise(F.col("n_occ") / total.cast("double")))
 
 
@@ -108,7 +108,7 @@ def furniture_filter(points: DataFrame, boxes: DataFrame) -> DataFrame:
     sup = support_fraction(points, boxes).select("box_id", "support")
     shape = (F.col("source") != "agent_fix") & (F.col("sh") <= C.LOW_HEIGHT) & (F.least("sl", "sw") >= C.LOW_MIN_SIDE)
     flag = shape & ~F.col("overhead") & (F.col("support") < C.LOW_MAX_SUPPORT)
-    return over.join(sup, "box_id").withColumn("furniture", flag).withColumn("new_confidence", F.when(flag, "low").otherwise(F.col("confidence")))
+    return over.drop("support").join(sup, "box_id").withColumn("furniture", flag).withColumn("new_confidence", F.when(flag, "low").otherwise(F.col("confidence")))
 
 
 def probe_filled(points: DataFrame, boxes: DataFrame) -> DataFrame:

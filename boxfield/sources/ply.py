@@ -70,9 +70,33 @@ def vertices(data: bytes) -> dict[str, np.ndarray]:
     return {}
 
 
+def pcd_points(data: bytes) -> np.ndarray:
+    """x, y, z of a point cloud file in text or plain binary form.  ValueError for compressed bodies."""
+    head: dict[str, list[str]] = {}
+    at = 0
+    while "DATA" not in head:
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError("no whole header")
+        word = data[at:end].decode("ascii", "replace").split()
+        at = end + 1
+        if word and not word[0].startswith("#"):
+            head[word[0]] = word[1:]
+    fields, n = head["FIELDS"], int(head["POINTS"][0])
+    kinds = [{"F": "f", "I": "i", "U": "u"}[t] + s for t, s in zip(head["TYPE"], head["SIZE"])]
+    if head["DATA"][0] == "ascii":
+        rows = np.array([x.split() for x in data[at:].split(b"\n")[:n]], float).reshape(n, -1)
+        return np.stack([rows[:, fields.index(a)] for a in "xyz"], axis=1)
+    if head["DATA"][0] != "binary":
+        raise ValueError("compressed bodies are not supported")
+    repeat = [int(c) for c in head.get("COUNT", ["1"] * len(fields))]
+    rows = np.frombuffer(data, np.dtype([(f, k, (c,)) if c > 1 else (f, k) for f, k, c in zip(fields, kinds, repeat)]), n, at)
+    return np.stack([np.asarray(rows[a], float) for a in "xyz"], axis=1)
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """file, pt_id, x, y, z of all .ply and .npy files below a path; each file is parsed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path rlike '[.](ply|npy)$'").select("path", "content")
+    """file, pt_id, x, y, z of all .ply, .pcd and .npy files below a path; each file is parsed where it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path rlike '[.](ply|pcd|npy)$'").select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,6 +114,8 @@ def points_of(name: str, data: bytes) -> np.ndarray:
         import io
 
         return np.asarray(np.load(io.BytesIO(data)), float)[:, :3]
+    if name.endswith(".pcd"):
+        return pcd_points(data)
     v = vertices(data)
     return np.stack([np.asarray(v[a], float) for a in "xyz"], axis=1) if v else np.zeros((0, 3))
 
