@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cloud_queries, fit_queries, layout_queries, view_queries
+from . import cloud_queries, fit_queries, layout_queries, refine_queries, view_queries
 
-MODULES = (cloud_queries, view_queries, layout_queries, fit_queries)
+MODULES = (cloud_queries, view_queries, layout_queries, fit_queries, refine_queries)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
