@@ -136,25 +136,36 @@ def similarity_radius(similarity: float, bits: int) -> int:
     return int(math.acos(cosine) / math.pi * bits)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", width=5, similarity=0.8, n_words=4, tables=40, key_bits=16) -> DataFrame:
+def table_plan(classes: int, similarity: float, *, load: int = 8, least_bits: int = 12, target: float = 0.95) -> tuple[int, int]:
+    """(bits of a selection, selections): about ``load`` unrelated fingerprints in a bucket at any size, and the same recall."""
+    bits = max(least_bits, math.ceil(math.log2(max(1, classes) / load)) if classes > load else 0)
+    return bits, math.ceil(math.log(1 - target) / math.log(1 - equal_bits(similarity) ** bits))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", width=5, similarity=0.8, n_words=4, target=0.95) -> DataFrame:
     """(doc_id, component_id): components of documents whose estimated shingle similarity is ``similarity`` or more.
 
-    Equal fingerprints are always found; others by 40 selections of 16 of 256
-    bits.  A pair exactly at 0.8 shares one with a chance of about 0.94, at 0.85
-    of 0.99, at 0.9 of nearly 1; see ``recall`` for other parameters.  More
-    documents want more ``key_bits``, and with these more ``tables``.
+    Equal fingerprints are always found.  Others meet in selections of bits; how
+    many bits and selections follows from the number of distinct fingerprints
+    and the chance ``target`` with which a pair exactly at ``similarity`` must
+    share one (at 0.8 and 0.95, a pair at 0.85 does with about 0.99).
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(fingerprints(docs, text=text, width=width, n_words=n_words, keep=[doc_id]))
     size = 64 * n_words
-    found = linked(prints, doc_id, selections(tables, key_bits, size), similarity_radius(similarity, size), scratch, n_words)
+    bits, tables = table_plan(prints.select(*names(n_words)).distinct().count(), similarity, target=target)
+    found = linked(prints, doc_id, selections(tables, bits, size), similarity_radius(similarity, size), scratch, n_words)
     return found.select(quoted(doc_id), "component_id")
 
 
-def recall(similarity: float, tables: int, key_bits: int) -> float:
+def equal_bits(similarity: float) -> float:
+    """Chance that two texts of this similarity agree on a bit."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def recall(similarity: float, tables: int, bits: int) -> float:
     """Chance that a pair of this similarity shares a selection."""
-    equal = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return 1 - (1 - equal**key_bits) ** tables
+    return 1 - (1 - equal_bits(similarity) ** bits) ** tables
 
 
 def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:

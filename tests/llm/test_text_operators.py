@@ -177,6 +177,13 @@ def test_near_duplicates_and_keep_one(spark, empty):
     assert rows(simhash.keep_one(empty)) == []
 
 
+def test_table_plan_keeps_recall_at_any_size():
+    for n in (0, 1, 1000, 10**6, 10**9):
+        bits, tables = simhash.table_plan(n, 0.8)
+        assert simhash.recall(0.8, tables, bits) >= 0.95 and simhash.recall(0.85, tables, bits) >= 0.98
+        assert n / 2**bits <= 8
+
+
 def test_components_of_a_chain(spark):
     scratch = Scratch(spark)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
