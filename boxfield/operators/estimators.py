@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geometry import fold_quarter, principal_axis, rotate
-from .spatial import neighbour_cells
+from .spatial import neighbour_cells, scene_keys
 
 
 def share(condition: Column) -> Column:
@@ -33,12 +33,14 @@ def support_summary(support: DataFrame) -> DataFrame:
 
 
 def floor_tiles(points: DataFrame, grid: float = C.FLOOR_GRID, band: float = C.FLOOR_BAND, least: int = C.FLOOR_MIN_POINTS) -> DataFrame:
-    """i, j, floor_z: the second percentile of each tile's points near the global floor, which fills tiles with few."""
-    base = points.agg(F.percentile("z", F.lit(0.02)).alias("base"))
-    tile = points.select(F.floor(F.col("x") / grid).alias("i"), F.floor(F.col("y") / grid).alias("j"), "z").crossJoin(F.broadcast(base))
+    """(scene_id,) i, j, n_low, floor_z: the second percentile of each tile's points near its scene's floor, which fills tiles with few."""
+    scene = scene_keys(points)
+    base = points.groupBy(*scene).agg(F.percentile("z", F.lit(0.02)).alias("base"))
+    tile = points.select(*scene, F.floor(F.col("x") / grid).alias("i"), F.floor(F.col("y") / grid).alias("j"), "z")
+    tile = tile.join(base, scene) if scene else tile.crossJoin(F.broadcast(base))  # without scenes the base is one row
     low = F.col("z") <= F.col("base") + band
-    agg = tile.groupBy("i", "j").agg(F.sum(low.cast("bigint")).alias("n_low"), F.percentile(F.when(low, F.col("z")), F.lit(0.02)).alias("q"), F.max("base").alias("base"))
-    return agg.select("i", "j", "n_low", F.when(F.col("n_low") >= least, F.col("q")).otherwise(F.col("base")).alias("floor_z"))
+    agg = tile.groupBy(*scene, "i", "j").agg(F.sum(low.cast("bigint")).alias("n_low"), F.percentile(F.when(low, F.col("z")), F.lit(0.02)).alias("q"), F.max("base").alias("base"))
+    return agg.select(*scene, "i", "j", "n_low", F.when(F.col("n_low") >= least, F.col("q")).otherwise(F.col("base")).alias("floor_z"))
 
 
 def mesh_floor_tiles(points: DataFrame) -> DataFrame:
@@ -54,7 +56,8 @@ def mesh_floor_tiles(points: DataFrame) -> DataFrame:
 def height_above_floor(points: DataFrame, tiles: DataFrame, grid: float = C.FLOOR_GRID) -> DataFrame:
     """points with h: height above the floor of their tile."""
     keyed = points.withColumns({"i": F.floor(F.col("x") / grid), "j": F.floor(F.col("y") / grid)})
-    return keyed.join(tiles.select("i", "j", "floor_z"), ["i", "j"], "left").withColumn("h", F.col("z") - F.col("floor_z")).drop("i", "j")
+    scene = scene_keys(points, tiles)
+    return keyed.join(tiles.select(*scene, "i", "j", "floor_z"), [*scene, "i", "j"], "left").withColumn("h", F.col("z") - F.col("floor_z")).drop("i", "j")
 
 
 def layout_frame(points: DataFrame, yaw: float) -> DataFrame:

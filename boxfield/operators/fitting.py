@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .spatial import scene_keys
 
 BIN = 0.05
 MIN_POINTS, FLOOR_CUT, MIN_HEIGHT = 60, 0.30, 0.50
@@ -163,7 +164,7 @@ def points_in_rects(points: DataFrame, rects: DataFrame, cell: float = 1.0) -> D
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     wide = rects.withColumn("__i", cells("x0", "x1")).withColumn("__j", cells("y0", "y1"))
     keyed = points.withColumns({"__i": F.floor(F.col("x") / cell), "__j": F.floor(F.col("y") / cell)})
-    return keyed.join(wide, ["__i", "__j"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__i", "__j")
+    return keyed.join(wide, [*scene_keys(points, rects), "__i", "__j"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__i", "__j")
 
 
 def fitted_boxes(points: DataFrame, rects: DataFrame, floor: float = 0.0, mesh: bool = False) -> DataFrame:
@@ -175,7 +176,8 @@ def fitted_boxes(points: DataFrame, rects: DataFrame, floor: float = 0.0, mesh:
         rows = [{"rect_id": int(pdf["rect_id"].iloc[0]), "part": k, **b} for k, b in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FITTED.split(", ")])
 
-    inside = points_in_rects(points.select("x", "y", "z"), rects.select("rect_id", "x0", "y0", "x1", "y1"))
+    scene = scene_keys(points, rects)
+    inside = points_in_rects(points.select(*scene, "x", "y", "z"), rects.select(*scene, "rect_id", "x0", "y0", "x1", "y1"))
     return inside.select("rect_id", "x", "y", "z").groupBy("rect_id").applyInPandas(run, FITTED)
 
 

@@ -5,6 +5,10 @@ each grid cell that it touches and joined to points on the cell: an equi join,
 which Spark may broadcast by its measured size, sort-merge, or split when a cell
 is crowded.  The exact test follows the join.  A point has one cell, so no pair
 comes twice.
+
+Tables of many scenes carry a ``scene_id``; where both sides have it, it is part
+of every key, so scenes never meet and a job over all of them is one join.
+Box ids are unique over scenes.
 """
 
 from __future__ import annotations
@@ -17,6 +21,13 @@ from ..functions.geometry import half_extents, to_local
 CELL = 1.0
 
 
+SCENE = "scene_id"
+
+
+def scene_keys(*tables: DataFrame) -> list[str]:
+    return [SCENE] if all(SCENE in t.columns for t in tables) else []
+
+
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
@@ -27,7 +38,7 @@ def near_points(points: DataFrame, boxes: DataFrame, expand: float = 0.0, cell:
     wide = boxes.withColumns({"__x0": F.col("cx") - hx, "__x1": F.col("cx") + hx, "__y0": F.col("cy") - hy, "__y1": F.col("cy") + hy})
     wide = wide.withColumn("__gx", _cells(F.col("__x0"), F.col("__x1"), cell)).withColumn("__gy", _cells(F.col("__y0"), F.col("__y1"), cell))
     keyed = points.withColumns({"__gx": F.floor(F.col("x") / cell), "__gy": F.floor(F.col("y") / cell)})
-    pairs = keyed.join(wide, ["__gx", "__gy"]).where(F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1")))
+    pairs = keyed.join(wide, [*scene_keys(points, boxes), "__gx", "__gy"]).where(F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1")))
     u, v, k = to_local("x", "y", "z", "cx", "cy", "cz", "yaw")
     return pairs.withColumns({"u": u, "v": v, "k": k}).drop("__gx", "__gy", "__x0", "__x1", "__y0", "__y1")
 
@@ -56,12 +67,13 @@ def box_pairs(boxes: DataFrame, others: DataFrame, reach: float, keys: tuple[str
     cell = max(CELL, reach)
     a = spread(boxes, "a")
     b = spread(others, "b")
-    b = b.select(*((F.col(c).alias(c + suffix) if not c.startswith("__") else F.col(c)) for c in b.columns))
+    scene = scene_keys(boxes, others)
+    b = b.select(*((F.col(c) if c.startswith("__") or c in scene else F.col(c).alias(c + suffix)) for c in b.columns))
     a = a.withColumn("__gx", _cells(F.col("__x0a"), F.col("__x1a"), cell)).withColumn("__gy", _cells(F.col("__y0a"), F.col("__y1a"), cell))
     b = b.withColumn("__gx", _cells(F.col("__x0b"), F.col("__x1b"), cell)).withColumn("__gy", _cells(F.col("__y0b"), F.col("__y1b"), cell))
     first = (F.floor(F.greatest("__x0a", "__x0b") / cell) == F.col("__gx")) & (F.floor(F.greatest("__y0a", "__y0b") / cell) == F.col("__gy"))
     touch = (F.col("__x0a") <= F.col("__x1b")) & (F.col("__x0b") <= F.col("__x1a")) & (F.col("__y0a") <= F.col("__y1b")) & (F.col("__y0b") <= F.col("__y1a"))
-    joined = a.join(b, ["__gx", "__gy"]).where(first & touch)
+    joined = a.join(b, [*scene, "__gx", "__gy"]).where(first & touch)
     return joined.drop(*(c for c in joined.columns if c.startswith("__")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .spatial import inside, near_points
+from .spatial import inside, near_points, scene_keys
 
 
 def cells_of(size, cell: float) -> Column:
@@ -127,7 +127,7 @@ def own_points(points: DataFrame, boxes: DataFrame, reach: float = 1.0) -> DataF
 
     A point inside two boxes is nobody's; one inside a single box is that box's only.
     """
-    row = ["pt_id", "x", "y", "z"]
+    row = [*scene_keys(points, boxes), "pt_id", "x", "y", "z"]
     owners = inside(points, boxes).groupBy(*row).agg(F.min("box_id").alias("first"), F.max("box_id").alias("last"))
     near = near_points(points, boxes, reach)
     joined = near.join(owners, row, "left")

@@ -53,6 +53,18 @@ def test_support_counts_voxels_once(spark):
     assert S.support_fraction(cloud(spark, [(0.01, 0.01, 0.55)] * 4), b).first().support == 0.0
 
 
+def test_scenes_do_not_meet(spark):
+    p = cloud(spark, [(0.01 * i, 0.0, 0.5) for i in range(20)])
+    two = p.withColumn("scene_id", F.lit("a")).unionByName(p.withColumn("scene_id", F.lit("b")).where("pt_id < 10"))
+    b = boxes(spark, (1, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0)).withColumn("scene_id", F.lit("a")).unionByName(boxes(spark, (2, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0)).withColumn("scene_id", F.lit("b")))
+    assert {r.box_id: r.n_pts for r in S.support_fraction(two, b).collect()} == {1: 20, 2: 10}
+    assert {(r.box_id, r.n) for r in S.own_points(two, b).groupBy("box_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 20), (2, 10)}
+    assert L.overlaps(b, b).where("box_id <> other").count() == 0
+    t = E.floor_tiles(two.withColumn("z", F.col("z") + F.when(F.col("scene_id") == "b", 3.0).otherwise(0.0)))
+    assert {(r.scene_id, r.floor_z) for r in t.collect()} == {("a", 0.5), ("b", 3.5)}
+    assert E.height_above_floor(two, t).count() == 30
+
+
 def test_tall_box_needs_overhead_points(spark):
     tray = [(0.0, 0.0, 3.0 + 0.3 + 0.001 * i) for i in range(40)]
     b = boxes(spark, (1, 0.0, 0.0, 1.0, 1.0, 3.0, 0.0), (2, 5.0, 5.0, 1.0, 1.0, 3.0, 0.0))
