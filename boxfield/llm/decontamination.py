@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, column, quoted, with_text_columns
 
 WINDOW = 10
-MAX_PATTERNS = 500_000
+MAX_PATTERNS = 100_000
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 RESULT = "n_words bigint, n_hit bigint, items array<string>"
