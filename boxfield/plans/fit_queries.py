@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import estimators as E
 from ..operators import fitting as T
+from ..operators import merging
 from ..operators.spatial import inside
 from . import synth
 from .cloud_queries import r, rs
@@ -90,3 +91,8 @@ def view_azimuths(spark, d):
 @query()
 def synthetic_room(spark, d):
     return synth.room(spark).groupBy("part").agg(F.count(F.lit(1)).alias("n"), r(F.min("z"), 3).alias("low"), r(F.max("z"), 3).alias("high"))
+
+
+@query()
+def merge_adjacent_boxes(spark, d):
+    return merging.merged_groups(V.points(spark, d), V.boxes(spark, d)).select("box_id", "group")

@@ -36,3 +36,14 @@ def test_faces_and_refits(spark):
     m = spark.createDataFrame([(1, "front", 0.7, 50), (1, "front", 0.9, 10), (2, "front", 9.0, 50)], "box_id bigint, face string, plane double, points bigint")
     got = {r.box_id: (round(r.cy, 3), round(r.sw, 3)) for r in R.faces_applied(boxes, m).collect()}
     assert got == {1: (0.1, 1.2), 2: (0.0, 1.0)}
+
+
+def test_boxes_join_over_bridged_gaps(spark):
+    from boxfield.operators import merging as M
+
+    rng = np.random.default_rng(4)
+    part = lambda x0, x1, n: np.c_[rng.uniform(x0, x1, n), rng.uniform(-0.5, 0.5, n), rng.uniform(0, 2, n)]
+    xyz = np.r_[part(0, 2.3, 2300), part(5, 6, 1000), part(6.3, 7.3, 1000)]
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "pt_id bigint, x double, y double, z double")
+    boxes = spark.createDataFrame([(1, 0.5, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (2, 1.8, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (3, 5.5, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (4, 6.8, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0)], BOX)
+    assert {r.box_id: r.group for r in M.merged_groups(pts, boxes).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
