@@ -14,6 +14,10 @@ from .spatial import box_pairs, scene_keys
 BRIDGE, OVERLAP, WIDTH, BAND, POINTS, DENSITY = 0.50, 0.10, 0.05, 0.20, 15, 0.30
 
 
+def named(suffix: str) -> list:
+    return [(F.col(f"k{i}x{suffix}"), F.col(f"k{i}y{suffix}")) for i in range(4)]
+
+
 def slabs(pairs: DataFrame) -> DataFrame:
     """Pairs (columns x0..y1 and x0_b..y1_b) with the probe rectangles between them, one for each axis that qualifies."""
     out = None
@@ -35,12 +39,14 @@ def bridged_pairs(points: DataFrame, boxes: DataFrame, frame_yaw: float = 0.0) -
     """(a, b): boxes of one view and direction whose gap holds points nearly as densely as they do themselves."""
     scene = scene_keys(points, boxes)
     turn = F.pmod(F.rint((F.col("yaw") - frame_yaw) / (math.pi / 2)), F.lit(2.0))
-    wide = boxes.withColumns({"turn": turn, **dict(zip(("x0", "y0", "x1", "y1"), frame_rect()))})
+    # Corners as columns of a written table: the tests below would else repeat their expressions a hundredfold.
+    at = {f"k{i}{a}": v for i, xy in enumerate(corners()) for a, v in zip("xy", xy)}
+    wide = boxes.withColumns({"turn": turn, **dict(zip(("x0", "y0", "x1", "y1"), frame_rect())), **at})
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     own = points_in(points, wide.select(*scene, F.col("box_id").alias("key"), F.col("x0").alias("px0"), F.col("x1").alias("px1"), F.col("y0").alias("py0"), F.col("y1").alias("py1")), scene)
     wide = checkpointed(wide.join(own.withColumnRenamed("key", "box_id"), "box_id", "left").withColumn("density", F.coalesce("n", F.lit(0)) / area).drop("n"))
     p = box_pairs(wide, wide, BRIDGE).where("box_id < box_id_b and turn = turn_b")
-    p = p.where(sat_gap(corners(), "yaw", corners("cx_b", "cy_b", "sl_b", "sw_b", "yaw_b"), "yaw_b") <= BRIDGE)
+    p = p.where(sat_gap(named(""), "yaw", named("_b"), "yaw_b") <= BRIDGE)
     if "view" in boxes.columns:
         p = p.where("view <=> view_b")
     if "rect_id" in boxes.columns:
