@@ -42,7 +42,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: No stage but decontamination can be said in SQL; tests/llm holds the whole against a plain version.
+#: No stage but decontamination can be said in SQL; tests/llm checks the stages one by one, and their operators against brute force.
 ORACLE_SQL = None
 
 
