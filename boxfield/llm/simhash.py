@@ -10,8 +10,8 @@ Two uses share this code:
 * ``fingerprints`` + ``linked`` with one 64-bit word and a radius of 3: exact.
 * ``near_duplicates``: five-word shingles and a similarity.  The share of equal
   bits of a SimHash estimates the angle between two shingle sets; ``words`` x 64
-  bits and many bit selections make that estimate and the search for it good
-  enough for similarities that are far beyond 3 bits of 64.
+  bits and many bit selections find candidates, with a radius that leaves room
+  for the estimate's error, and jaccard.py decides each link by the sets.
 
 Nulls and texts without words have no shingles and fingerprint zero; such
 documents are alike and link like any others.  Rows with a null id get a null
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, column, quoted, with_text_columns
 from .graph import components
 from .hamming import links, table_bits
+from .jaccard import confirmed
 
 SEED = 42
 CHUNK = 1 << 16
@@ -93,17 +94,22 @@ def fingerprints(docs: DataFrame, *, text="text", width=3, n_words=1, keep: list
     return with_text_columns(docs, text, make, ", ".join(f"fp{j} bigint" for j in range(n_words)), keep)
 
 
-def linked(prints: DataFrame, doc_id: str, tables: list[list[int]], radius: int, scratch: Scratch, n_words: int = 1, **options) -> DataFrame:
+def linked(prints: DataFrame, doc_id: str, tables: list[list[int]], radius: int, scratch: Scratch, n_words: int = 1, *, also: tuple = (), confirm=None, **options) -> DataFrame:
     """prints with component_id: the smallest id that can be reached over links of at most ``radius`` differing bits.
 
-    ``prints`` must be a written table: it is read more than once.
+    ``prints`` must be a written table: it is read more than once.  Rows of a
+    class agree in the fingerprint and the columns ``also``.  ``confirm`` makes
+    the edges that hold from a table of classes with a candidate component.
     """
     words = names(n_words)
+    key = [*words, *also]
     ids = column(prints, doc_id)
-    classes = scratch.write(prints.where(ids.isNotNull()).groupBy(*words).agg(F.min(ids).alias("id")))
+    classes = scratch.write(prints.where(ids.isNotNull()).groupBy(*key).agg(F.min(ids).alias("id")))
     found = components(links(classes, words, tables, radius, scratch, **options), scratch)
-    labelled = scratch.write(classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*words, F.coalesce("component", "id").alias("__component")))
-    same = [prints[w] == labelled[w] for w in words]
+    if confirm:
+        found = components(confirm(scratch.write(classes.join(found.withColumnRenamed("node", "id"), "id"))), scratch)
+    labelled = scratch.write(classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("__component")))
+    same = [prints[w] == labelled[w] for w in key]
     out = prints.join(labelled, [x for x in same], "left").select(*(prints[quoted(c)] for c in prints.columns), F.when(ids.isNotNull(), F.col("__component")).alias("component_id"))
     return out
 
@@ -130,31 +136,74 @@ def selections(count: int, bits: int, size: int) -> list[list[int]]:
     return [sorted(draw.sample(range(size), bits)) for _ in range(count)]
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Differing bits at which the estimate of the shingle sets' Jaccard similarity is ``similarity``."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(math.acos(cosine) / math.pi * bits)
-
-
 def table_plan(classes: int, similarity: float, *, load: int = 8, least_bits: int = 12, target: float = 0.95) -> tuple[int, int]:
     """(bits of a selection, selections): about ``load`` unrelated fingerprints in a bucket at any size, and the same recall."""
     bits = max(least_bits, math.ceil(math.log2(max(1, classes) / load)) if classes > load else 0)
     return bits, math.ceil(math.log(1 - target) / math.log(1 - equal_bits(similarity) ** bits))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", width=5, similarity=0.8, n_words=4, target=0.95) -> DataFrame:
-    """(doc_id, component_id): components of documents whose estimated shingle similarity is ``similarity`` or more.
+def search_radius(similarity: float, bits: int, deviations: float = 3.0) -> int:
+    """Differing bits within which nearly all pairs of ``similarity`` lie: the mean and ``deviations`` of it."""
+    p = 1 - equal_bits(similarity)
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def set_of(hashes: np.ndarray) -> bytes:
+    return np.unique(hashes).astype("<u8").tobytes()
+
+
+def set_key(shingles: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(shingles, SEED), "big", signed=True)
+
+
+def set_prints(docs: DataFrame, *, text: str, width: int, n_words: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns, fp0, fp1, ... and a hash of the whole shingle set."""
+
+    def make():
+        def work(batch):
+            hashes = [shingle_hashes(t, width) for t in batch]
+            rows = [fingerprint(h, n_words) for h in hashes]
+            return {f"fp{j}": [r[j] for r in rows] for j in range(n_words)} | {"set_key": [set_key(set_of(h)) for h in hashes]}
+
+        return work
+
+    return with_text_columns(docs, text, make, ", ".join(f"fp{j} bigint" for j in range(n_words)) + ", set_key bigint", keep)
+
+
+def sets_within(docs: DataFrame, classes: DataFrame, *, doc_id: str, text: str, width: int) -> DataFrame:
+    """(component, id, set_key, shingles) of classes (id, set_key, component), from the texts of their ids."""
 
-    Equal fingerprints are always found.  Others meet in selections of bits; how
+    def make():
+        def work(batch):
+            sets = [set_of(shingle_hashes(t, width)) for t in batch]
+            return {"set_key": [set_key(x) for x in sets], "shingles": sets}
+
+        return work
+
+    some = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text")).join(classes.select("id"), "id", "left_semi")
+    sets = with_text_columns(some, "text", make, "set_key bigint, shingles binary", ["id"])
+    return sets.join(classes.select("id", "set_key", "component"), ["id", "set_key"])
+
+
+def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", width=5, similarity=0.8, n_words=4, target=0.97) -> DataFrame:
+    """(doc_id, component_id): components of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates meet in selections of bits and lie within ``search_radius``; how
     many bits and selections follows from the number of distinct fingerprints
     and the chance ``target`` with which a pair exactly at ``similarity`` must
-    share one (at 0.8 and 0.95, a pair at 0.85 does with about 0.99).
+    be found (at 0.85 it is 0.99 and more).  Every link is confirmed by the sets
+    themselves, so none is wrong.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.write(fingerprints(docs, text=text, width=width, n_words=n_words, keep=[doc_id]))
+    prints = scratch.write(set_prints(docs, text=text, width=width, n_words=n_words, keep=[doc_id]))
     size = 64 * n_words
-    bits, tables = table_plan(prints.select(*names(n_words)).distinct().count(), similarity, target=target)
-    found = linked(prints, doc_id, selections(tables, bits, size), similarity_radius(similarity, size), scratch, n_words)
+    radius = search_radius(similarity, size)
+    bits, tables = search_plan(prints.select(*names(n_words)).distinct().count(), similarity, radius, size, target)
+
+    def confirm(classes):
+        return confirmed(sets_within(docs, classes, doc_id=doc_id, text=text, width=width), similarity)
+
+    found = linked(prints, doc_id, selections(tables, bits, size), radius, scratch, n_words, also=("set_key",), confirm=confirm)
     return found.select(quoted(doc_id), "component_id")
 
 
@@ -168,6 +217,28 @@ def recall(similarity: float, tables: int, bits: int) -> float:
     return 1 - (1 - equal_bits(similarity) ** bits) ** tables
 
 
+def search_recall(similarity: float, tables: int, bits: int, radius: int, size: int) -> float:
+    """Chance that a pair of this similarity shares a selection and lies within the radius."""
+    p = 1 - equal_bits(similarity)
+    out = 0.0
+    for d in range(min(radius, size - bits) + 1):
+        share = math.comb(size - d, bits) / math.comb(size, bits)
+        out += math.comb(size, d) * p**d * (1 - p) ** (size - d) * (1 - (1 - share) ** tables)
+    return out
+
+
+def search_plan(classes: int, similarity: float, radius: int, size: int, target: float) -> tuple[int, int]:
+    """(bits of a selection, selections): the least number with which ``search_recall`` is ``target`` at any size."""
+    bits, low = table_plan(classes, similarity, target=target)  # what the same chance for a mean pair takes
+    high = low
+    while search_recall(similarity, high, bits, radius, size) < target:
+        low, high = high, 2 * high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if search_recall(similarity, middle, bits, radius, size) >= target else (middle + 1, high)
+    return bits, high
+
+
 def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates; rows without an id stay.
 

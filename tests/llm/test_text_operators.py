@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from boxfield.llm import decontamination, licenses, packing, quality_crf, qualit
 from boxfield.llm.common import Scratch
 from boxfield.llm.graph import components
 from boxfield.llm.hamming import links, table_bits
+from boxfield.llm.jaccard import set_components
 from boxfield.llm.queries import tokenizer_path
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -177,6 +179,59 @@ def test_near_duplicates_and_keep_one(spark, empty):
     assert rows(simhash.keep_one(empty)) == []
 
 
+def pairs_at(lowest, highest, count, seed):
+    """[(id, text)]: pairs (2k, 2k + 1) that differ in their last words, and their exact similarities by k."""
+    draw = random.Random(seed)
+    out, exact = [], []
+    while len(exact) < count:
+        base = ["".join(draw.choices("abcdefghijkl", k=7)) for _ in range(220)]
+        changed = draw.randrange(5, 50)
+        other = base[:-changed] + [w[::-1] + "x" for w in base[-changed:]]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, other))
+        share = len(a & b) / len(a | b)
+        if lowest <= share < highest:
+            out += [(2 * len(exact), " ".join(base)), (2 * len(exact) + 1, " ".join(other))]
+            exact.append(share)
+    return out, exact
+
+
+def test_near_duplicates_equal_an_exact_join_about_the_threshold(spark):
+    texts, exact = pairs_at(0.66, 0.92, 400, 6)
+    got = dict(rows(simhash.near_duplicates(documents(spark, texts))))
+    linked = [got[2 * k + 1] == 2 * k for k in range(len(exact))]
+    assert not any(hit for hit, s in zip(linked, exact) if s < 0.8)
+    for low, high, least in ((0.8, 0.85, 0.93), (0.85, 0.92, 0.97)):
+        band = [hit for hit, s in zip(linked, exact) if low <= s < high]
+        assert len(band) > 40 and sum(band) >= least * len(band)
+
+
+def test_set_components_equal_all_pairs():
+    draw = random.Random(7)
+    sets = []
+    for _ in range(12):
+        base = [draw.getrandbits(64) for _ in range(draw.randrange(1, 60))]
+        for _ in range(12):
+            sets.append(np.unique(np.array([x if draw.random() > 0.1 else draw.getrandbits(64) for x in base], np.uint64)))
+    sets.append(np.zeros(0, np.uint64))
+    up = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if len(a) and both >= 0.8 * (len(a) + len(sets[j]) - both) - 1e-9 and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert set_components(sets, 0.8).tolist() == up
+
+
+def test_search_finds_pairs_at_the_threshold_at_any_size():
+    for n in (0, 1000, 10**6, 10**9):
+        radius = simhash.search_radius(0.8, 256)
+        bits, tables = simhash.search_plan(n, 0.8, radius, 256, 0.97)
+        found = [simhash.search_recall(s, tables, bits, radius, 256) for s in (0.8, 0.85, 0.9)]
+        assert found[0] >= 0.97 and found[1] >= 0.99 and found[2] >= 0.998
+        assert n / 2**bits <= 8
+
+
 def test_table_plan_keeps_recall_at_any_size():
     for n in (0, 1, 1000, 10**6, 10**9):
         bits, tables = simhash.table_plan(n, 0.8)
