@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z), split into words at ASCII white space and shingled;
 a fingerprint bit is 1 if it is set in over half of the shingles' hashes, repeats
-included.  Documents with equal fingerprints form a class, the Hamming self-join
+included (near_duplicates leaves them out: its similarity is one of sets).  Documents with equal fingerprints form a class, the Hamming self-join
 of hamming.py links the classes, and graph.py joins them into components.
 
 Two uses share this code:
@@ -157,12 +157,12 @@ def set_key(shingles: bytes) -> int:
 
 
 def set_prints(docs: DataFrame, *, text: str, width: int, n_words: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns, fp0, fp1, ... and a hash of the whole shingle set."""
+    """``keep`` columns, fp0, fp1, ... of the distinct shingles and a hash of their whole set."""
 
     def make():
         def work(batch):
             hashes = [shingle_hashes(t, width) for t in batch]
-            rows = [fingerprint(h, n_words) for h in hashes]
+            rows = [fingerprint(np.unique(h), n_words) for h in hashes]
             return {f"fp{j}": [r[j] for r in rows] for j in range(n_words)} | {"set_key": [set_key(set_of(h)) for h in hashes]}
 
         return work

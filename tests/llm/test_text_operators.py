@@ -205,6 +205,18 @@ def test_near_duplicates_equal_an_exact_join_about_the_threshold(spark):
         assert len(band) > 40 and sum(band) >= least * len(band)
 
 
+def test_near_duplicates_compare_sets_whatever_is_repeated(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line = text(14)
+    unlike = [(1, f"{text(200)} {' '.join([line] * 50)}"), (2, f"{text(200)} {' '.join([line] * 50)}")]
+    body = text(300)
+    copies = [(3, f"{body} {line}"), (4, f"{body} {' '.join([line] * 60)}")]
+    got = rows(simhash.near_duplicates(documents(spark, unlike + copies)))
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 3)]
+
+
 def test_set_components_equal_all_pairs():
     draw = random.Random(7)
     sets = []
