@@ -189,7 +189,7 @@ def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bo
     return wide.select("box_id", pick.alias("open_side"), F.when(pick == 1, F.col("corridor1")).otherwise(F.col("corridor2")).alias("corridor"), "far1", "far2")
 
 
-def cell_clusters(points: DataFrame, cell: float = C.CELL, rounds: int = 60) -> DataFrame:
+def cell_clusters(points: DataFrame, cell: float = C.CELL) -> DataFrame:
     """cluster, n, x0, y0, x1, y1: connected dense cells of the ground plan, after one cell of dilation.
 
     Cells are few against points; labels spread by minima over neighbour cells
@@ -205,7 +205,7 @@ def cell_clusters(points: DataFrame, cell: float = C.CELL, rounds: int = 60) ->
     key = F.col("i") * F.lit(1 << 31) + F.col("j")
     labels = checkpointed(grown.withColumn("label", key))
     edges = checkpointed(neighbour_cells(grown, ["i", "j"]).select("i", "j", "o_i", "o_j").join(grown, ["i", "j"], "left_semi"))
-    for _ in range(rounds):
+    while True:
         spread = edges.join(labels.select(F.col("i").alias("o_i"), F.col("j").alias("o_j"), "label"), ["o_i", "o_j"]).groupBy("i", "j").agg(F.min("label").alias("low"))
         step = labels.join(spread, ["i", "j"]).select("i", "j", F.least("label", "low").alias("label"), F.col("label").alias("old"))
         jump = step.select(key.alias("label"), F.col("label").alias("up"))

@@ -67,14 +67,20 @@ def points_in(points: DataFrame, rects: DataFrame, scene: list[str], cell: float
     return hit.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merged_groups(points: DataFrame, boxes: DataFrame, frame_yaw: float = 0.0, rounds: int = 30) -> DataFrame:
+def merged_groups(points: DataFrame, boxes: DataFrame, frame_yaw: float = 0.0) -> DataFrame:
     """boxes with group: the smallest id of all boxes joined over bridged gaps; refit the points of a group's rectangle to get its box."""
-    links = checkpointed(bridged_pairs(points, boxes, frame_yaw))
+    return grouped(boxes, checkpointed(bridged_pairs(points, boxes, frame_yaw)))
+
+
+def grouped(boxes: DataFrame, links: DataFrame) -> DataFrame:
+    """boxes with group: the smallest box_id that links (a, b) reach; rounds with a jump to the label's label until nothing changes."""
     both = links.union(links.select("b", "a")).toDF("n", "m")
     labels = checkpointed(boxes.select(F.col("box_id").alias("n"), F.col("box_id").alias("group")))
-    for _ in range(rounds):
+    while True:
         low = both.join(labels.withColumnRenamed("n", "m"), "m").groupBy("n").agg(F.min("group").alias("low"))
-        after = checkpointed(labels.join(low, "n", "left").select("n", F.least("group", F.coalesce("low", "group")).alias("new"), "group"))
+        step = labels.join(low, "n", "left").select("n", F.least("group", F.coalesce("low", "group")).alias("new"), "group")
+        jump = step.select(F.col("n").alias("new"), F.col("new").alias("up"))
+        after = checkpointed(step.join(jump, "new", "left").select("n", F.least("new", F.coalesce("up", "new")).alias("new"), "group"))
         labels = after.select("n", F.col("new").alias("group"))
         if after.where("new <> group").isEmpty():
             break

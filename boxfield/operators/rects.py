@@ -71,7 +71,7 @@ def chain_links(rects: DataFrame, axis: str) -> DataFrame:
     ).select("view_id", "a", "b")
 
 
-def chain_members(rects: DataFrame, axis: str, rounds: int = 40) -> DataFrame:
+def chain_members(rects: DataFrame, axis: str) -> DataFrame:
     """view_id, rect_id, chain: components of at least three linked rectangles, named by their smallest id.
 
     Labels are minima over neighbours with a jump to the label's label in every
@@ -80,7 +80,7 @@ def chain_members(rects: DataFrame, axis: str, rounds: int = 40) -> DataFrame:
     links = chain_links(rects, axis)
     both = links.select("view_id", F.col("a").alias("n"), F.col("b").alias("m")).union(links.select("view_id", F.col("b"), F.col("a"))).persist()
     labels = both.select("view_id", F.col("n").alias("rect_id")).distinct().withColumn("chain", F.col("rect_id"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select("view_id", F.col("rect_id").alias("m"), F.col("chain").alias("c")), ["view_id", "m"]).groupBy("view_id", F.col("n").alias("rect_id")).agg(F.min("c").alias("c"))
         moved = labels.join(near, ["view_id", "rect_id"]).select("view_id", "rect_id", F.least("chain", "c").alias("chain"), F.col("chain").alias("old"))
         jump = moved.select("view_id", F.col("rect_id").alias("chain"), F.col("chain").alias("up"))

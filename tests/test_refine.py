@@ -47,3 +47,21 @@ def test_boxes_join_over_bridged_gaps(spark):
     pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "pt_id bigint, x double, y double, z double")
     boxes = spark.createDataFrame([(1, 0.5, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (2, 1.8, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (3, 5.5, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0), (4, 6.8, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0)], BOX)
     assert {r.box_id: r.group for r in M.merged_groups(pts, boxes).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_a_long_row_is_one_group(spark):
+    from boxfield.operators import merging as M
+
+    boxes = spark.range(80).toDF("box_id")
+    links = spark.range(59).selectExpr("id a", "id + 1 b").union(spark.createDataFrame([(70, 71)], "a bigint, b bigint"))
+    got = {r.box_id: r.group for r in M.grouped(boxes, links).collect()}
+    assert got == {i: 0 if i < 60 else 70 if i == 71 else i for i in range(80)}
+
+
+def test_bridged_cabinets_of_a_long_row_are_one_group(spark):
+    from boxfield.operators import merging as M
+
+    xyz = [(0.1 * k + 0.05, 0.1 * j - 0.45, 1.0) for k in range(420) for j in range(10)]
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(xyz)], "pt_id bigint, x double, y double, z double")
+    boxes = spark.createDataFrame([(i, 1.05 * i + 0.5, 0.0, 1.0, 1.0, 1.0, 2.0, 0.0) for i in range(40)], BOX)
+    assert {r.group for r in M.merged_groups(pts, boxes).collect()} == {0}
