@@ -94,14 +94,18 @@ def chain_members(rects: DataFrame, axis: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; tests get one of their own."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="boxfield-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    """Cut the lineage in the folder that the cluster names; only on one machine (tests) a folder is made up."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            base = tempfile.mkdtemp(prefix="boxfield-")
+        sc.setCheckpointDir(base)
     return df.checkpoint()
 
 
