@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geometry import corners, frame_rect, to_local
-from .spatial import box_pairs, near_points, neighbour_cells
+from .spatial import box_pairs, neighbour_cells, scene_keys
 
 
 def _inside(x: Column, y: Column, suffix: str = "") -> Column:
@@ -21,8 +21,10 @@ def _inside(x: Column, y: Column, suffix: str = "") -> Column:
 def overlaps(boxes: DataFrame, others: DataFrame, reach: float = 0.0, grid: float = C.IOU_GRID) -> DataFrame:
     """box_id, other, iou, contained: raster overlap of footprints on a grid over both, for pairs that touch.
 
-    Footprints that do not touch overlap by 0 and are not listed.  ``contained``
-    is the share of the first footprint's grid points inside the second.
+    Footprints that do not touch overlap by 0 and are not listed, nor are pairs
+    whose common grid would have more than IOU_MAX_CELLS points, which count as
+    not overlapping by rule.  ``contained`` is the share of the first footprint's
+    grid points inside the second.
     """
     p = box_pairs(boxes, others, reach)
     a, b = frame_rect(), frame_rect(cx="cx_b", cy="cy_b", length="sl_b", width="sw_b", yaw="yaw_b")
@@ -163,16 +165,34 @@ def piece_top(z_mask, z_col, seed_top, strict: bool = False) -> tuple[Column, Co
     return F.when(source == "mask", m).when(source.isNotNull(), k), source
 
 
-def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bool = False, far_reach: float = C.TILE_SPAN) -> DataFrame:
+def strip_points(points: DataFrame, boxes: DataFrame, across_v: Column, half: Column, cell: float = 4.0) -> DataFrame:
+    """Box and point columns with u, v of all points of the scene whose coordinate along the strip's cross axis is below ``half``.
+
+    The strip has no ends but the cloud's own bounds: a box is written for each
+    grid cell of its scene that the strip touches, and joined on the cell.
+    """
+    scene = scene_keys(points, boxes)
+    bounds = points.groupBy(*scene).agg(*(f(c).alias(f"__{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    wide = boxes.join(bounds, scene) if scene else boxes.crossJoin(F.broadcast(bounds))  # without scenes the bounds are one row
+    cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"__lo{c}") / cell), F.floor(F.col(f"__hi{c}") / cell)))
+    wide = wide.where(F.col("__lox").isNotNull() & F.col("__loy").isNotNull()).withColumn("__gx", cells("x")).withColumn("__gy", cells("y"))
+    u, v, _ = to_local((F.col("__gx") + 0.5) * cell, (F.col("__gy") + 0.5) * cell, F.lit(0.0), "cx", "cy", F.lit(0.0), "yaw")
+    wide = wide.where(F.abs(F.when(across_v, v).otherwise(u)) <= half + cell * 0.7072).drop("__lox", "__hix", "__loy", "__hiy")
+    keyed = points.withColumns({"__gx": F.floor(F.col("x") / cell), "__gy": F.floor(F.col("y") / cell)})
+    u, v, _ = to_local("x", "y", F.lit(0.0), "cx", "cy", F.lit(0.0), "yaw")
+    return keyed.join(wide, [*scene, "__gx", "__gy"]).drop("__gx", "__gy").withColumns({"u": u, "v": v})
+
+
+def corridors(splats: DataFrame, boxes: DataFrame, reach: float = 3.0, along: bool = False) -> DataFrame:
     """box_id, side, corridor, far, open: free width past each face (``along``: each end) and which side is open.
 
     Opacity is summed in 5 cm bins past the face; the first bin with a mass of one
     blocks.  A side with three times the far mass of the other, and 20 at least, is
-    open whatever its corridor; far mass is looked for up to one tile away.
+    open whatever its corridor; far mass is all of the scene's in the strip.
     """
-    near = near_points(splats, boxes, max(reach, far_reach), cell=4.0)
     long_first = F.col("sl") >= F.col("sw")
     face_is_v = long_first if not along else ~long_first
+    near = strip_points(splats, boxes, ~face_is_v, F.when(face_is_v, F.col("sl")).otherwise(F.col("sw")) / 2 + 1.0)
     du, dv = F.when(face_is_v, F.col("v")).otherwise(F.col("u")), F.when(face_is_v, F.col("u")).otherwise(F.col("v"))
     face = F.when(face_is_v, F.col("sw")).otherwise(F.col("sl")) / 2
     strip = F.when(face_is_v, F.col("sl")).otherwise(F.col("sw")) / 2 + 1.0

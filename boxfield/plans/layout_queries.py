@@ -58,11 +58,11 @@ def edge_error(spark, d):
     return e.select("box_id", *(r(F.col("errors")[i]).alias(f"e{i}") for i in range(4)))
 
 
-ROWS = "rb AS (SELECT *, abs(cos(yaw)*cos(0.1e0)+sin(yaw)*sin(0.1e0))>0.9e0 m FROM v_boxes), rc AS (SELECT *, CASE WHEN m THEN 0 ELSE 1 END bucket, round(CASE WHEN m THEN cx*cos(0.1e0)+cy*sin(0.1e0) ELSE cy*cos(0.1e0)-cx*sin(0.1e0) END,9) along, round(CASE WHEN m THEN cy*cos(0.1e0)-cx*sin(0.1e0) ELSE -(cx*cos(0.1e0)+cy*sin(0.1e0)) END,9) cross_ FROM rb), rl AS (SELECT *, CASE WHEN cross_-lag(cross_) OVER (PARTITION BY bucket ORDER BY cross_, box_id)>0.04e0 THEN 1 ELSE 0 END nw FROM rc), ro AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY bucket ORDER BY cross_, box_id ROWS UNBOUNDED PRECEDING) AS BIGINT) row_no FROM rl)"
+ROWS = "rb AS (SELECT *, abs(cos(yaw)*cos(0e0)+sin(yaw)*sin(0e0))>0.9e0 m FROM v_boxes), rc AS (SELECT *, CASE WHEN m THEN 0 ELSE 1 END bucket, round(CASE WHEN m THEN cx*cos(0e0)+cy*sin(0e0) ELSE cy*cos(0e0)-cx*sin(0e0) END,9) along, round(CASE WHEN m THEN cy*cos(0e0)-cx*sin(0e0) ELSE -(cx*cos(0e0)+cy*sin(0e0)) END,9) cross_ FROM rb), rl AS (SELECT *, CASE WHEN cross_-lag(cross_) OVER (PARTITION BY bucket ORDER BY cross_, box_id)>0.35e0 THEN 1 ELSE 0 END nw FROM rc), ro AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY bucket ORDER BY cross_, box_id ROWS UNBOUNDED PRECEDING) AS BIGINT) row_no FROM rl)"
 
 
 def rowed(spark, d):
-    return L.rows(V.boxes(spark, d), 0.1, gap=0.04)
+    return L.rows(V.boxes(spark, d), 0.0)
 
 
 @query(given(BOX, ROWS) + f"SELECT box_id, bucket, row_no, {rs('along')} along, {rs('cross_')} cross_at FROM ro")
@@ -133,14 +133,15 @@ def free_row_end(spark, d):
     return corridor_rows(L.corridors(V.gaussians(spark, d), V.boxes(spark, d), along=True))
 
 
-@query("WITH RECURSIVE " + POINTS + """, pl AS (SELECT * FROM v_points WHERE z>1.2e0 AND CAST(floor(x) AS BIGINT)%2=0),
+@query("WITH RECURSIVE " + POINTS + """, pl AS (SELECT * REPLACE (x+CAST(floor(x) AS BIGINT)%10*2e0 AS x) FROM v_points),
 ce AS (SELECT CAST(floor(x/0.3e0) AS BIGINT) i, CAST(floor(y/0.3e0) AS BIGINT) j, count(*) n, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM pl GROUP BY 1,2),
 gr AS (SELECT DISTINCT i+a i, j+b j FROM ce, (VALUES (-1),(0),(1)) s(a), (VALUES (-1),(0),(1)) t(b) WHERE n>=6 AND i+a BETWEEN (SELECT min(i) FROM ce) AND (SELECT max(i) FROM ce) AND j+b BETWEEN (SELECT min(j) FROM ce) AND (SELECT max(j) FROM ce)),
 re(i, j, a, b) AS (SELECT i, j, i, j FROM gr UNION SELECT re.i, re.j, g.i, g.j FROM re JOIN gr g ON abs(g.i-re.a)<=1 AND abs(g.j-re.b)<=1),
 lb AS (SELECT i, j, min(a*2147483648+b) label FROM re GROUP BY 1,2)
 SELECT label AS cluster, CAST(sum(n) AS BIGINT) n, """ + ", ".join(f"{rs(e)} {c}" for c, e in (("x0", "min(x0)-0.15e0"), ("y0", "min(y0)-0.15e0"), ("x1", "max(x1)+0.15e0"), ("y1", "max(y1)+0.15e0"))) + " FROM ce JOIN lb USING (i, j) GROUP BY label HAVING sum(n)>=60")
 def cluster_candidates(spark, d):
-    out = L.cell_clusters(V.points(spark, d).where("z > 1.2 and floor(x) % 2 = 0"))
+    spread = V.points(spark, d).withColumn("x", F.expr("x+CAST(floor(x) AS BIGINT)%10*2e0"))  # strips of one metre, two metres apart
+    out = L.cell_clusters(spread)
     return out.withColumns({c: r(c) for c in ("x0", "y0", "x1", "y1")})
 
 

@@ -35,14 +35,14 @@ def labels(spark, d):
 LADDER = "(contains(lower(label),'ladder') OR contains(lower(label),'cable tray'))"
 
 
-@query(given(LABELS) + f"SELECT view_id FROM lb WHERE candidate%4<>0 GROUP BY view_id HAVING bool_or({LADDER}) AND NOT bool_or(NOT ({LADDER} OR contains(lower(label),'door')))")
+@query(given(LABELS) + f"SELECT view_id FROM lb GROUP BY view_id HAVING bool_or({LADDER}) AND NOT bool_or(NOT ({LADDER} OR contains(lower(label),'door')))")
 def ladder_only_views(spark, d):
-    return R.ladder_only_views(labels(spark, d).where("candidate % 4 <> 0"))
+    return R.ladder_only_views(labels(spark, d))
 
 
-@query(given(LABELS) + "SELECT view_id, bool_and(regexp_matches(lower(label), 'rack|cabinet|server|device|equipment|ups|crac|ac|pdu') AND score>=0.6e0) AS skip FROM lb WHERE candidate%5=0 GROUP BY view_id")
+@query(given(LABELS) + "SELECT view_id, bool_and(regexp_matches(lower(label), 'rack|cabinet|server|device|equipment|ups|crac|ac|pdu') AND score>=0.6e0) AS skip FROM lb GROUP BY view_id")
 def confirm_needless(spark, d):
-    return R.confirm_needless(labels(spark, d).where("candidate % 5 = 0"))
+    return R.confirm_needless(labels(spark, d))
 
 
 @query(given(LABELS, "rk AS (SELECT view_id, candidate, energy, row_number() OVER w rn, lead(energy) OVER w nxt FROM lb WINDOW w AS (PARTITION BY view_id ORDER BY energy DESC, candidate))") + "SELECT view_id, candidate AS best, nxt IS NULL OR energy>=1.35e0*nxt AS clear FROM rk WHERE rn=1")
@@ -56,12 +56,12 @@ def measure_face_surface(spark, d):
     return R.face_surfaces(p).withColumn("plane", r("plane"))
 
 
-MEASURED = "ms AS (SELECT event_id%120 box_id, CASE WHEN event_id%2=0 THEN 'front' ELSE 'back' END face, CASE WHEN event_id%2=0 THEN 0.3e0+CAST(event_id%17 AS DOUBLE)/10e0 ELSE -0.2e0-CAST(event_id%13 AS DOUBLE)/20e0 END plane, event_id points FROM events WHERE event_id%3<>0)"
+MEASURED = "ms AS (SELECT event_id%120 box_id, CASE WHEN event_id%2=0 THEN 'front' ELSE 'back' END face, CASE WHEN event_id%2=0 THEN 0.3e0+CAST(event_id%17 AS DOUBLE)/10e0 ELSE -0.2e0-CAST(event_id%13 AS DOUBLE)/20e0 END plane, event_id points FROM events)"
 
 
 @query(given(BOX, MEASURED, "bs AS (SELECT box_id, max(CASE WHEN face='front' THEN {'p': points, 'v': plane} END).v f, max(CASE WHEN face='back' THEN {'p': points, 'v': plane} END).v b FROM ms GROUP BY 1)", "hl AS (SELECT v.*, coalesce(f, sw/2e0) hi, coalesce(b, -sw/2e0) lo FROM v_boxes v LEFT JOIN bs USING (box_id))", "ok AS (SELECT *, hi-lo BETWEEN 0.3e0 AND 2.5e0 o FROM hl)") + f"SELECT box_id, {rs('cx-sin(yaw)*(CASE WHEN o THEN (hi+lo)/2e0 ELSE 0e0 END)')} cx, {rs('cy+cos(yaw)*(CASE WHEN o THEN (hi+lo)/2e0 ELSE 0e0 END)')} cy, {rs('CASE WHEN o THEN hi-lo ELSE sw END')} sw FROM ok")
 def face_surface_constraints(spark, d):
-    m = V.table(spark, d, "events").where("event_id % 3 <> 0").selectExpr("event_id%120 box_id", "CASE WHEN event_id%2=0 THEN 'front' ELSE 'back' END face", "CASE WHEN event_id%2=0 THEN 0.3e0+CAST(event_id%17 AS DOUBLE)/10e0 ELSE -0.2e0-CAST(event_id%13 AS DOUBLE)/20e0 END plane", "event_id points")
+    m = V.table(spark, d, "events").selectExpr("event_id%120 box_id", "CASE WHEN event_id%2=0 THEN 'front' ELSE 'back' END face", "CASE WHEN event_id%2=0 THEN 0.3e0+CAST(event_id%17 AS DOUBLE)/10e0 ELSE -0.2e0-CAST(event_id%13 AS DOUBLE)/20e0 END plane", "event_id points")
     return R.faces_applied(V.boxes(spark, d), m).select("box_id", r("cx").alias("cx"), r("cy").alias("cy"), r("sw").alias("sw"))
 
 
@@ -90,8 +90,7 @@ def absorb_single(spark, d):
 
 @query()
 def complete_row_gaps(spark, d):
-    b = V.boxes(spark, d).where("box_id % 4 <> 1")
-    found = R.filled_rows(V.points(spark, d), b, 0.0, gap=0.04)
+    found = R.filled_rows(V.points(spark, d), V.boxes(spark, d), 0.0)
     return found.select("bucket", "row_no", "place", "step", *(r(c).alias(c) for c in ("cx", "cy", "sl", "sw", "sh")))
 
 

@@ -145,10 +145,10 @@ def obb_sat_gap(spark, d):
     return p.select("box_id", F.col("box_id_b").alias("other"), r(gap).alias("gap"))
 
 
-@query(given(BOX) + "SELECT box_id, CASE WHEN least(sl,sw)>2.5e0 THEN true ELSE false END oversized, device_type IN ('rack','ac','ups','unknown') known FROM v_boxes WHERE box_id<>3")
+@query(given(BOX) + "SELECT box_id, CASE WHEN least(sl,sw)>2.5e0 THEN true ELSE false END oversized, device_type IN ('rack','ac','ups','unknown') known, box_id=3 removed FROM v_boxes")
 def box_predicates(spark, d):
-    b = V.boxes(spark, d).where("box_id <> 3")
-    return b.select("box_id", (F.least("sl", "sw") > 2.5).alias("oversized"), F.col("device_type").isin("rack", "ac", "ups", "unknown").alias("known"))
+    b = V.boxes(spark, d)
+    return b.select("box_id", (F.least("sl", "sw") > 2.5).alias("oversized"), F.col("device_type").isin("rack", "ac", "ups", "unknown").alias("known"), (F.col("box_id") == 3).alias("removed"))
 
 
 # Cameras
@@ -165,10 +165,10 @@ def camera_project(spark, d):
     return V.points(spark, d).select("pt_id", r(px, 4).alias("px"), r(py, 4).alias("py"), r(depth).alias("depth"))
 
 
-@query(given(POINTS) + f"SELECT pt_id, {rs('x')} x, {rs('y')} y FROM v_points WHERE z<1e0")
+@query(given(POINTS) + f"SELECT pt_id, {rs('x')} x, {rs('y')} y FROM v_points")
 def unproject_ground(spark, d):
     px, py, _ = CAM.project("x", "y", "z")
-    p = V.points(spark, d).where("z < 1").select("pt_id", "z", px.alias("px"), py.alias("py"))
+    p = V.points(spark, d).select("pt_id", "z", px.alias("px"), py.alias("py"))
     x, y = CAM.to_plane("px", "py", "z")
     return p.select("pt_id", r(x).alias("x"), r(y).alias("y"))
 
@@ -196,11 +196,11 @@ def depth_buffer(spark, d):
     return p.groupBy("px", "py").agg(r(F.min("depth")).alias("zbuf"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) pt_id, " + ", ".join([rs("exp(l_tax*10e0-4e0)") + " scale", rs("1e0/(1e0+exp(-(l_discount*60e0-2e0)))") + " opacity", rs("(1e0+l_tax)/sqrt((1e0+l_tax)*(1e0+l_tax)+l_discount*l_discount+l_tax*l_tax*4e0+0.25e0)") + " qw", rs("greatest(0e0, least(1e0, 0.5e0+0.28209479177387814e0*(l_quantity/25e0-1e0)))") + " red"]) + " FROM lineitem WHERE l_discount*20e0+l_tax*5e0<2e0")
+@query("SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) pt_id, " + ", ".join([rs("exp(l_tax*10e0-4e0)") + " scale", rs("1e0/(1e0+exp(-(l_discount*60e0-2e0)))") + " opacity", rs("(1e0+l_tax)/sqrt((1e0+l_tax)*(1e0+l_tax)+l_discount*l_discount+l_tax*l_tax*4e0+0.25e0)") + " qw", rs("greatest(0e0, least(1e0, 0.5e0+0.28209479177387814e0*(l_quantity/25e0-1e0)))") + " red"]) + " FROM lineitem")
 def gaussian_decode(spark, d):
     from ..sources.ply import decoded
 
-    g = decoded(V.gaussians(spark, d).where("z < 2"))
+    g = decoded(V.gaussians(spark, d))
     return g.select("pt_id", r("scale").alias("scale"), r("opacity").alias("opacity"), r("qw_n").alias("qw"), r("red").alias("red"))
 
 
@@ -293,9 +293,9 @@ def overlay_mask(spark, d):
     return R.blended(V.pixels(spark, d))
 
 
-@query(given(PIXELS) + "SELECT px, py, bool_or(mask) mask FROM v_pixels WHERE view_id<5 GROUP BY 1,2")
+@query(given(PIXELS) + "SELECT px, py, bool_or(mask) mask FROM v_pixels GROUP BY 1,2")
 def masks_union(spark, d):
-    return R.masks_union(V.pixels(spark, d).where("view_id < 5"))
+    return R.masks_union(V.pixels(spark, d))
 
 
 # Replies
