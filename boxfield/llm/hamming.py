@@ -11,9 +11,11 @@ states is left out below it.  A search walks down from the root and adds up
 the differences to the stated bits; a node whose sum is beyond the radius is
 pruned with everything below it.
 
-Buckets too large for one task are split further by more selected bits before
-they are searched (exactly: see ``refined``).  Pairs are never written out: each
-task keeps a forest of the links that it finds and returns its edges.
+Other keys than selected bits may make the buckets too (simhash.py uses shingles).
+Buckets too large for one task are split without loss before they are searched:
+by more bits (``refined``), or into blocks that meet two by two (``in_blocks``).
+Pairs are never written out: each task keeps a forest of the links that it finds
+and returns its edges, and rows that are joined already are not compared again.
 """
 
 from __future__ import annotations
@@ -72,47 +74,64 @@ class GrayIndex:
             down["rest"] = down["mask"] & ~up["mask"][parent]
         self.levels[0]["rest"] = self.levels[0]["mask"]
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row numbers (i < j) of all pairs within the radius and in one bucket."""
+    def uniform(self, root: np.ndarray) -> list[np.ndarray]:
+        """For each level the root that all rows below a node share, or -1."""
+        low = high = root
+        out = []
+        for level in reversed(self.levels):
+            low, high = np.minimum.reduceat(low, level["start"]), np.maximum.reduceat(high, level["start"])
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
+    def roots(self, radius: int) -> np.ndarray:
+        """Root of each row after joining all pairs within the radius and in one bucket.
+
+        Nodes below which all rows have the query's root already are left out too,
+        so that a large group of near copies takes few comparisons.
+        """
         n = len(self.fp)
-        size = np.bincount(self.tree_of)[self.tree_of] if n else np.zeros(0, int)
+        root = np.arange(n)
+        if not n:
+            return root
+        cost = np.cumsum(np.bincount(self.tree_of)[self.tree_of])
         at = 0
-        cost = np.cumsum(size)
         while at < n:
             to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER, "right")))
+            shared = self.uniform(root)
             q = np.arange(at, min(to, n))
-            at = q[-1] + 1
+            at = to
             node = self.tree_of[q]
             acc = np.zeros(len(q), np.int32)
-            for level in self.levels:
+            mask_of = node
+            for level, own in zip(self.levels, shared):
+                new = own[node] != root[q]
+                q, node, acc = q[new], node[new], acc[new]
                 acc = acc + differences((self.fp[q] ^ level["value"][node]) & level["rest"][node])
-                keep = (acc <= radius) & (level["end"][node] > 0)
+                keep = acc <= radius
                 q, node, acc = q[keep], node[keep], acc[keep]
                 width = level["end"][node] - level["start"][node]
                 base = np.repeat(level["start"][node] - np.r_[0, np.cumsum(width)[:-1]], width)
                 mask_of = np.repeat(node, width)
                 q, acc, node = np.repeat(q, width), np.repeat(acc, width), base + np.arange(width.sum())
-            ahead = node > q
-            q, node, acc, mask_of = q[ahead], node[ahead], acc[ahead], mask_of[ahead]
+            other = (node > q) & (root[node] != root[q])
+            q, node, acc, mask_of = q[other], node[other], acc[other], mask_of[other]
             acc = acc + differences((self.fp[q] ^ self.fp[node]) & ~self.levels[-1]["mask"][mask_of])
             hit = acc <= radius
-            yield q[hit], node[hit]
+            join(root, q[hit], node[hit])
+        return root
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Root of each of n rows after joining all pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while len(a):
-            ra, rb = root[a], root[b]
-            differ = ra != rb
-            if not differ.any():
-                break
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(up := root[root], root):
-                root = up
-    return root
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the pairs (a, b) in the forest ``root``, in which every row points to the smallest row of its tree."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        differ = ra != rb
+        if not differ.any():
+            return
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
 
 
 def table_bits(count: int, size: int) -> list[list[int]]:
@@ -172,7 +191,7 @@ def searched(rows: DataFrame, names: list[str], radius: int) -> DataFrame:
             bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]])
             order = np.lexsort((gray_rank(fp[:, 0]), bucket))
             ids, fp, bucket = ids[order], fp[order], bucket[order]
-            root = forest(len(ids), GrayIndex(fp, bucket).pairs(radius))
+            root = GrayIndex(fp, bucket).roots(radius)
             moved = np.flatnonzero(root != np.arange(len(ids)))
             return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
 
@@ -200,20 +219,44 @@ def searched(rows: DataFrame, names: list[str], radius: int) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, names: list[str], tables: list[list[int]], radius: int, scratch: Scratch, *, split_rows: int = 20_000) -> DataFrame:
-    """Edges (a, b) that join all nodes (id, words...) within the radius that share a table's bits.
+def hot_keys(rows: DataFrame, split_rows: int, scratch: Scratch, n_rows: int | None = None) -> DataFrame:
+    """(h, n) of keys with more than ``split_rows`` rows.
 
-    ``tables`` of disjoint runs over all bits, more than ``radius`` of them, make
-    this exact; other selections find a pair with the chance that one of them
-    agrees.  ``refined`` splits buckets of more than ``split_rows`` nodes.
+    Keys are counted by some of their bits first, so that few counts are shuffled;
+    only keys in crowded parts are then counted one by one.
     """
-    rows = keyed(nodes, names, tables)
-    hot = scratch.write(rows.groupBy("h").count().where(F.col("count") > split_rows).select("h"))
+    bits = max(16, (max(1, (n_rows or 0) // 2000)).bit_length())
+    part = F.shiftrightunsigned(F.xxhash64("h"), 64 - bits)
+    crowded = scratch.write(rows.groupBy(part.alias("part")).count().where(F.col("count") > split_rows).select("part"))
+    if crowded.isEmpty():
+        return crowded.select(F.col("part").alias("h"), F.col("part").alias("n"))
+    return scratch.write(rows.select("h").withColumn("part", part).join(crowded, "part", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_rows))
+
+
+def links(rows: DataFrame, names: list[str], radius: int, scratch: Scratch, split, *, split_rows: int = 20_000, n_rows: int | None = None) -> DataFrame:
+    """Edges (a, b) that join all rows (id, words..., h) of equal h within the radius; ``split`` cuts hot buckets (rows with n) into smaller ones."""
+    hot = hot_keys(rows, split_rows, scratch, n_rows)
     if hot.isEmpty():
         return searched(rows, names, radius)
-    big = rows.join(hot, "h", "left_semi")
+    big = rows.join(hot, "h")
     small = rows.join(hot, "h", "left_anti")
-    return searched(small, names, radius).union(searched(refined(big, names, tables, radius), names, radius))
+    return searched(small, names, radius).union(searched(split(big), names, radius))
+
+
+def table_links(nodes: DataFrame, names: list[str], tables: list[list[int]], radius: int, scratch: Scratch, **options) -> DataFrame:
+    """Edges that join all nodes (id, words...) within the radius.
+
+    Exact: ``tables`` are disjoint runs over all bits, and more than ``radius`` of them.
+    """
+    return links(keyed(nodes, names, tables), names, radius, scratch, lambda big: refined(big.drop("n"), names, tables, radius), **options)
+
+
+def in_blocks(big: DataFrame, names: list[str], size: int) -> DataFrame:
+    """Rows of hot buckets, dealt into blocks of about ``size`` rows; every two blocks of a bucket meet in a bucket of their own."""
+    blocks = F.ceil(F.col("n") / F.lit(size))
+    own = F.pmod(F.xxhash64("id"), blocks)
+    spread = big.select("id", *names, "h", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    return spread.where("own <> other").select("id", *names, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"))
 
 
 def refined(big: DataFrame, names: list[str], tables: list[list[int]], radius: int) -> DataFrame:
@@ -221,24 +264,23 @@ def refined(big: DataFrame, names: list[str], tables: list[list[int]], radius: i
 
     Two fingerprints of a bucket agree on its bits, so all their differences lie
     in the others; of radius + 1 parts of these, one is equal for any pair within
-    the radius.  With a wide radius the parts would be too short to tell rows
-    apart, and the bucket stays whole.
+    the radius.
     """
     size, count = 64 * len(names), radius + 1
     parts = []
     for bits in tables:
         rest = [b for b in range(size) if b not in set(bits)]
         cuts = [round(i * len(rest) / count) for i in range(count + 1)]
-        parts.append([rest[a:b] for a, b in zip(cuts, cuts[1:])] if len(rest) // count >= 8 else [[]])
+        parts.append([rest[a:b] for a, b in zip(cuts, cuts[1:])])
 
     def make(fp, batch):
         h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
         of = (h % np.uint64(len(tables))).astype(int)
-        for i in range(max(map(len, parts))):
+        for i in range(count):
             out = np.zeros(len(h), np.uint64)
             for t in np.unique(of):
                 rows = of == t
-                out[rows] = mixed(h[rows], i, selected(fp[rows], parts[t][i])) if i < len(parts[t]) else 0
+                out[rows] = mixed(h[rows], i, selected(fp[rows], parts[t][i]))
             yield out
 
     return fanned(big, names, make)

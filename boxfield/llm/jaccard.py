@@ -77,32 +77,26 @@ def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that join, within each group, all rows (component, id, shingles) that links of ``similarity`` join."""
+    """Edges (a, b) that join, within each group, all rows (group, node, shingles) that links of ``similarity`` join."""
 
-    def solve(ids: list[int], found: list[bytes]) -> tuple[list[int], list[int]]:
+    def solve(nodes: list[int], found: list[bytes]) -> pa.RecordBatch:
         root = set_components([np.frombuffer(x, "<u8") for x in found], similarity)
         moved = np.flatnonzero(root != np.arange(len(root))).tolist()
-        return [ids[i] for i in moved], [ids[root[i]] for i in moved]
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in moved], pa.int64()), pa.array([nodes[root[i]] for i in moved], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, found = None, [], []
-        a, b = [], []
+        now, nodes, found = None, [], []
         for batch in batches:
-            for group, i, x in zip(batch.column("component").to_pylist(), batch.column("id").to_pylist(), batch.column("shingles")):
+            for group, node, x in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")):
                 if group != now:
-                    if len(ids) > 1:
-                        for out, more in zip((a, b), solve(ids, found)):
-                            out += more
-                    now, ids, found = group, [], []
-                x = x.as_py()
-                if not (ids and ids[-1] == i and found[-1] == x):  # repeated rows
-                    ids.append(i)
-                    found.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-        if len(ids) > 1:
-            a, b = solve(ids, found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(nodes) > 1:
+                        yield solve(nodes, found)
+                    now, nodes, found = group, [], []
+                if not (nodes and nodes[-1] == node):  # repeated rows
+                    nodes.append(node)
+                    found.append(x.as_py())
+        if len(nodes) > 1:
+            yield solve(nodes, found)
 
-    rows = sets.select("component", "id", "shingles", "set_key").repartition("component").sortWithinPartitions("component", "id", "set_key")
+    rows = sets.select("group", "node", "shingles").repartition("group").sortWithinPartitions("group", "node")
     return rows.mapInArrow(run, "a bigint, b bigint")
