@@ -155,9 +155,10 @@ class Segments(dict):
     values that always stay; others are dropped together at ``limit`` entries.
     """
 
-    def __init__(self, model: PieceModel, solve, join, fixed=(), limit: int = 1_000_000) -> None:
+    def __init__(self, model: PieceModel, solve, join, fixed=(), limit: int = 1_000_000, normalise=None) -> None:
         super().__init__()
         self.model, self.solve, self.join, self.limit = model, solve, join, limit
+        self.normalise = normalise or model.normalised
         self.bare: dict = {}
         self.fixed = dict(fixed)
         self.update(self.fixed)
@@ -195,7 +196,7 @@ class Segments(dict):
         """Values of the parts of a text, in order."""
         if not text:
             return []
-        norm = self.model.normalised(text)
+        norm = self.normalise(text)
         parts = norm.split(SPACE)
         if norm[0] == SPACE and "" not in parts[1:]:
             return list(map(self.__getitem__, parts[1:]))

@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from a model and composed lazily with each input:
-
-* the normaliser: space to its escaped form, one more at the start, else identity;
-* the pieces: a trie whose final states put out a piece, with byte fallback as
-  an arc from every character that no piece has;
-* for merge models, an acceptor over neighbouring pieces whose weight is 0 where
-  merging the two strings gives just these two pieces, else infinite.
-
+Three machines are compiled from a model, offline:
+
+* the normaliser: an arc from space to its escaped form, identity else, and an
+  arc at the start that writes one more;
+* the pieces: a trie whose final states write a piece, and for each character
+  that is no piece a fallback arc that writes its bytes;
+* for merge models, an acceptor over neighbouring pieces.  Its weight is 0 where
+  the two strings, merged side by side, never join across their border, else
+  infinite.  This is read off two tables of each piece, made once: which symbol
+  stands at its end (at its start) while the piece is merged, and the rank of its
+  next merge meanwhile.  No text is merged when it is encoded.
+
+They are composed lazily with each input: a state is a place in the text and the
+last piece, and the arcs are relaxed in the tropical semiring in text order.
 Merging never crosses a border that the two pieces beside it would not cross on
-their own, so the one sequence of finite weight is what merging gives.  Unigram
-models need no such acceptor; there a piece weighs minus its score.  Encoding
-takes the tropical shortest path, forward in text order.  Decoding runs the
-inverse: pieces to bytes, bytes to characters, escaped spaces back.
+their own, so in a merge model one path of finite weight leads to any place.
+Unigram models need no acceptor; there a piece weighs minus its score.  Decoding
+runs the inverse: pieces to bytes, bytes to characters, escaped spaces back.
 
 Null encodes and decodes to null; the empty text has no ids.
 """
@@ -31,114 +36,192 @@ from pyspark.sql import functions as F
 from .common import with_text_columns
 from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, Segments
 
-#: Weight of a character that is spelled in bytes: beyond any path of pieces.
-FALLBACK = 1e6
-START = ""
+#: What a character spelled in bytes costs beyond the heaviest piece of a unigram model.
+FALLBACK = 10.0
+START = -1
 _encoders: dict = {}
 
-codecs.register_error("pieces", lambda e: ("�" * (e.end - e.start), e.end))
+codecs.register_error("pieces", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
+class Normaliser:
+    """One state; ``arcs`` holds what differs from identity, ``first`` what the arc from the start writes."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.arcs = str.maketrans({" ": SPACE})
+        self.first = SPACE if model.dummy_prefix else ""
+
+    def __call__(self, text: str) -> str:
+        return self.first + text.translate(self.arcs) if text else ""
+
+
+class Neighbours:
+    """The acceptor over neighbouring pieces of a merge model.
+
+    ``ends[p]`` and ``starts[p]`` list, for each stage of merging the string p by
+    itself, (last or first symbol, rank of the next merge; infinite at the end).
+    """
+
+    def __init__(self, model: PieceModel) -> None:
+        self.rank = model.rank
+        self.ends: dict[str, list[tuple[str, float]]] = {}
+        self.starts: dict[str, list[tuple[str, float]]] = {}
+
+    def stages(self, piece: str) -> None:
+        parts, get = list(piece), self.rank.get
+        ends, starts = [], []
+        while True:
+            ranks = [get(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+            best = min(ranks, default=math.inf)
+            ends.append((parts[-1], best))
+            starts.append((parts[0], best))
+            if best == math.inf:
+                break
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.ends[piece], self.starts[piece] = ends, starts
+
+    def weight(self, left: str, right: str) -> float:
+        """0 where merging left + right keeps the border, else infinite: both sides go on by rank until a merge across would come first."""
+        ends, starts = self.ends[left], self.starts[right]
+        i = j = 0
+        while True:
+            (x, a), (y, b) = ends[i], starts[j]
+            across = self.rank.get(x + y, math.inf)
+            if across < a and across <= b:  # of equals the leftmost is merged
+                return math.inf
+            if a == b == math.inf:
+                return 0.0
+            if a <= b:
+                i += 1
+            else:
+                j += 1
 
 
 class Transducer:
+    """The pieces' trie, fallback arcs and weights of a model.
+
+    Pieces are numbered by their ids; characters spelled in bytes get numbers
+    beyond, as they come.
+    """
+
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.final = model.ids
-        self.states = {p[:k] for p in model.ids for k in range(1, len(p) + 1)}
-        self.chars = {c for p in model.ids for c in p}
+        self.normalise = Normaliser(model)
         self.merged = model.kind == BPE
-        self.weight = {p: 1.0 if self.merged else -model.scores[i] for p, i in model.ids.items()}
-        self.pair: dict[tuple[str, str], bool] = {}
-        #: The longest piece that begins each piece, without itself.
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in model.ids), None) for p in model.ids}
-
-    def allowed(self, last: str, piece: str) -> bool:
-        """Whether the neighbour acceptor has weight 0 for the two."""
-        if not self.merged or last == START:
-            known = self.pair[last, piece] = not self.merged or piece in self.model.whole or len(piece) == 1
-            return known
-        key = (last, piece)
+        self.names: dict[int, str] = {i: p for p, i in model.ids.items()}
+        self.written: dict[int, bytes] = {i: i.to_bytes(4, "little") for i in self.names}
+        self.spelled: dict[str, int] = {}
+        #: Weight of each neighbour pair that has been met, by first * 2**20 + second.
+        self.pair: dict[int, float] = {}
+        self.trie: dict = {}
+        if self.merged:
+            self.neighbours = Neighbours(model)
+            final = {p: i for p, i in model.ids.items() if p in model.whole}  # others never come out of merging
+            for p in final:
+                self.neighbours.stages(p)
+            self.weight = dict.fromkeys(final.values(), 0.0)
+            self.fallback = 0.0
+        else:
+            final = model.ids
+            self.weight = {i: -model.scores[i] for i in final.values()}
+            self.fallback = FALLBACK + max(self.weight.values(), default=0.0)
+        for p, i in final.items():
+            node, child = self.trie, None
+            for c in p:
+                child = node.setdefault(c, [{}, None])
+                node = child[0]
+            child[1] = i
+
+    def spell(self, char: str) -> int:
+        """The number of the fallback arc of a character."""
+        number = self.spelled.get(char)
+        if number is None:
+            number = self.spelled[char] = (1 << 19) + len(self.spelled)
+            self.names[number] = char
+            self.written[number] = b"".join(self.model.byte_ids[b].to_bytes(4, "little") for b in char.encode())
+            self.weight[number] = self.fallback
+            if self.merged:
+                self.neighbours.stages(char)
+        return number
+
+    def beside(self, last: int, piece: int) -> float:
+        """The acceptor's weight of two neighbours; the first piece of a text has none before it."""
+        key = (last << 20) | piece
         known = self.pair.get(key)
         if known is None:
             if len(self.pair) > 600_000:
                 self.pair.clear()
-            known = self.pair[key] = self.model.merge(last + piece) == [last, piece]
+            known = self.pair[key] = 0.0 if last == START else self.neighbours.weight(self.names[last], self.names[piece])
         return known
 
-    def shortest(self, text: str) -> list[str]:
-        """Pieces on the tropical shortest path through a normalised text."""
-        return self._only_path(text) if self.merged else self._lightest_path(text)
-
-    def _only_path(self, text: str) -> list[str]:
-        """The path of finite weight, of which merge models leave one, by expanding the composed machine depth first.
-
-        Longer pieces are tried first.  To any position there is at most one finite
-        path, so a position without a way on is closed for good, and no arc is
-        followed twice.
-        """
-        n, i, last = len(text), 0, START
-        pieces: list[str] = []
-        closed: set[int] = set()
-        states, final, shorter, pair = self.states, self.final, self.shorter, self.pair
-        piece = None
-        while i < n:
-            if piece is None:
-                piece, j, at = text[i], i + 1, text[i]
-                while at in states:
-                    if at in final:
-                        piece = at
-                    if j == n:
-                        break
-                    j += 1
-                    at = text[i:j]
-            while piece is not None:
-                known = pair.get((last, piece))
-                if known is None:
-                    known = self.allowed(last, piece)
-                if known and i + len(piece) not in closed:
-                    break
-                piece = shorter.get(piece)
-            if piece is not None:
-                pieces.append(piece)
-                i, last, piece = i + len(piece), piece, None
-            else:
-                while piece is None:  # no way on from here: shorten the nearest piece that can be
-                    if not pieces:
-                        raise ValueError("no path")
-                    closed.add(i)
-                    back = pieces.pop()
-                    i, piece = i - len(back), shorter.get(back)
-                last = pieces[-1] if pieces else START
-        return pieces
-
-    def _lightest_path(self, text: str) -> list[str]:
-        """Dynamic programming forward over positions; without neighbour states one entry for each is enough."""
+    def shortest(self, text: str) -> list[int]:
+        """Numbers of the pieces on the lightest path through a normalised text."""
+        last, back = self._relaxed_merges(text) if self.merged else self._relaxed(text)
         n = len(text)
-        total, back, piece_to = [math.inf] * (n + 1), [0] * (n + 1), [START] * (n + 1)
-        total[0] = 0.0
-        for i in range(n):
-            here = total[i]
-            piece, j = text[i], i + 1
-            if piece not in self.chars and here + FALLBACK < total[j]:
-                total[j], back[j], piece_to[j] = here + FALLBACK, i, piece
-            while piece in self.states:
-                if piece in self.final and (w := here + self.weight[piece]) < total[j]:
-                    total[j], back[j], piece_to[j] = w, i, piece
-                j += 1
-                if j > n:
-                    break
-                piece = text[i:j]
-        if total[n] == math.inf:
+        if n and last[n] is None:
             raise ValueError("no path")
         out = []
         while n:
-            out.append(piece_to[n])
+            out.append(last[n])
             n = back[n]
         return out[::-1]
 
+    def _relaxed(self, text: str) -> tuple[list, list]:
+        """Last piece of the lightest path to each place, and where that piece starts."""
+        n, weight = len(text), self.weight
+        total, last, back = [0.0] + [math.inf] * n, [None] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            node, j, arcs = self.trie, i, []
+            for c in text[i:]:
+                child = node.get(c)
+                if child is None:
+                    break
+                j += 1
+                node, piece = child
+                if piece is not None:
+                    arcs.append((piece, j))
+            if not arcs or arcs[0][1] > i + 1:  # the character is no piece
+                arcs.append((self.spell(text[i]), i + 1))
+            for piece, j in arcs:
+                cost = total[i] + weight[piece]
+                if cost < total[j]:
+                    total[j], last[j], back[j] = cost, piece, i
+        return last, back
+
+    def _relaxed_merges(self, text: str) -> tuple[list, list]:
+        """The same where only neighbours weigh, 0 or infinite: a place that is reached at all is reached at 0."""
+        n, root, known = len(text), self.trie, self.pair.get
+        last: list = [None] * (n + 1)
+        back = [0] * (n + 1)
+        last[0] = START
+        for i in range(n):
+            before = last[i]
+            if before is None:
+                continue
+            first, node, j = before << 20, root, i
+            for c in text[i:]:
+                child = node.get(c)
+                if child is None:
+                    break
+                j += 1
+                node, piece = child
+                if piece is not None and last[j] is None:
+                    w = known(first | piece)
+                    if w is None:
+                        w = self.beside(before, piece)
+                    if w == 0.0:
+                        last[j], back[j] = piece, i
+            if last[i + 1] is None and ((child := root.get(text[i])) is None or child[1] is None):
+                piece = self.spell(text[i])
+                if self.beside(before, piece) == 0.0:
+                    last[i + 1], back[i + 1] = piece, i
+        return last, back
+
     def encoder(self, limit: int = 400_000) -> Segments:
         """Ids of parts as little-endian 32-bit bytes."""
-        to_ids = self.model.to_ids
-        return Segments(self.model, lambda s: np.asarray(to_ids(self.shortest(s)), "<i4").tobytes(), b"".join, limit=limit)
+        write, shortest = self.written.__getitem__, self.shortest
+        return Segments(self.model, lambda s: b"".join(map(write, shortest(s))), b"".join, limit=limit, normalise=self.normalise)
 
 
 class Decoder:

@@ -105,7 +105,67 @@ def test_unigram_weights_take_the_lightest_path():
 
     t = wfst.Transducer(model)
     for s in ("▁a", "▁ab", "▁aab", "▁abab", "▁bab"):
-        assert sum(-small[p] for p in t.shortest(s)) == best(s)[0]
+        assert sum(-small[t.names[p]] for p in t.shortest(s)) == best(s)[0]
+    # A character of a longer piece that is no piece itself is spelled where the longer piece does not fit.
+    model.ids, model.scores = {"▁": 0, "cd": 1, "d": 2}, [-1.0, -1.0, -1.0]
+    t = wfst.Transducer(model)
+    assert [t.names[p] for p in t.shortest("▁cdc")] == ["▁", "cd", "c"]
+    assert t.written[t.shortest("c")[0]] == model.byte_ids[ord("c")].to_bytes(4, "little")
+
+
+def test_neighbour_weights_equal_merging():
+    model = wfst.read_model(MODEL)
+    t = wfst.Transducer(model)
+    draw = random.Random(11)
+    whole = sorted(model.whole)
+    long = [p for p in whole if len(p) > 2]
+    allowed = 0
+    for _ in range(20_000):
+        p = draw.choice(long)
+        k = draw.randrange(1, len(p))  # neighbours that often join across their border
+        a, b = (p[:k], p[k:]) if draw.random() < 0.7 else (p, draw.choice(whole))
+        if not {a, b} <= model.whole:
+            continue
+        want = model.merge(a + b) == [a, b]
+        allowed += want
+        assert (t.neighbours.weight(a, b) == 0.0) == want, (a, b)
+    assert 1000 < allowed < 10_000
+
+
+def test_encoding_merges_nothing(monkeypatch):
+    model = wfst.read_model(MODEL)
+    enc = wfst.Transducer(model).encoder()
+    monkeypatch.setattr(type(model), "merge", lambda *_: 1 / 0)
+    sp = library()
+    for t in odd_texts(100):
+        assert b"".join(enc.values_of(t)) == b"".join(i.to_bytes(4, "little") for i in sp.encode(t))
+
+
+def test_relaxing_equals_the_composed_machines():
+    """The lattice of a small model against generic composition: normaliser, pieces, acceptor, every path walked."""
+    import math
+
+    model = wfst.read_model(MODEL)
+    t = wfst.Transducer(model)
+    draw = random.Random(2)
+    for _ in range(60):
+        text = "".join(draw.choices(list("the an") + ["\U0001f600"], k=draw.randrange(1, 8)))
+        norm = t.normalise(text)
+        paths = []
+
+        def walk(i, before, cost, out):
+            if i == len(norm):
+                paths.append((cost, out))  # noqa: B023
+            for j in range(i + 1, len(norm) + 1):
+                if (s := norm[i:j]) in model.whole or (j == i + 1 and s not in model.ids):  # noqa: B023
+                    piece = model.ids.get(s)
+                    piece = t.spell(s) if piece is None else piece
+                    w = 0.0 if before is None else t.neighbours.weight(t.names[before], s)
+                    if w < math.inf:
+                        walk(j, piece, cost + w + t.weight[piece], [*out, piece])
+
+        walk(0, None, 0.0, [])
+        assert [p for _, p in paths] == [t.shortest(norm)]
 
 
 def test_round_trip(docs, empty):
