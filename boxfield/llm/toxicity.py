@@ -1,21 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses at sentence marks and line ends.  The first machine
-maps words to classes: insult (with a learned weight), threat, target, negation,
-reported speech, other.  Four small machines read classes and keep how far back
-the last target, threat, negation and report are:
-
-* insult: an insult word gives its weight;
-* threat: a threat followed by a target within a few words, or the reverse;
-* target: an insult near a target weighs more;
-* negation and reported speech: what follows within a few words weighs less.
-
-Their composition is one automaton that reads a clause from left to right; the
-weight of the best insult or threat path and the sum of all are the clause's
-score.  A document's score is a logistic curve over its clauses' scores.
+A text is cut into clauses at sentence marks and line ends.  Each word of a
+clause reads as one or more classes: insult (at its learned weight), threat,
+target, negation, report, other.  Six transducers are compiled and composed once
+(machines.py); weights are costs in the tropical semiring, and the lightest path
+through the clause is its analysis:
+
+* reported speech marks insults and threats a few words after a report word;
+* negation marks those a few words after a negation;
+* target reads an insult as aimed where a target stands near, before or behind it;
+* threat reads a threat word as a threat where a target stands near;
+* insult and the last machine weigh what was read: an insult its own weight, more
+  if aimed, a threat a fixed weight, a threat word without target nothing, and
+  marked ones so much less.  Any insult or threat word may also read as an
+  ordinary word at no cost, so a clause never weighs less than nothing.
+
+The weight of a clause is what its analysis gains; a text has the weight of its
+heaviest clause and the sum over all, and its score is a logistic curve over both.
 
 Insult words and stems are learned from at most ``ROWS`` labelled documents
-outside the held-out part, chosen by a hash of the id: terms that toxic
+outside the held-out part, chosen by a hash of the id: all terms that toxic
 documents have far more often than others.  Scoring covers whole texts.
 
 A null or empty text has no clauses.  Without labelled documents of both kinds
@@ -30,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +43,24 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_remainder, quoted, text_bytes, with_text_columns
 from .learning import labelled_sample, logistic, sigmoid
+from .machines import Machine, compiled, compose, shortest, trimmed
 
 ROWS = 12_000
-#: Terms that are looked at in all sampled documents, and terms that are kept.
-CANDIDATES, TERMS = 50_000, 2000
 STEM = range(3, 8)
 LEAST_DOCS, LEAST_SHARE, LEAST_Z = 4, 0.6, 6.0
 
 # Fixed word classes of the grammar.
-TARGETS = frozenset("you your youre u he she they them him her his their these those such this all".split())
+TARGETS = frozenset("you your youre u he she they them him her his their hers theirs people everyone anyone".split())
 THREATS = frozenset("kill hurt beat destroy shoot stab burn crush smash murder attack punch strangle hang".split())
 NEGATIONS = frozenset("not never no nor without isnt arent wasnt dont doesnt didnt cannot nobody".split())
 REPORTS = frozenset("said says say called calls call wrote writes reported claimed quoted quote according accused".split())
+FIXED = ((TARGETS, "g"), (THREATS, "t"), (NEGATIONS, "n"), (REPORTS, "r"))
 NEAR_TARGET, NEAR_THREAT, NEAR_NEGATION, NEAR_REPORT = 4, 5, 3, 6
-TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.2, 0.7, 0.7, 4.0
+REACH = 6
+#: Log odds that a reading adds or takes.
+TARGETED, THREAT_WEIGHT, NEGATED, REPORTED = 1.0, 5.0, 5.0, 5.0
+#: Classes: other, insult, threat, target, negation, report; marks: r reported, n negated, * aimed.
+CLASSES = ("o", "i", "t", "g", "n", "r")
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"\w+")
@@ -61,6 +70,72 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def scope(trigger: str, mark: str, reach: int) -> Machine:
+    """Marks insults and threats up to ``reach`` words after the trigger; a state is how many words are left."""
+
+    def step(left: int, x: str):
+        out = x + mark if left and x[0] in "it" else x
+        return [(out, 0.0, reach if x == trigger else max(0, left - 1))]
+
+    symbols = [*CLASSES, "ir", "tr"] if mark != "r" else CLASSES
+    return compiled(0, step, symbols, lambda _: 0.0)
+
+
+def aimed(kind: str, reach: int, symbols: list[str]) -> Machine:
+    """Reads a word of the kind as aimed if a target stands within ``reach`` words before or behind it.
+
+    A state is how many words the last target still reaches, and within how many
+    a promised target must come; a promise that is not kept has no path.
+    """
+
+    def step(state: tuple[int, int], x: str):
+        behind, ahead = state
+        if x == "g":
+            return [(x, 0.0, (reach, 0))]
+        if ahead == 1:
+            return []
+        after = (max(0, behind - 1), max(0, ahead - 1))
+        out = [(x, 0.0, after)]
+        if x[0] == kind and behind:
+            out.append((x + "*", 0.0, after))
+        elif x[0] == kind:
+            out.append((x + "*", 0.0, (after[0], after[1] or reach)))
+        return out
+
+    return compiled((0, 0), step, symbols, lambda s: math.inf if s[1] else 0.0)
+
+
+def weigher(symbols: list[str]) -> Machine:
+    """Weighs what was read and writes its kind; a threat word that is not aimed is an ordinary word."""
+
+    def step(state: int, x: str):
+        marks = (NEGATED if "n" in x[1:] else 0.0) + (REPORTED if "r" in x[1:] else 0.0)
+        if x[0] == "i":
+            return [("targeted insult" if "*" in x else "insult", marks - (TARGETED if "*" in x else 0.0), 0)]
+        if x[0] == "t" and "*" in x:
+            return [("threat", marks - THREAT_WEIGHT, 0)]
+        return [(None, 0.0, 0)]
+
+    return compiled(0, step, symbols, lambda _: 0.0)
+
+
+def parts() -> list[Machine]:
+    """The machines in the order in which they are composed."""
+    marked = [*CLASSES, *(k + m for k in "it" for m in ("r", "n", "rn"))]
+    insults = [*marked, *(x + "*" for x in marked if x[0] == "i")]
+    every = [*insults, *(x + "*" for x in marked if x[0] == "t")]
+    return [scope("r", "r", NEAR_REPORT), scope("n", "n", NEAR_NEGATION), aimed("i", NEAR_TARGET, marked), aimed("t", NEAR_THREAT, insults), weigher(every)]
+
+
+@cache
+def grammar_machine() -> Machine:
+    """All machines composed; once for each process."""
+    out, *rest = parts()
+    for m in rest:
+        out = trimmed(compose(out, m))
+    return out
+
+
 @dataclass
 class Grammar:
     """exact: weights of words; stems: weights of beginnings; curve: logistic weights of (best, sum, constant)."""
@@ -83,57 +158,41 @@ class Grammar:
             self.known[word] = weight
         return weight
 
-    def clause(self, tokens: list[str]) -> tuple[float, float, list[tuple[int, str, float]]]:
-        """(best, sum, matches) of the composed automaton on one clause; its state is the distance to each class."""
-        target = threat = negation = report = 99
-        best = total = 0.0
-        matches: list[tuple[int, str, float]] = []
-        pending: tuple[int, float] | None = None
-        for i, word in enumerate(tokens):
-            target, threat, negation, report = target + 1, threat + 1, negation + 1, report + 1
-            weight, kind = self.insult(word), "insult"
-            if word in TARGETS:
-                if threat <= NEAR_THREAT:
-                    weight, kind, threat = THREAT_WEIGHT, "threat", 99
-                target = 0
-                if pending and i - pending[0] <= NEAR_TARGET:  # an insult just before its target
-                    total += (TARGETED - 1) * pending[1]
-                    best = max(best, TARGETED * pending[1])
-                    pending = None
-            elif word in THREATS:
-                if target <= NEAR_THREAT:
-                    weight, kind = THREAT_WEIGHT, "threat"
-                threat = 0
-            elif word in NEGATIONS:
-                negation = 0
-            elif word in REPORTS:
-                report = 0
-            if weight:
-                if kind == "insult" and target <= NEAR_TARGET:
-                    weight, kind = TARGETED * weight, "targeted insult"
-                if negation <= NEAR_NEGATION:
-                    weight *= NEGATED
-                if report <= NEAR_REPORT:
-                    weight *= REPORTED
-                pending = (i, weight) if kind == "insult" else None
-                best, total = max(best, weight), total + weight
-                matches.append((i, kind, weight))
-        return best, total, matches
+    def readings(self, word: str) -> list[tuple[str, float]]:
+        """Classes of a word with their costs: the insult transducer's arcs for it."""
+        fixed = next((c for words_, c in FIXED if word in words_), "o")
+        out = [(fixed, 0.0)] if fixed != "t" else [("t", 0.0), ("o", 0.0)]
+        if (weight := self.insult(word)) > 0:
+            out.append(("i", -weight))
+        return out
+
+    def clause(self, tokens: list[str]) -> tuple[float, list[str]]:
+        """(weight, kinds of what matched) of the lightest path through one clause.
+
+        Words farther than ``REACH`` from any insult or threat word change nothing, so
+        the path is sought in the stretches around these.
+        """
+        at = [i for i, w in enumerate(tokens) if w in THREATS or self.insult(w) > 0]
+        weight, kinds, machine = 0.0, [], grammar_machine()
+        k = 0
+        while k < len(at):
+            first = k
+            while k + 1 < len(at) and at[k + 1] - at[k] <= 2 * REACH:
+                k += 1
+            cost, found = shortest(machine, [self.readings(w) for w in tokens[max(0, at[first] - REACH) : at[k] + REACH + 1]])
+            weight -= cost
+            kinds += found
+            k += 1
+        return weight, kinds
 
     def features(self, text: bytes | None) -> tuple[float, float]:
-        """(best clause path, sum of clause scores) of a text."""
+        """(weight of the heaviest clause, sum over clauses) of a text."""
         if not text:
             return 0.0, 0.0
-        low = text.decode("utf-8", "replace")
         best = total = 0.0
-        insult = self.insult
-        for clause in CLAUSE.split(low):
-            tokens = words(clause)
-            # Clauses without an insult or threat word have no path of weight.
-            if not any(map(insult, tokens)) and THREATS.isdisjoint(tokens):
-                continue
-            b, t, _ = self.clause(tokens)
-            best, total = max(best, b), total + t
+        for clause in CLAUSE.split(text.decode("utf-8", "replace")):
+            weight, _ = self.clause(words(clause))
+            best, total = max(best, weight), total + weight
         return best, total
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -151,37 +210,39 @@ def terms_of(text: bytes) -> set[str]:
     return {"=" + w for w in own} | {"~" + w[:k] for w in own for k in STEM if len(w) > k}
 
 
-def counted(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(term, label, n): documents that have each term; with ``only``, of these terms."""
+def counted(sample: DataFrame) -> DataFrame:
+    """(term, n): documents of the sample that have each term, in parts that are still to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
-            for t, y in zip(text_bytes(b.column("text")), b.column("label").to_pylist()):
-                own = terms_of(t)
-                counts.update((x, y) for x in (own if only is None else own & only))
+            for t in text_bytes(b.column("text")):
+                counts.update(terms_of(t))
                 if len(counts) > 500_000:
                     yield flushed(counts)
         yield flushed(counts)
 
     def flushed(counts):
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "label", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
         counts.clear()
         return out
 
-    return sample.mapInArrow(run, "term string, label int, n bigint").groupBy("term", "label").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(run, "term string, n bigint")
+
 
+def learned(sample: DataFrame, n_clean: int, n_toxic: int, scratch: Scratch) -> tuple[dict[str, float], dict[str, float]]:
+    """(words, stems) that tell toxic documents, with their log odds ratios.
 
-def learned(counts: dict[str, list[int]], n_clean: int, n_toxic: int) -> tuple[dict[str, float], dict[str, float]]:
-    """(words, stems) that tell toxic documents, with their log odds ratios."""
-    found = []
-    for term, (clean, toxic) in counts.items():
-        expected = (clean + toxic) * n_toxic / (n_clean + n_toxic)
-        if toxic < LEAST_DOCS or toxic < LEAST_SHARE * (clean + toxic) or toxic - expected < LEAST_Z * math.sqrt(expected):
-            continue
-        found.append((math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1)), term))
-    top = sorted(found, key=lambda x: (-x[0], x[1]))[:TERMS]
-    return {t[1:]: w for w, t in top if t[0] == "="}, {t[1:]: w for w, t in top if t[0] == "~"}
+    All terms are tested where they are counted; only those that pass reach the driver.
+    """
+    sums = F.sum("n")
+    toxic = scratch.write(counted(sample.where("label = 1")).groupBy("term").agg(sums.alias("toxic")).where(F.col("toxic") >= LEAST_DOCS))
+    clean = counted(sample.where("label = 0")).join(toxic.select("term"), "term", "left_semi").groupBy("term").agg(sums.alias("clean"))
+    both = toxic.join(clean, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
+    expected = (F.col("clean") + F.col("toxic")) * (n_toxic / (n_clean + n_toxic))
+    passed = both.where((F.col("toxic") >= LEAST_SHARE * (F.col("clean") + F.col("toxic"))) & (F.col("toxic") - expected >= LEAST_Z * F.sqrt(expected)))
+    odds = {r.term: math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1)) for r in passed.collect()}
+    return {t[1:]: w for t, w in odds.items() if t[0] == "="}, {t[1:]: w for t, w in odds.items() if t[0] == "~"}
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, label="toxic", mod=5, held_out=0, rows=ROWS, **columns) -> Grammar:
@@ -192,11 +253,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label="toxic", mod=5, held_out
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     exact, stems = {}, {}
     if n_clean and n_toxic:
-        first = counted(sample.where("label = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-        counts = {r.term: [0, r.n] for r in first.collect()}
-        for r in counted(sample.where("label = 0"), frozenset(counts)).collect():
-            counts[r.term][0] = r.n
-        exact, stems = learned(counts, n_clean, n_toxic)
+        exact, stems = learned(sample, n_clean, n_toxic, scratch)
     grammar = Grammar(exact, stems, np.zeros(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +290,9 @@ def matched_clauses(docs: DataFrame, grammar: Grammar, *, text="text", keep: lis
             for t in batch:
                 rows = []
                 for clause in CLAUSE.split(t.decode("utf-8", "replace") if t else ""):
-                    best, total, matches = grammar.clause(words(clause))
-                    if matches:
-                        rows.append({"clause": clause.strip(), "kinds": [k for _, k, _ in matches], "weight": total})
+                    weight, kinds = grammar.clause(words(clause))
+                    if kinds:
+                        rows.append({"clause": clause.strip(), "kinds": kinds, "weight": weight})
                 out.append(rows)
             return {"clauses": out}
 

@@ -566,8 +566,87 @@ def test_grammar_reads_clauses():
 
     g = toxicity.Grammar({"idiot": 4.0}, {"vequ": 3.0}, np.array([1.0, 0.0, -2.0]))
     score = lambda t: g.features(t.encode())[0]
-    assert score("You are an idiot.") > score("What an idiot.") > score("He is not an idiot.") or score("You are an idiot.") > score("What an idiot.")
+    assert score("You are an idiot.") > score("What an idiot.") > score("He is not an idiot.")
     assert score("She said: fine. They called it idiot") < score("the idiot")
     assert score("I will kill you") > 0 and score("kill the process") == 0
     assert score("des vequai mots") == 3.0 and score("vequ") == 0
     assert g.features(None) == (0.0, 0.0) == g.features(b"")
+
+
+def grammar():
+    return toxicity.Grammar({"idiot": 5.0, "scum": 4.0, "clown": 2.0}, {"vequ": 3.0}, np.array([1.0, 0.0, -3.0]))
+
+
+def by_hand(g, tokens) -> float:
+    """Weight of a clause by trying every reading of every word against the rules as they are stated; no machine."""
+    import itertools
+
+    best = 0.0
+    near = lambda i, kinds, reach, ahead: any(tokens[j] in kinds for j in range(max(0, i - reach), min(len(tokens), i + (reach if ahead else 0) + 1)) if j != i)
+    gains = []
+    for i, w in enumerate(tokens):
+        marks = toxicity.NEGATED * near(i, toxicity.NEGATIONS, toxicity.NEAR_NEGATION, False) + toxicity.REPORTED * near(i, toxicity.REPORTS, toxicity.NEAR_REPORT, False)
+        options = [0.0]
+        if g.insult(w) > 0:
+            options += [g.insult(w) - marks]
+            if near(i, toxicity.TARGETS, toxicity.NEAR_TARGET, True):
+                options += [g.insult(w) + toxicity.TARGETED - marks]
+        if w in toxicity.THREATS and near(i, toxicity.TARGETS, toxicity.NEAR_THREAT, True):
+            options += [toxicity.THREAT_WEIGHT - marks]
+        gains.append(options)
+    for pick in itertools.product(*gains):
+        best = max(best, sum(pick))
+    return best
+
+
+def test_grammar_equals_every_reading():
+    from boxfield.llm.machines import every_path
+
+    g, draw = grammar(), random.Random(4)
+    machine = toxicity.grammar_machine()
+    vocabulary = ["idiot", "scum", "clown", "you", "they", "kill", "not", "said", *["word"] * 6]
+    for n in range(400):
+        tokens = draw.choices(vocabulary, k=draw.randrange(1, 30))
+        weight, kinds = g.clause(tokens)
+        assert abs(weight - by_hand(g, tokens[:])) < 1e-9 if sum(t in ("idiot", "scum", "clown", "kill") for t in tokens) < 9 else True
+        assert (weight > 0) == bool(kinds)
+        if n < 60 and len(tokens) < 9:
+            assert abs(weight + min(c for c, _ in every_path(machine, [g.readings(w) for w in tokens]))) < 1e-9
+
+
+def test_composition_equals_one_machine_after_another():
+    from boxfield.llm.machines import every_path, shortest
+
+    draw = random.Random(6)
+    for _ in range(40):
+        tape = [[(draw.choice(toxicity.CLASSES), -draw.random())] for _ in range(draw.randrange(1, 7))]
+        paths = [(sum(w for (_, w), in tape), tuple(x for (x, _), in tape))]
+        for m in toxicity.parts():
+            paths = [(c + d, out) for c, own in paths for d, out in every_path(m, [[(x, 0.0)] for x in own])]
+        assert abs(min(c for c, _ in paths) - shortest(toxicity.grammar_machine(), tape)[0]) < 1e-9
+
+
+def test_grammar_tells_clauses_that_a_word_list_cannot():
+    g = grammar()
+    toxic = ["you are scum", "I will kill you", "they are a vequo crowd", "the idiot lost again", "we burn them and their house"]
+    clean = ["she is not an idiot", "he said that they called her scum", "kill the process", "never a clown", "he wrote scum in quotes", "burn the disc"]
+    score = lambda t: float(g.scores([t.encode()])[0])
+    assert all(score(t) >= 0.5 for t in toxic) and all(score(t) < 0.5 for t in clean)
+    # The heaviest word alone gets these wrong: threats weigh nothing, negated and reported insults in full.
+    alone = lambda t: max(g.insult(w) for w in toxicity.words(t)) >= 3.0
+    right = sum(alone(t) for t in toxic) + sum(not alone(t) for t in clean)
+    assert right <= len(toxic) + len(clean) - 5
+
+
+def test_toxicity_recall_and_precision_on_held_out_rows(spark):
+    docs, labels = labelled(spark, "/root/testdata/sf0.1")
+    found = toxicity.digest(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    hit = ((found.predicted == 1) & (found.toxic == 1)).sum()
+    assert hit / (found.toxic == 1).sum() >= 0.9 and hit / (found.predicted == 1).sum() >= 0.95
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    g = grammar()
+    long = "word " * 200_000
+    assert g.features((long + "you idiot").encode())[0] == 6.0
+    assert g.features(("you idiot " * 20_000).encode())[1] == 6.0 * 20_000
