@@ -7,11 +7,12 @@ into the open row with the least room that still holds it, which a segment tree
 over the room left finds in logarithmic time.  A group is one task's work and
 bounded; more documents make more groups.
 
-A packed row has the id matrix row (little-endian as on the executors, padded), the cumulative
-segment lengths, the positions that restart at every segment, and which
-document and which part of it each segment is, so that ``unpacked`` gives every
-document back.  Null and empty texts have no tokens and no segments.  Repeated
-rows are packed once for each row.
+A packed row has its length, the id matrix row (little-endian, two bytes an id
+or four in a vocabulary beyond 65,536, padded), the cumulative segment lengths,
+the positions that restart at every segment, and which document and which part
+of it each segment is, so that ``unpacked`` gives every document back.  Ids of
+documents may have any type that can be ordered.  Null and empty texts have no
+tokens and no segments.  Repeated rows are packed once for each row.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .pieces import PieceModel
 LENGTH = 4096
 GROUP_BYTES = 16 << 20
 PAD = 0
-PACKED = "pack_id bigint, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, parts array<int>, starts array<bigint>"
+PACKED = "pack_id bigint, length int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{id}>, parts array<int>, starts array<bigint>"
 _encoders: dict = {}
 
 
@@ -122,11 +123,11 @@ def token_parts(docs: DataFrame, data: bytes, *, doc_id="doc_id", text="text", l
         return work
 
     run = text_udf(make, "parts array<struct<part:int,start:bigint,n:int,ids:binary>>")
-    return docs.select(column(docs, doc_id).cast("bigint").alias("doc_id"), F.explode(run(column(docs, text).cast("string"))["parts"]).alias("p")).select("doc_id", "p.*")
+    return docs.select(column(docs, doc_id).alias("doc_id"), F.explode(run(column(docs, text).cast("string"))["parts"]).alias("p")).select("doc_id", "p.*")
 
 
 def pack(docs: DataFrame, model_path: str, *, doc_id="doc_id", text="text", length: int = LENGTH, pad: int = PAD, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Packed rows (PACKED) of all documents."""
+    """Packed rows (PACKED) of all documents; the only second look at the texts takes their byte lengths."""
     with open(model_path, "rb") as f:
         data = f.read()
     kind = id_type(PieceModel(data))
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, model_path: str, *, doc_id="doc_id", text="text", leng
             yield from packed(held, current)
 
     def packed(rows: list[tuple], group: int) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[4]))
+        rows.sort(key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1], r[4]))
         filler = np.array([pad], kind).tobytes()
         positions = np.arange(length, dtype="<u2" if length <= 1 << 16 else "<i4").tobytes()
         step = len(positions) // length
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, model_path: str, *, doc_id="doc_id", text="text", leng
             sizes = [r[3] for r in own]
             used = sum(sizes)
             out.append({
-                "pack_id": (group << 32) + number, "n_tokens": used,
+                "pack_id": (group << 32) + number, "length": length, "n_tokens": used,
                 "input_ids": b"".join([*(r[4] for r in own), filler * (length - used)]),
                 "position_ids": b"".join([*(positions[: n * step] for n in sizes), bytes(step * (length - used))]),
                 "cu_seqlens": [0, *np.cumsum(sizes).tolist()], "doc_ids": [r[0] for r in own], "parts": [r[1] for r in own], "starts": [r[2] for r in own],
@@ -175,19 +176,33 @@ def pack(docs: DataFrame, model_path: str, *, doc_id="doc_id", text="text", leng
 
     from .warc import arrow_schema
 
-    schema = arrow_schema(PACKED)
+    ddl = PACKED.format(id=dealt.schema["doc_id"].dataType.simpleString())
+    schema = arrow_schema(ddl)
     assert width <= 4
-    return dealt.repartition("group").sortWithinPartitions("group").select("group", *names).mapInArrow(run, PACKED)
+    return dealt.repartition("group").sortWithinPartitions("group").select("group", *names).mapInArrow(run, ddl)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Packed rows as Parquet, matrices as fixed-size binary rows."""
+    """Packed rows as Parquet; the matrices are the concatenated rows of the binary columns."""
     packed.write.mode("error").parquet(path)
 
 
-def unpacked(packed: DataFrame, model_path: str | None = None, *, width: int = 2) -> DataFrame:
+def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, positions) of a batch of packed rows, each rows x length."""
+    length = batch.column("length")[0].as_py()
+
+    def matrix(name: str) -> np.ndarray:
+        rows = batch.column(name).to_pylist()
+        return np.frombuffer(b"".join(rows), "<u2" if len(rows[0]) == 2 * length else "<i4").reshape(-1, length)
+
+    return matrix("input_ids"), matrix("position_ids")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
     """(doc_id, part, start, ids binary) of every segment: the parts of a document in order are its ids."""
     i = F.posexplode(F.arrays_zip("doc_ids", "parts", "starts"))
-    rows = packed.select("input_ids", "cu_seqlens", i.alias("k", "s"))
+    width = F.expr("cast(octet_length(input_ids) div length as int)")
+    rows = packed.select("input_ids", "cu_seqlens", width.alias("width"), i.alias("k", "s"))
     begin, end = F.col("cu_seqlens")[F.col("k")], F.col("cu_seqlens")[F.col("k") + 1]
-    return rows.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.parts").alias("part"), F.col("s.starts").alias("start"), F.substring("input_ids", begin * width + 1, (end - begin) * width).alias("ids"))
+    ids = F.substring("input_ids", begin * F.col("width") + 1, (end - begin) * F.col("width"))
+    return rows.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.parts").alias("part"), F.col("s.starts").alias("start"), ids.alias("ids"))

@@ -8,8 +8,9 @@ learnt as good.  The score of a document is the mean of its lines' marginals
 from forward-backward, weighted by length, put through a logistic curve fitted
 on the same sample.
 
-At most ``ROWS`` labelled documents, chosen by a hash of the id, and ``LINES``
-lines of each are used for fitting; scoring covers whole texts.
+At most ``ROWS`` labelled documents, chosen by a hash of the id, are used for
+fitting, with all their lines; a document of more than ``CHAIN`` lines is fitted
+as several chains, one after another.  Scoring covers whole texts as one chain.
 
 A null or empty text is one empty line.  Without labelled documents of both
 kinds the score is the rate of good labels, or one half.  Repeated rows keep a
@@ -31,7 +32,7 @@ from .learning import labelled_sample, logistic, sigmoid
 from .quality_rules import KEPT_BYTES, repeated_mask
 
 ROWS = 3000
-LINES = 64
+CHAIN = 128
 ROUNDS = 2
 STEPS = 120
 LETTERS_NOT_UPPER = bytes(b for b in range(256) if not 0x41 <= b <= 0x5A)
@@ -173,18 +174,19 @@ def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarra
     empty = Crf(np.zeros(SIZE), 0.0, np.zeros((2, 2)), logistic(np.zeros((len(labels), 1)), labels))
     if not len(labels) or labels.min() == labels.max():
         return empty
-    order = np.argsort([-len(f) for f in features], kind="stable")
-    features, weights, labels = [features[i] for i in order], [weights[i] for i in order], labels[order]
-    lengths = np.array([len(f) for f in features])
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    x, y = np.concatenate(features), np.repeat(1 - labels, lengths)
+    # Chains of at most CHAIN lines, the longest first; ``of`` tells each chain's document and first line.
+    of = [(i, at) for i, f in enumerate(features) for at in range(0, len(f), CHAIN)]
+    of.sort(key=lambda k: -min(CHAIN, len(features[k[0]]) - k[1]))
+    lengths = np.array([min(CHAIN, len(features[i]) - at) for i, at in of])
+    x = np.concatenate([features[i][at : at + CHAIN] for i, at in of])
+    lines = [np.full(len(f), 1 - y) for f, y in zip(features, labels)]
     model = empty
     for turn in range(ROUNDS):
-        model = Crf(*fit_chain(x, lengths, y), empty.curve)
+        model = Crf(*fit_chain(x, lengths, np.concatenate([lines[i][at : at + CHAIN] for i, at in of])), empty.curve)
         if turn + 1 < ROUNDS:
             for i in np.flatnonzero(labels == 0):
                 p = model.marginals(features[i])
-                y[starts[i] : starts[i] + lengths[i]] = p >= min(0.5, p.max())
+                lines[i] = (p >= min(0.5, p.max())).astype(lines[i].dtype)
     bad = np.array([model.marginals(f) @ w / w.sum() for f, w in zip(features, weights)])
     model.curve = logistic(bad[:, None], labels)
     return model
@@ -197,8 +199,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label="quality", mod=3, held_o
         for b in batches:
             for t, y in zip(text_bytes(b.column("text")), b.column("label").to_pylist()):
                 own, weights = line_features(t)
-                f = with_neighbours(own)[:LINES].astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()]), pa.array([weights[:LINES].astype("<f4").tobytes()]), pa.array([y], pa.int32())], names=["f", "w", "label"])
+                f = with_neighbours(own).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()]), pa.array([weights.astype("<f4").tobytes()]), pa.array([y], pa.int32())], names=["f", "w", "label"])
 
     found = labelled_sample(docs, labels, label, mod, held_out, rows, **columns).mapInArrow(run, "f binary, w binary, label int").toPandas()
     # In a fixed order, so that sums do not depend on which task ends first.

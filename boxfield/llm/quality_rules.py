@@ -26,8 +26,9 @@ KEPT_BYTES = bytes(b for b in range(256) if b not in SYMBOLS)
 CONTINUED = bytes(range(0x80, 0xC0))
 SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 5
-#: Texts used to estimate costs and rejection rates.
+#: About so many texts, chosen by a hash over all rows, are used to estimate costs and rejection rates.
 SAMPLE = 512
+SEED = 42
 
 
 def repeated_mask(words: list[bytes], window: int = WINDOW) -> np.ndarray | None:
@@ -135,8 +136,12 @@ def ordered(rules, found: list[Estimate]) -> list[Rule]:
 
 
 def sampled(docs: DataFrame, text: str, rows: int) -> list[bytes | None]:
-    """At most ``rows`` texts, whichever come first: they only set the order of the rules."""
-    found = docs.select(column(docs, text).cast("string").alias("t")).limit(rows).toArrow()
+    """At most ``rows`` texts, those of the smallest hashes over the whole table: they only set the order of the rules.
+
+    Hashes are taken where the texts are and the smallest of each task compared, so that no text is shuffled.
+    """
+    t = column(docs, text).cast("string")
+    found = docs.select(t.alias("t"), F.xxhash64(t, F.lit(SEED)).alias("h")).orderBy("h").limit(rows).select("t").toArrow()
     return text_bytes(found.column("t").combine_chunks()) if found.num_rows else []
 
 
@@ -146,14 +151,11 @@ def cascade(docs: DataFrame, *, text="text", keep: list[str], rules=RULES, sampl
     names = [r.name for r in order]
 
     def make():
-        by_name = {r.name: r for r in RULES}
-        run = [by_name.get(r.name, r) for r in order]
-
         def work(batch):
             by, cols = [], {c: [] for c in report}
             for t in batch:
                 f = Features(t)
-                by.append(next((r.name for r in run if r.rejects(f)), None))
+                by.append(next((r.name for r in order if r.rejects(f)), None))
                 for c in report:
                     cols[c].append(getattr(f, c))
             return {**cols, "rejected_by": by}

@@ -650,3 +650,53 @@ def test_very_long_texts_are_scored_whole(spark):
     long = "word " * 200_000
     assert g.features((long + "you idiot").encode())[0] == 6.0
     assert g.features(("you idiot " * 20_000).encode())[1] == 6.0 * 20_000
+
+
+def test_packing_writes_matrices_and_takes_any_id(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [("b", "same text here"), ("a", "same text here"), (None, "same text here"), ("c", "word " * 300), ("c", "word " * 300)]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    packing.write_packed(packing.pack(df, MODEL, length=64), str(tmp_path / "packed"))
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    sp = library()
+    got = sorted(((r.doc_id, r.part, r.start, np.frombuffer(r.ids, "<u2").tolist()) for r in packing.unpacked(packed).collect()), key=str)
+    want = sorted(((d, k, at, ids[at : at + 64]) for d, t in texts for ids in [sp.encode(t)] for k, at in enumerate(range(0, len(ids), 64))), key=str)
+    assert got == want
+    for b in packed.toArrow().to_batches():
+        ids, positions = packing.matrices(b)
+        assert ids.shape == positions.shape == (b.num_rows, 64)
+        for k, r in enumerate(pa.RecordBatch.to_pylist(b)):
+            cu = r["cu_seqlens"]
+            assert cu[0] == 0 and cu[-1] == r["n_tokens"] and (ids[k, cu[-1] :] == packing.PAD).all()
+            for a, z in zip(cu, cu[1:]):
+                assert positions[k, a:z].tolist() == list(range(z - a))
+
+
+def test_wide_vocabularies_are_unpacked_in_full(spark):
+    import numpy as np
+
+    ids = [70_000, 3, 99_999, 1]
+    row = [(1, 6, 4, np.array([*ids, 0, 0], "<i4").tobytes(), [0, 3, 4], [5, 6], [0, 0], [0, 0])]
+    packed = spark.createDataFrame(row, "pack_id bigint, length int, n_tokens int, input_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, parts array<int>, starts array<bigint>")
+    assert {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in packing.unpacked(packed).collect()} == {5: ids[:3], 6: ids[3:]}
+
+
+def test_a_rule_of_a_known_name_is_the_callers_own(docs):
+    never = (quality_rules.Rule("symbols", lambda f: False),)
+    assert {r.kept for r in quality_rules.cascade(docs, keep=["doc_id"], rules=never).collect()} == {True}
+
+
+def test_crf_learns_from_lines_behind_the_first_hundred():
+    import numpy as np
+
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randrange(2, 8)))
+    good = lambda n: "".join(" ".join(word() for _ in range(12)) + ".\n" for _ in range(n)).encode()
+    bad = lambda n: "".join(f"BUY NOW !!! {word().upper()} $$$ ***\n" for _ in range(n)).encode()
+    rows_ = [r for _ in range(6) for r in ((good(300), 1), (good(150) + bad(250), 0), (good(40), 1), (good(130) + bad(100), 0))]
+    feats = [quality_crf.line_features(t) for t, _ in rows_]
+    model = quality_crf.fit([quality_crf.with_neighbours(f) for f, _ in feats], [w for _, w in feats], np.array([y for _, y in rows_]))
+    scores = model.score(np.array([model.badness(t) for t, _ in rows_]))
+    assert ((scores >= 0.5) == np.array([y == 1 for _, y in rows_])).all()
