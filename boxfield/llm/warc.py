@@ -15,6 +15,11 @@ spot; segments are grouped by their origin's id, ordered by number, checked for
 gaps and against the total length, and joined.  Chunked framing is then undone
 and the payload is checked against its digest.
 
+A record's id is made of the page's id, its payload's digest and, for repeated
+rows, a number; so it does not depend on partitions, and what a revisit refers to
+is the id of a response record.  Files hold so many records of at most one
+segment each that they stay below ``FILE_BYTES`` before compression.
+
 Null html is an empty payload.  Rows with a null id are responses that nothing
 refers to.  Of repeated rows with the smallest id all are responses.  Records
 that fail a check come back with a null payload and the reason in ``problem``.
@@ -28,7 +33,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, quoted
@@ -36,7 +41,9 @@ from .common import Scratch, column, quoted
 MIN_REVISIT = 100
 SEGMENT_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 13
-RECORDS_PER_FILE = 4096
+FILE_BYTES = 128 << 20
+#: What the head of a record may take, its target URI left out.
+HEAD_BYTES = 2048
 BATCH_BYTES = 8 << 20
 END = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -103,7 +110,7 @@ def segments(kind: str, record_id: str, fields: list[tuple[str, object]], block:
     count = -(-len(block) // size)
     for k in range(1, count):
         total = [("WARC-Segment-Total-Length", len(block))] if k == count - 1 else []
-        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id}:{k + 1}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", f"<{record_id}>"), ("WARC-Segment-Number", k + 1), *total]
+        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id}:segment:{k + 1}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", f"<{record_id}>"), ("WARC-Segment-Number", k + 1), *total]
         out.append(record(own, block[k * size : (k + 1) * size]))
     return out
 
@@ -126,8 +133,25 @@ def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 # Writing
 
 
+def record_uri(page_id, digest, again):
+    """The id of a page's record; ``again`` numbers rows that repeat page and payload from 0."""
+    return F.concat(F.lit("urn:boxfield:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.when(again > 0, F.concat(F.lit(":copy:"), again.cast("string"))).otherwise(F.lit("")))
+
+
+def numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with again: 0, 1, ... of rows that repeat page_id and payload_digest; only such rows are gathered by them."""
+    key = ["page_id", "payload_digest"]
+    several = scratch.write(rows.groupBy(*key).count().where("count > 1").select(*(F.col(k).alias(f"__{k}") for k in key)))
+    if several.isEmpty():
+        return rows.withColumn("again", F.lit(0))
+    same = F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("payload_digest") == F.col("__payload_digest"))
+    order = Window.partitionBy(*key).orderBy("url")
+    twice = rows.join(several, same, "left_semi").withColumn("again", F.row_number().over(order) - 1)
+    return rows.join(several, same, "left_anti").withColumn("again", F.lit(0)).unionByName(twice)
+
+
 def record_types(pages: DataFrame, scratch: Scratch, *, page_id="page_id", html="html", url: str | None = "url") -> DataFrame:
-    """(page_id, url, payload, payload_digest, refers_to): refers_to is set for revisits.
+    """(page_id, url, payload, payload_digest, record_uri, refers_to): refers_to, the id of the response's record, is set for revisits.
 
     Only digests that occur twice or more are joined back; a frequent digest is
     one row there, and its pages are plain join rows that may be split.
@@ -137,28 +161,29 @@ def record_types(pages: DataFrame, scratch: Scratch, *, page_id="page_id", html=
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "payload_digest")
     again = scratch.write(large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    refers = F.when((F.col("page_id") != F.col("first")) & (F.octet_length("payload") >= MIN_REVISIT), F.col("first"))
-    return rows.join(again, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    revisit = (F.col("page_id") != F.col("first")) & (F.octet_length("payload") >= MIN_REVISIT)
+    refers = F.when(revisit, record_uri(F.col("first"), F.col("payload_digest"), F.lit(0)))
+    own = record_uri(F.col("page_id"), F.col("payload_digest"), F.col("again"))
+    return numbered(rows, scratch).join(again, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", own.alias("record_uri"), refers.alias("refers_to"))
 
 
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def write_archives(typed: DataFrame, path: str, *, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(typed: DataFrame, path: str, *, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write the pages of ``record_types`` as gzipped WARC files below ``path``."""
+    records_per_file = max(1, file_bytes // (segment_bytes + HEAD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "n"))):
-                page, url, payload, digest, refers, n = r
-                own = f"urn:boxfield:page:{'null' if page is None else page}:{n}"
+            for url, payload, digest, own, refers in zip(*(b.column(c).to_pylist() for c in ("url", "payload", "payload_digest", "record_uri", "refers_to"))):
                 fields = [("WARC-Target-URI", one_line(url) if url else None), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
                 if refers is None:
                     found = segments("response", own, fields, HTTP_HEAD + chunked(payload), segment_bytes)
                 else:
-                    more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:boxfield:page:{refers}>"), ("WARC-Payload-Length", len(payload))]
+                    more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers}>"), ("WARC-Payload-Length", len(payload))]
                     found = segments("revisit", own, fields + more, HTTP_HEAD, segment_bytes)
                 out += found
                 held += sum(map(len, found))
@@ -168,7 +193,7 @@ def write_archives(typed: DataFrame, path: str, *, segment_bytes: int = SEGMENT_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    rows = typed.withColumn("n", F.monotonically_increasing_id()).mapInArrow(run, "record binary")
+    rows = typed.mapInArrow(run, "record binary")
     rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -282,9 +307,11 @@ def joined(r: dict, with_payload: bool = True) -> dict:
 
 
 def resolved(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Records with the payload of revisits taken from the responses that have their digest; written responses are read twice."""
-    have = records.where("record_type = 'response' and problem is null").groupBy("payload_digest").agg(F.first("payload").alias("__p"))
-    return records.drop("payload").join(records.select("record_id", "payload"), "record_id").join(scratch.write(have), "payload_digest", "left").withColumn("payload", F.coalesce("payload", "__p")).drop("__p")
+    """Records with the payload of revisits taken from the response that they refer to by its id."""
+    rows = scratch.write(records)
+    wanted = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("__r")).distinct()
+    have = rows.where("record_type = 'response' and problem is null").join(wanted, F.col("record_id") == F.col("__r"), "left_semi").select(F.col("record_id").alias("__r"), F.col("payload").alias("__p"))
+    return rows.join(have, F.col("refers_to") == F.col("__r"), "left").withColumn("payload", F.coalesce("payload", "__p")).drop("__p", "__r")
 
 
 def digest(records: DataFrame) -> DataFrame:

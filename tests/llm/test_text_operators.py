@@ -429,7 +429,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://e/{i}\n", h, "z") for i, h in enumerate(html, 10)] + [(None, None, "<p>" + "x" * 200, "z")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, payload string")
     scratch = Scratch(spark)
-    warc.write_archives(warc.record_types(df, scratch), f"file://{tmp_path}/w", segment_bytes=1000, records_per_file=7)
+    warc.write_archives(warc.record_types(df, scratch), f"file://{tmp_path}/w", segment_bytes=1000, file_bytes=7 * (1000 + warc.HEAD_BYTES))
     records = warc.read_archives(spark, f"file://{tmp_path}/w", scratch)
     got = {r.page_id: r for r in warc.digest(records).collect()}
     assert all(r.problem is None for r in got.values()) and len(got) == len(pages)
@@ -441,6 +441,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert full["16"].decode() == html[0]
 
 
+def test_warc_refers_to_records_that_exist(spark, tmp_path):
+    long = "<p>" + "x" * 200
+    pages = [(3, "u", long), (3, "u", long), (3, "v", "other " * 40), (5, "u", long), (4, "u", "other " * 40), (None, "u", "tiny"), (None, "u", "tiny")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    scratch = Scratch(spark)
+    seen = []
+    for n in (1, 5):
+        at = f"file://{tmp_path}/w{n}"
+        warc.write_archives(warc.record_types(df.repartition(n), scratch), at)
+        found = warc.read_archives(spark, at, scratch).collect()
+        seen.append(sorted(r.record_id for r in found))
+        responses = {r.record_id for r in found if r.record_type == "response"}
+        revisits = [r for r in found if r.record_type == "revisit"]
+        assert len(seen[-1]) == len(set(seen[-1])) == len(pages) and len(revisits) == 2
+        assert all(r.refers_to in responses for r in revisits)
+    assert seen[0] == seen[1]  # ids do not depend on partitions
+    got = rows(warc.digest(warc.write_and_read(df)), "page_id", "record_type", "refers_to")
+    assert got == sorted([(3, "response", None)] * 3 + [(5, "revisit", 3), (4, "revisit", 3)] + [(None, "response", None)] * 2, key=str)
+
+
 def test_warc_empty_and_broken(spark):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.digest(warc.write_and_read(empty)).collect() == []
@@ -509,15 +529,86 @@ def test_licenses(spark):
 
 
 def test_anchors_lose_no_unit():
-    scanner = licenses.Scanner(licenses.TEMPLATES, {}, 100, 0.6)
-    vocabulary = sorted(scanner.idf)
+    from collections import Counter
+
     draw = random.Random(1)
+    for frequency in ({}, {x: draw.randrange(100) for x in licenses.Scanner(licenses.templates(), {}, 100, 0.6).idf}):
+        scanner = licenses.Scanner(licenses.templates(), frequency, 100, 0.6)
+        vocabulary = sorted(scanner.idf)
+        for n in range(3000):
+            if n % 2:
+                unit = draw.choices(vocabulary, k=draw.randrange(1, 12))
+            else:  # most of a template
+                unit = [x for x in licenses.terms(draw.choice(licenses.templates()).text.encode()) if draw.random() < 0.8] or [b"x"]
+            full, near = scanner.cosine(Counter(unit)), scanner.cosine(Counter(unit), scanner.near(unit))
+            assert full == near if full[0] >= 0.6 else near[0] < 0.6
+
+
+def test_licences_of_one_family_are_told_apart():
+    scanner = licenses.Scanner(licenses.templates(), {}, 1000, 0.6)
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    texts = {
+        "GPL-2.0": gnu.format("program", "General Public License", "2"),
+        "GPL-3.0": gnu.format("program", "General Public License", "3"),
+        "LGPL-2.1": gnu.format("library", "Lesser General Public License", "2.1"),
+        "AGPL-3.0": gnu.format("program", "Affero General Public License", "3"),
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "ISC": "Copyright (c) 2020, A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "EPL-2.0": "// SPDX-License-Identifier: EPL-2.0",
+        "CC-BY-SA-4.0": "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "CC-BY-4.0": "Licensed under CC BY 4.0.",
+        "BSD-2-Clause": licenses._BSD + "\n\n" + licenses._BSD_END,
+        "BSD-3-Clause": licenses._BSD + "\n\n" + licenses._BSD_CLAUSE + "\n\n" + licenses._BSD_END,
+        None: "Ein Text über Lizenzen, die nichts sagen. 许可证 许可证 许可证",
+    }
+    assert {name: scanner.scan(t.encode())[0] for name, t in texts.items()} == {name: name for name in texts}
+
+
+def test_licences_equal_brute_force(spark, sf):
+    """Own licences by dense cosines of every unit, inherited ones by walking up from each file."""
+    import math
     from collections import Counter
 
-    for _ in range(3000):
-        unit = draw.choices(vocabulary, k=draw.randrange(1, 12))
-        if scanner.anchors.isdisjoint(unit):
-            assert scanner.cosine(Counter(unit))[0] < 0.6
+    files = licenses.document_files(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r.doc_id: r for r in licenses.licenses(files, keep=["doc_id"]).collect()}
+    every = [(r.doc_id, r.path, (r.text or "").encode().lower()) for r in files.collect()]
+    found = licenses.templates()
+    df = Counter(x for _, _, t in every for x in set(licenses.terms(t)))
+    known = {x for t in found for x in licenses.terms(t.text.encode())}
+    idf = lambda x: math.log((1 + len(every)) / (1 + (df[x] if x in known else 0))) + 1
+    vectors = [(t, {x: n * idf(x) for x, n in Counter(licenses.terms(t.text.encode())).items()}) for t in found]
+
+    def best(unit):
+        terms = Counter(licenses.terms(unit))
+        own = {x: n * idf(x) for x, n in terms.items()}
+        size = math.sqrt(sum(w * w for w in own.values()))
+        out = (0.0, None)
+        for t, v in vectors:
+            if size and all(any(x.encode() in terms for x in g) for g in t.needs) and not any(x.encode() in terms for x in t.without):
+                cos = sum(w * own.get(x, 0.0) for x, w in v.items()) / size / math.sqrt(sum(w * w for w in v.values()))
+                out = max(out, (cos, t.name), key=lambda k: k[0])
+        return out
+
+    own, speaks = {}, {}
+    for i, path, text in every:
+        units = {u for p in licenses.PARAGRAPH.split(text) for u in (p, *licenses.UNIT.split(p))} | {text}
+        score, name = max((best(u) for u in units), key=lambda k: k[0])
+        own[i] = name if score >= 0.6 else None
+        if own[i] and (best(text)[0] >= 0.6 or licenses.NAMES.search(path)):
+            place = path.rpartition("/")[0]
+            speaks[place] = min(speaks.get(place, (0, "", "")), (-score, path, own[i]), key=lambda k: (round(k[0], 9), k[1]))
+    inherited = 0
+    for i, path, _ in every:
+        want, place = own[i], path.rpartition("/")[0]
+        while want is None:
+            if place in speaks:
+                want = speaks[place][2]
+                inherited += 1
+            if not place:
+                break
+            place = place.rpartition("/")[0]
+        assert got[i].license == want and got[i].own_license == own[i], i
+    assert inherited > 0 and sum(map(bool, own.values())) > 0
 
 
 # Classifiers
