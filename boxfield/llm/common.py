@@ -102,6 +102,26 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Words of 64 bits in the largest filter that is broadcast.
+FILTER_WORDS = 1 << 20
+
+
+def filtered(rows: DataFrame, keys: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of ``keys``, rows that surely have none), so that only the first need a join by shuffle.
+
+    ``key`` makes a 64-bit hash from a table's columns by the same names in both.
+    A bit for each hash, about 32 for each key and at most ``FILTER_WORDS`` words, is
+    set and broadcast; beyond that bound more rows may have a key, and no result changes.
+    """
+    n = keys.count()
+    words = max(1, min(FILTER_WORDS, 1 << max(0, (n // 2).bit_length())))
+    word, bit = F.pmod(F.shiftrightunsigned(F.col("__h"), 6), F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("__h"), F.lit(64)).cast("int"))
+    bits = keys.select(key.alias("__h")).select(word.alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
+    marked = rows.withColumn("__h", key).withColumn("__w", word).withColumn("__b", bit).join(F.broadcast(bits), "__w", "left")  # at most ``words`` rows
+    may = F.coalesce(F.col("__bits").bitwiseAND(F.col("__b")) != 0, F.lit(False))
+    return marked.where(may).select(*(quoted(c) for c in rows.columns)), marked.where(~may).select(*(quoted(c) for c in rows.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

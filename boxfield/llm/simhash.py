@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, quoted, text_bytes, with_text_columns
+from .common import Scratch, column, filtered, quoted, text_bytes, with_text_columns
 from .graph import components
 from .hamming import in_blocks, links, table_bits, table_links
 from .jaccard import confirmed
@@ -265,7 +265,7 @@ def sets_within(docs: DataFrame, classes: DataFrame, *, doc_id: str, text: str,
     def make():
         def work(batch):
             sets = [set_of(shingle_hashes(t, width)) for t in batch]
-            return {"set_key": [set_key(x) for x in sets], "shingles": sets}
+            return {"found": [set_key(x) for x in sets], "shingles": sets}
 
         return work
 
@@ -273,9 +273,10 @@ def sets_within(docs: DataFrame, classes: DataFrame, *, doc_id: str, text: str,
     own = F.when(F.col("blocks") < 3, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")))
     spread = classes.join(blocks, "component").withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") < 3, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))
     spread = spread.where("blocks < 3 or own <> other").select("id", "set_key", "node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    some = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text")).join(classes.select("id"), "id", "left_semi")
-    sets = with_text_columns(some, "text", make, "set_key bigint, shingles binary", ["id"])
-    return sets.join(spread, ["id", "set_key"]).select("group", "node", "shingles")
+    # Most texts are in no component: they are left out before the join, and sets are made behind it.
+    some, _ = filtered(docs.select(column(docs, doc_id).alias("id"), column(docs, text).cast("string").alias("text")), classes, F.xxhash64("id"))
+    sets = with_text_columns(some.join(spread, "id"), "text", make, "found bigint, shingles binary", ["group", "node", "set_key"])
+    return sets.where("found = set_key").select("group", "node", "shingles")
 
 
 def with_components(docs: DataFrame, scratch: Scratch, *, doc_id="doc_id", text="text", width=5, similarity=0.8, n_words=3) -> DataFrame:
@@ -321,7 +322,10 @@ def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> Dat
     own_id, own_text = (names_[docs.columns.index(c)] for c in (doc_id, text))
     plain = docs.toDF(*names_).withColumn("__own", text_key(F.col(own_text)))
     same = (F.col(own_id) == F.col("__id")) & (F.col("__own") == F.col("__key"))
-    kept = plain.join(others, same, "left_anti")
+    # Rows that no other row stands for are told by a filter, and only the rest are joined.
+    hashed = F.xxhash64(F.col("__id"), F.col("__key"))
+    suspects, clear = filtered(plain.withColumns({"__id": F.col(own_id), "__key": F.col("__own")}), others, hashed)
+    kept = clear.drop("__id", "__key").unionByName(suspects.drop("__id", "__key").join(others, same, "left_anti"))
     if not again.isEmpty():
         order = Window.partitionBy(own_id, "__own").orderBy(F.xxhash64(*names_))
         one = kept.join(again, same, "left_semi").withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
