@@ -16,26 +16,77 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
+def quantiles(values: DataFrame, keys: list[str], v: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """keys, q array<double>: exact quantiles (between neighbours in rank by straight line) of v in each group; nulls left out.
+
+    Values are counted in bins of each group's range first; only the bins that hold
+    a wanted rank are looked at value by value, and equal values as one.
+    """
+    rows = values.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("__v"), *([] if keys else [F.lit(0).alias("__all")]))
+    keys_ = keys or ["__all"]
+    stats = rows.groupBy(*keys_).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(0)), F.lit(bins - 1))
+    binned = rows.join(stats, keys_).select(*keys_, "__n", "__v", at.alias("__bin"))
+    running = Window.partitionBy(*keys_).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = binned.groupBy(*keys_, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n")).withColumn("__to", F.sum("__c").over(running))
+    rank = lambda q, f: f(F.lit(float(q)) * (F.col("__n") - 1)).cast("bigint")
+    wanted = F.array_distinct(F.array(*(rank(q, f) for q in shares for f in (F.floor, F.ceil))))
+    held = counts.withColumn("__ranks", F.filter(wanted, lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).where(F.size("__ranks") > 0)
+    held = held.select(*keys_, "__bin", "__ranks", "__n", (F.col("__to") - F.col("__c")).alias("__from"))
+    inner = Window.partitionBy(*keys_, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = binned.drop("__n").join(held, [*keys_, "__bin"]).groupBy(*keys_, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__ranks").alias("__ranks"), F.first("__from").alias("__from"), F.first("__n").alias("__n"))
+    near = near.withColumn("__to", F.col("__from") + F.sum("__c").over(inner))
+    found = near.select(*keys_, "__n", "__v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).alias("__rank"))
+    by_rank = found.groupBy(*keys_).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"), F.max("__n").alias("__n"))
+
+    def value(q: float):
+        exact = F.lit(float(q)) * (F.col("__n") - 1)
+        low, high = F.col("__m")[rank(q, F.floor)], F.col("__m")[rank(q, F.ceil)]
+        part = exact - F.floor(exact)
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    return by_rank.select(*keys, F.array(*(value(q) for q in shares)).alias("q"))
+
+
 def cloud_summary(points: DataFrame) -> DataFrame:
     """One row: size, bounds, height percentiles, share in the device band, distinct 0.1 m columns."""
     voxels = points.select(F.floor(F.col("x") / 0.1).alias("i"), F.floor(F.col("y") / 0.1).alias("j")).distinct().agg(F.count(F.lit(1)).alias("xy_voxels"))
-    q = F.percentile("z", F.array(*(F.lit(p) for p in (0.01, 0.10, 0.50, 0.90, 0.99))))
-    row = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))), q.alias("q"), share((F.col("z") > 0.5) & (F.col("z") < 2.4)).alias("band_share"))
+    row = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))), share((F.col("z") > 0.5) & (F.col("z") < 2.4)).alias("band_share"))
+    row = row.crossJoin(quantiles(points, [], "z", [0.01, 0.10, 0.50, 0.90, 0.99]))  # one row each
     row = row.select("n", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max")), *(F.col("q")[i].alias(f"z_p{p}") for i, p in enumerate((1, 10, 50, 90, 99))), "band_share")
     return row.crossJoin(voxels)  # one row each
 
 
 def support_summary(support: DataFrame) -> DataFrame:
-    """Smallest, upper median and largest support: the middle row by rank, without gathering the column."""
-    n = support.agg(F.count(F.lit(1)).alias("n"), F.min("support").alias("min_support"), F.max("support").alias("max_support"))
-    ranked = support.select("support", F.row_number().over(Window.orderBy("support")).alias("rn"))
-    return n.join(ranked, F.floor(F.col("n") / 2) + 1 == F.col("rn")).select("min_support", F.col("support").alias("median_support"), "max_support")
+    """Smallest, upper median and largest support."""
+    ends = support.agg(F.count(F.lit(1)).alias("n"), F.min("support").alias("min_support"), F.max("support").alias("max_support"))
+    # The upper median is the value of rank n div 2; counts per value are ranked by prefix sums over value ranges.
+    middle = ranked_values(support, "support", F.floor(F.col("n") / 2))
+    return ends.crossJoin(middle).select("min_support", F.col("value").alias("median_support"), "max_support")
+
+
+def ranked_values(values: DataFrame, v: str, rank: Column, weight: Column | None = None, parts: int = 64) -> DataFrame:
+    """One row (value): the smallest value with a running weight (or count) beyond ``rank``, a column over n, the total.
+
+    Values fall into ``parts`` ranges; ranges are summed first, so the running sum
+    is taken over a single range.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    rows = values.where(F.col(v).isNotNull()).select(F.col(v).alias("value"), w.cast("double").alias("w")).groupBy("value").agg(F.sum("w").alias("w"))
+    ends = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("w").alias("n"))
+    part = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * parts), F.lit(0)), F.lit(parts - 1))
+    keyed = rows.crossJoin(F.broadcast(ends)).withColumn("part", part)  # one row of ends
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = keyed.groupBy("part").agg(F.sum("w").alias("s"), F.max("n").alias("n"))  # at most ``parts`` rows
+    held = sums.withColumn("to", F.sum("s").over(order)).where(F.col("to") > rank).orderBy("part").limit(1).select("part", (F.col("to") - F.col("s")).alias("before"))
+    inside = keyed.join(F.broadcast(held), "part").withColumn("run", F.col("before") + F.sum("w").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return inside.where(F.col("run") > rank).agg(F.min("value").alias("value"))
 
 
 def floor_tiles(points: DataFrame, grid: float = C.FLOOR_GRID, band: float = C.FLOOR_BAND, least: int = C.FLOOR_MIN_POINTS) -> DataFrame:
     """(scene_id,) i, j, n_low, floor_z: the second percentile of each tile's points near its scene's floor, which fills tiles with few."""
     scene = scene_keys(points)
-    base = points.groupBy(*scene).agg(F.percentile("z", F.lit(0.02)).alias("base"))
+    base = quantiles(points, scene, "z", [0.02]).select(*scene, F.col("q")[0].alias("base"))
     tile = points.select(*scene, F.floor(F.col("x") / grid).alias("i"), F.floor(F.col("y") / grid).alias("j"), "z")
     tile = tile.join(base, scene) if scene else tile.crossJoin(F.broadcast(base))  # without scenes the base is one row
     low = F.col("z") <= F.col("base") + band
@@ -44,13 +95,15 @@ def floor_tiles(points: DataFrame, grid: float = C.FLOOR_GRID, band: float = C.F
 
 
 def mesh_floor_tiles(points: DataFrame) -> DataFrame:
-    """Lowest point of each fine tile, where enough points are and it is not far above the base; else the coarse tile's."""
-    base = points.agg(F.percentile("z", F.lit(0.02)).alias("base"))
-    fine = points.groupBy(F.floor(F.col("x") / C.MESH_FLOOR_GRID).alias("i"), F.floor(F.col("y") / C.MESH_FLOOR_GRID).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.min("x").alias("ax"), F.min("y").alias("ay")).crossJoin(F.broadcast(base))
-    coarse = floor_tiles(points).select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("floor_z").alias("coarse"))
+    """(scene_id,) i, j, floor_z: lowest point of each fine tile, where enough points are and it is not far above the base; else the coarse tile's."""
+    scene = scene_keys(points)
+    base = quantiles(points, scene, "z", [0.02]).select(*scene, F.col("q")[0].alias("base"))
+    fine = points.groupBy(*scene, F.floor(F.col("x") / C.MESH_FLOOR_GRID).alias("i"), F.floor(F.col("y") / C.MESH_FLOOR_GRID).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.min("x").alias("ax"), F.min("y").alias("ay"))
+    fine = fine.join(base, scene) if scene else fine.crossJoin(F.broadcast(base))  # without scenes the base is one row
+    coarse = floor_tiles(points).select(*scene, F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("floor_z").alias("coarse"))
     keyed = fine.withColumns({"ci": F.floor(F.col("ax") / C.FLOOR_GRID), "cj": F.floor(F.col("ay") / C.FLOOR_GRID)})
     ok = (F.col("n") >= C.MESH_FLOOR_MIN_POINTS) & (F.col("low") <= F.col("base") + C.MESH_FLOOR_BAND)
-    return keyed.join(coarse, ["ci", "cj"], "left").select("i", "j", F.when(ok, F.col("low")).otherwise(F.coalesce("coarse", "base")).alias("floor_z"))
+    return keyed.join(coarse, [*scene, "ci", "cj"], "left").select(*scene, "i", "j", F.when(ok, F.col("low")).otherwise(F.coalesce("coarse", "base")).alias("floor_z"))
 
 
 def height_above_floor(points: DataFrame, tiles: DataFrame, grid: float = C.FLOOR_GRID) -> DataFrame:
@@ -69,8 +122,8 @@ def layout_frame(points: DataFrame, yaw: float) -> DataFrame:
 def grounding_frame(points: DataFrame, yaw: float) -> DataFrame:
     """First to last percentile of the cloud turned by -yaw."""
     x, y = rotate("x", "y", -yaw)
-    q = lambda c: F.percentile(c, F.array(F.lit(0.01), F.lit(0.99)))
-    row = points.select(x.alias("x"), y.alias("y")).agg(q("x").alias("qx"), q("y").alias("qy"))
+    turned = points.select(x.alias("x"), y.alias("y"))
+    row = quantiles(turned, [], "x", [0.01, 0.99]).toDF("qx").crossJoin(quantiles(turned, [], "y", [0.01, 0.99]).toDF("qy"))  # one row each
     return row.selectExpr("qx[0] x0", "qy[0] y0", "qx[1] x1", "qy[1] y1")
 
 
@@ -134,14 +187,11 @@ def axis_votes(boxes_points: DataFrame, current: float, least: int = 150, min_le
 
 
 def weighted_median(votes: DataFrame, value: str, weight: str) -> DataFrame:
-    """One row: the smallest value at which the running weight reaches half of the total; needs two votes.
-
-    Votes are one row per box, so the single running sum is over boxes, not points.
-    """
-    order = Window.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = votes.agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("votes"))
-    run = votes.select(value, F.sum(weight).over(order).alias("run"))
-    return run.crossJoin(F.broadcast(total)).where((F.col("run") >= F.col("total") / 2) & (F.col("votes") >= 2)).agg(F.min(value).alias(value))
+    """One row: the smallest value at which the running weight reaches half of the total; needs two votes."""
+    n = votes.agg(F.count(F.lit(1)).alias("votes"))
+    # Reaching half, not passing it: the running weight lies beyond half less a hair of the total.
+    found = ranked_values(votes, value, F.col("n") * (0.5 - 1e-12), F.col(weight))
+    return found.crossJoin(n).select(F.when(F.col("votes") >= 2, F.col("value")).alias(value))  # one row each
 
 
 def pair_angle_histogram(cells: DataFrame, reach: float = 0.55, bins: int = 90) -> DataFrame:
@@ -172,35 +222,79 @@ def thick_points(points: DataFrame, voxel: float = C.THIN_VOXEL, least: int = C.
 
 
 def floor_spike(points: DataFrame, cell: float = 0.05) -> DataFrame:
-    """One row: median height around the strongest smoothed bin of the lowest quarter, if it stands out, else the second percentile."""
-    q = points.agg(F.percentile("z", F.lit(0.25)).alias("q25"), F.percentile("z", F.lit(0.02)).alias("q2"), F.min("z").alias("low"))
-    low = points.select("z").crossJoin(F.broadcast(q)).where("z <= q25")
-    bins = low.groupBy(F.floor((F.col("z") - F.col("low")) / cell).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spread = bins.select(F.explode(F.array(*(F.struct((F.col("bin") + d).alias("bin"), (F.col("n") * k / 4.0).alias("w")) for d, k in ((-1, 1), (0, 2), (1, 1))))).alias("s")).groupBy("s.bin").agg(F.sum("s.w").alias("w"))
-    top = spread.join(bins.select("bin"), "bin", "left_semi").agg(F.max(F.struct("w", (-F.col("bin")).alias("b"))).alias("m"), F.median("w").alias("mid"))
-    pick = q.crossJoin(top).select("q2", "low", F.col("m.w").alias("w"), (-F.col("m.b")).alias("bin"), "mid")
-    near = points.select("z").crossJoin(F.broadcast(pick)).where((F.col("z") >= F.col("low") + F.col("bin") * cell - 0.05) & (F.col("z") <= F.col("low") + F.col("bin") * cell + 0.15))
-    return near.agg(F.median("z").alias("spike"), F.max("w").alias("w"), F.max("mid").alias("mid"), F.max("q2").alias("q2")).select(F.when(F.col("w") >= F.greatest(F.lit(50.0), 2 * F.col("mid")), F.col("spike")).otherwise(F.col("q2")).alias("floor_z"))
-
-
-def nearest_distances(points: DataFrame, k: int = 20, cell: float = 1.0) -> DataFrame:
-    """points with mean_d: mean distance to the k nearest other points within one cell around (null with fewer than k).
-
-    Points of a cell are joined to those of the 27 cells around it; choose the
-    cell by density, so that a cell holds a few dozen points.
+    """One row (for each scene): median height around the strongest smoothed bin of the lowest quarter, if it stands out, else the second percentile."""
+    scene = scene_keys(points)
+    key = scene or ["__all"]
+    rows = points.select(*scene, "z", *([] if scene else [F.lit(0).alias("__all")]))
+    q = quantiles(rows, key, "z", [0.02, 0.25]).join(rows.groupBy(*key).agg(F.min("z").alias("low")), key).select(*key, F.col("q")[0].alias("q2"), F.col("q")[1].alias("q25"), "low")
+    low = rows.join(q, key).where("z <= q25")
+    bins = low.groupBy(*key, F.floor((F.col("z") - F.col("low")) / cell).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spread = bins.select(*key, F.explode(F.array(*(F.struct((F.col("bin") + d).alias("bin"), (F.col("n") * k / 4.0).alias("w")) for d, k in ((-1, 1), (0, 2), (1, 1))))).alias("s")).groupBy(*key, "s.bin").agg(F.sum("s.w").alias("w"))
+    top = spread.join(bins.select(*key, "bin"), [*key, "bin"], "left_semi").groupBy(*key).agg(F.max(F.struct("w", (-F.col("bin")).alias("b"))).alias("m"), F.median("w").alias("mid"))
+    pick = q.join(top, key).select(*key, "q2", "low", F.col("m.w").alias("w"), (-F.col("m.b")).alias("bin"), "mid")
+    at = F.col("low") + F.col("bin") * cell
+    near = rows.join(pick, key).where((F.col("z") >= at - 0.05) & (F.col("z") <= at + 0.15))
+    middle = quantiles(near, key, "z", [0.5]).select(*key, F.col("q")[0].alias("spike"))
+    out = pick.join(middle, key, "left")
+    return out.select(*scene, F.when(F.col("w") >= F.greatest(F.lit(50.0), 2 * F.col("mid")), F.col("spike")).otherwise(F.col("q2")).alias("floor_z"))
+
+
+# Neighbours
+
+
+def nearest_distances(points: DataFrame, k: int = 20, cell: float | None = None) -> DataFrame:
+    """points with mean_d: mean distance to the k nearest points, the point itself counted as one at 0.
+
+    Exact: a search in the 27 cells around finds all neighbours within one cell
+    width; points with fewer than k of these are searched again with twice the
+    width, until none is left.  Scenes with fewer than k points take what they have.
     """
-    from pyspark.sql import Window as W
-
-    keyed = points.withColumns({c: F.floor(F.col(a) / cell) for c, a in zip("ijk", "xyz")}).withColumn("__n", F.xxhash64("pt_id", "x", "y", "z"))
-    around = neighbour_cells(keyed.select("i", "j", "k", *(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("__n").alias("n2")), ["i", "j", "k"])
-    d = F.sqrt(sum(((F.col(a) - F.col(f"{a}2")) ** 2 for a in "yz"), (F.col("x") - F.col("x2")) ** 2))
-    pairs = keyed.join(around, ["i", "j", "k"]).where("__n <> n2").select("__n", d.alias("d"))
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("__n").orderBy("d"))).where(F.col("rn") <= k).groupBy("__n").agg(F.avg("d").alias("mean_d"), F.count(F.lit(1)).alias("found"))
-    return keyed.join(near, "__n", "left").select(*points.columns, F.when(F.col("found") >= k, F.col("mean_d")).alias("mean_d"))
+    from .rects import checkpointed
 
-
-def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float = 1.0) -> DataFrame:
-    """Points whose mean neighbour distance is at most the mean plus ``ratio`` standard deviations."""
+    scene = scene_keys(points)
+    rows = checkpointed(points.withColumn("__n", F.monotonically_increasing_id()))
+    total = rows.groupBy(*scene).count().withColumnRenamed("count", "__total") if scene else None
+    ends = rows.agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count(F.lit(1))).first()
+    if not ends[3]:
+        return points.withColumn("mean_d", F.lit(None).cast("double"))
+    reach = max(ends[0], ends[1], ends[2]) or 1.0
+    if cell is None:  # about k points within one cell, by how many a metre column holds
+        held = rows.select(*scene, *(F.floor(a).alias(a) for a in "xyz")).distinct().count()
+        cell = min(reach, max(0.02, (k * held / (4.0 * ends[3])) ** (1 / 3)))
+    own = F.lit(ends[3]) if total is None else F.col("__total")
+    left = rows if total is None else rows.join(total, scene)
+    done = None
+    while True:
+        keys = [F.floor(F.col(a) / cell).alias(c) for c, a in zip("ijk", "xyz")]
+        around = neighbour_cells(rows.select(*scene, *keys, *(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("__n").alias("n2")), ["i", "j", "k"])
+        d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
+        pairs = left.select("*", *keys).join(around, [*scene, "i", "j", "k"]).where("__n <> n2").select("__n", own.alias("__own"), d.alias("d"))
+        last = cell >= 2 * reach
+        if not last:
+            pairs = pairs.where(F.col("d") <= cell)
+        ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("__n").orderBy("d"))).where(F.col("rn") < k)
+        near = ranked.groupBy("__n").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("found"), F.max("__own").alias("__own"))
+        near = checkpointed(near.where(F.col("found") >= F.least(F.lit(k), F.col("__own")) - 1).select("__n", (F.col("s") / (F.col("found") + 1)).alias("mean_d")))
+        done = near if done is None else done.union(near)
+        left = checkpointed(left.join(near, "__n", "left_anti"))
+        if last or left.isEmpty():
+            break
+        cell *= 2
+    return rows.join(done, "__n", "left").select(*points.columns, "mean_d")
+
+
+def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | None = None, least: int = 1000, least_kept: int = 100) -> DataFrame:
+    """Points whose mean neighbour distance is below the scene's mean plus ``ratio`` standard deviations.
+
+    Scenes of fewer than ``least`` points, and those that would keep fewer than
+    ``least_kept``, stay as they are.
+    """
+    scene = scene_keys(points)
+    key = scene or ["__all"]
     near = nearest_distances(points, k, cell)
-    stats = near.agg(F.avg("mean_d").alias("m"), F.stddev_samp("mean_d").alias("s"))
-    return near.crossJoin(F.broadcast(stats)).where(F.col("mean_d") <= F.col("m") + ratio * F.col("s")).select(*points.columns)
+    near = near if scene else near.withColumn("__all", F.lit(0))
+    stats = near.groupBy(*key).agg(F.avg("mean_d").alias("__m"), F.stddev_samp("mean_d").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    marked = near.join(stats, key).withColumn("__keep", F.col("mean_d") < F.col("__m") + ratio * F.col("__s"))
+    kept = marked.groupBy(*key).agg(F.sum(F.col("__keep").cast("bigint")).alias("__kept"))
+    raw = (F.col("__n") < least) | (F.coalesce("__kept", F.lit(0)) < least_kept)
+    return marked.join(kept, key).where(raw | F.col("__keep")).select(*points.columns)

@@ -1,4 +1,10 @@
-"""Boxes fitted to the points of rectangles: device band, height, spans, rotation, recursive splits."""
+"""Boxes fitted to the points of rectangles: device band, height, spans, rotation, splits.
+
+All rectangles are fitted at once: each step is an aggregation over the points of
+all of them (counts, bins, covariances), and what a step finds is joined back by
+the rectangle.  Deep boxes with a gap are cut in two and fitted again, round by
+round, until none is cut.
+"""
 
 from __future__ import annotations
 
@@ -10,77 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .estimators import height_above_floor, quantiles
+from .profiles import body_tops, gap_middles, peak_spans
+from .rects import checkpointed
 from .spatial import scene_keys
 
-BIN = 0.05
 MIN_POINTS, FLOOR_CUT, MIN_HEIGHT = 60, 0.30, 0.50
-MAX_DEPTH, MIN_DEPTH, MIN_GAP = 1.8, 0.40, 0.30
+MAX_DEPTH, MIN_DEPTH = 1.8, 0.40
+MIN_LENGTH, MIN_WIDTH, TURN_POINTS = 0.30, 0.20, 150
 SNAP, GAIN = math.radians(5.0), 0.10
-FITTED = "rect_id bigint, part int, cx double, cy double, cz double, sl double, sw double, sh double, yaw double, n_pts bigint"
-
-
-# Kernels on one profile
-
-
-def counts(v: np.ndarray) -> tuple[float, np.ndarray]:
-    """(start, values in each 5 cm bin from the smallest value on)."""
-    low = float(v.min())
-    return low, np.bincount(np.floor((v - low) / BIN).astype(int))
-
-
-def body_top(z: np.ndarray) -> float | None:
-    """Upper edge of the body that stands on the lowest values: a walk up that ends at two weak bins in a row."""
-    if len(z) < 5:
-        return None
-    low, n = counts(z)
-    need, body, top, weak = max(0.20 * float(np.median(n[n > 0])), 1.0), [], None, 0
-    for i, k in enumerate(n):
-        if k >= need:
-            body.append(k)
-            need, top, weak = max(0.35 * float(np.median(body)), 1.0), i, 0
-        elif body and (weak := weak + 1) >= 2:
-            break
-    return None if top is None else low + (top + 1) * BIN
-
-
-def axis_span(v: np.ndarray, mesh: bool = False) -> tuple[float, float] | None:
-    """Span of a profile: bins around its peaks, strongest first; outer percentiles where that is short."""
-    if len(v) < 30:
-        return None
-    if mesh:
-        return float(v.min()), float(v.max())
-    low, n = counts(v)
-    left, first = n.astype(float), float(n.max())
-    ends: list[int] = []
-    while (peak := float(left.max())) > 0 and peak >= 0.06 * first:
-        a = b = int(left.argmax())
-        while a and left[a - 1] >= 0.20 * peak:
-            a -= 1
-        while b + 1 < len(left) and left[b + 1] >= 0.20 * peak:
-            b += 1
-        ends += [a, b]
-        left[a : b + 1] = 0
-    lo, hi = low + min(ends) * BIN, low + (max(ends) + 1) * BIN
-    q0, q1 = np.percentile(v, [0.5, 99.5])
-    return (lo, hi) if hi - lo >= 0.65 * (q1 - q0) else (float(q0), float(q1))
-
-
-def gap_middle(v: np.ndarray, strong: float = 0.25, least: float = MIN_DEPTH) -> float | None:
-    """Middle of the wide weak run that splits a profile most evenly, with ``least`` on both sides; None without one."""
-    if len(v) < 60:
-        return None
-    low, n = counts(v)
-    dense = np.flatnonzero(n >= strong * n.max())
-    if len(n) < 5 or not len(dense):
-        return None
-    at = lambda i: low + i * BIN
-    first, last = at(dense[0]), at(dense[-1] + 1)
-    found = []
-    for a, b in zip(dense, dense[1:]):
-        lo, hi = at(a + 1), at(b)
-        if b - a > 1 and hi - lo >= MIN_GAP - 1e-9 and min(lo - first, last - hi) >= least:
-            found.append((max(lo - first, last - hi), (lo + hi) / 2))
-    return min(found)[1] if found else None
+BOX = ("cx", "cy", "cz", "sl", "sw", "sh", "yaw", "n_pts")
 
 
 def band_score(v: np.ndarray, width: float = 0.15) -> float:
@@ -102,63 +47,6 @@ def band_score(v: np.ndarray, width: float = 0.15) -> float:
     return total
 
 
-# Kernels on the points of one rectangle
-
-
-def fit(xyz: np.ndarray, floor: float = 0.0, mesh: bool = False, least: int = MIN_POINTS) -> dict | None:
-    """The box of a rectangle's points, or None where they are too few, too low or too narrow."""
-    if len(xyz) < least:
-        return None
-    dev = xyz[xyz[:, 2] - floor > FLOOR_CUT]
-    if len(dev) < max(30, least // 2):
-        return None
-    top = float(dev[:, 2].max()) if mesh else body_top(dev[:, 2])
-    top = float(np.percentile(dev[:, 2], 99.5)) if top is None else top
-    height = top - floor
-    if height < MIN_HEIGHT:
-        return None
-    low = floor + max(FLOOR_CUT, 0.35 * height)
-    core = dev[(dev[:, 2] >= low) & (dev[:, 2] <= max(low + 0.10, floor + 0.75 * height))]
-    core = dev if len(core) < 30 else core
-    spans = [axis_span(core[:, i], mesh) for i in (0, 1)]
-    if None in spans:
-        q = (0, 100) if mesh else (0.5, 99.5)
-        spans = [tuple(np.percentile(dev[:, i], q)) for i in (0, 1)]
-    size = [float(b - a) for a, b in spans]
-    if size[0] < 0.30 or size[1] < 0.20:
-        return None
-    centre, yaw = [(a + b) / 2 for a, b in spans], 0.0
-    if len(core) >= 150:
-        c = np.cov(core[:, 0], core[:, 1], bias=True)
-        axis = 0.5 * math.atan2(2 * c[0, 1], c[0, 0] - c[1, 1])
-        turn = math.remainder(axis, math.pi / 2)
-        if abs(turn) >= SNAP:
-            co, si = math.cos(axis), math.sin(axis)
-            along = [axis_span(co * core[:, 0] + si * core[:, 1], mesh), axis_span(co * core[:, 1] - si * core[:, 0], mesh)]
-            if None not in along:
-                wide = [b - a for a, b in along]
-                if wide[0] >= 0.30 and wide[1] >= 0.20 and wide[0] * wide[1] <= (1 - GAIN) * size[0] * size[1]:
-                    m = [(a + b) / 2 for a, b in along]
-                    centre, size, yaw = [co * m[0] - si * m[1], si * m[0] + co * m[1]], [float(x) for x in wide], turn
-    if size[1] > size[0]:
-        size, yaw = size[::-1], yaw + math.pi / 2
-    return {"cx": float(centre[0]), "cy": float(centre[1]), "cz": floor + height / 2, "sl": size[0], "sw": size[1], "sh": height, "yaw": yaw, "n_pts": len(dev)}
-
-
-def fit_split(xyz: np.ndarray, floor: float = 0.0, mesh: bool = False) -> list[dict]:
-    """Boxes of a rectangle: a fit deeper than a device is split at a gap across it, as often as that helps."""
-    box = fit(xyz, floor, mesh)
-    if box is None or box["sw"] <= MAX_DEPTH:
-        return [] if box is None else [box]
-    across = xyz[:, 1] * math.cos(box["yaw"]) - xyz[:, 0] * math.sin(box["yaw"])
-    high = xyz[:, 2] - floor > FLOOR_CUT
-    at = gap_middle(across[high])
-    if at is None:
-        return [box]
-    parts = fit_split(xyz[across < at], floor, mesh) + fit_split(xyz[across >= at], floor, mesh)
-    return parts or [box]
-
-
 def points_in_rects(points: DataFrame, rects: DataFrame, cell: float = 1.0) -> DataFrame:
     """Points with the rect_id of every rectangle (x0, y0, x1, y1) that holds them; joined on grid cells."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
@@ -167,27 +55,108 @@ def points_in_rects(points: DataFrame, rects: DataFrame, cell: float = 1.0) -> D
     return keyed.join(wide, [*scene_keys(points, rects), "__i", "__j"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__i", "__j")
 
 
-def fitted_boxes(points: DataFrame, rects: DataFrame, floor: float = 0.0, mesh: bool = False) -> DataFrame:
-    """Boxes (FITTED) of all rectangles; a rectangle's points are one group, bounded by its size and the cloud's density."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "z"])
-        found = fit_split(pdf[["x", "y", "z"]].to_numpy(float), floor, mesh)
-        rows = [{"rect_id": int(pdf["rect_id"].iloc[0]), "part": k, **b} for k, b in enumerate(found)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FITTED.split(", ")])
-
+def spans_on(values: DataFrame, key: list[str], axes: dict[str, Column], mesh: bool) -> DataFrame:
+    """key and lo_<axis>, hi_<axis> for each axis: spans of the peaks, of all values for a mesh."""
+    each = values.select(*key, F.explode(F.array(*(F.struct(F.lit(n).alias("axis"), v.alias("v")) for n, v in axes.items()))).alias("a")).select(*key, "a.axis", "a.v")
+    found = each.groupBy(*key, "axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 30") if mesh else peak_spans(each, [*key, "axis"], "v")
+    return found.groupBy(*key).agg(*(F.max(F.when(F.col("axis") == n, F.col(c))).alias(f"{c}_{n}") for n in axes for c in ("lo", "hi")))
+
+
+def fit_regions(points: DataFrame, regions: DataFrame, key: list[str], *, mesh: bool, seed_top: float | None, least: int = MIN_POINTS) -> DataFrame:
+    """regions with the columns of BOX for each that has a box; ``points`` have floor_z, the floor below each."""
+    inside = points_in_rects(points, regions.select(*key, "x0", "y0", "x1", "y1")).select(*key, "x", "y", "z", "floor_z")
+    # The region's floor is the median of its points' floors, of which there are few distinct ones.
+    floors = inside.groupBy(*key).agg(F.median("floor_z").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    dev = inside.where(F.col("z") - F.col("floor_z") > FLOOR_CUT).join(floors.drop("n"), key)
+    enough = dev.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pts"), F.max("z").alias("peak"), F.first("floor").alias("floor")).where(F.col("n_pts") >= max(30, least // 2))
+    if seed_top is not None:
+        tall = enough.withColumn("height", F.lit(float(seed_top)))
+    elif mesh:
+        tall = enough.withColumn("height", F.col("peak") - F.col("floor"))
+    else:
+        outer = quantiles(dev, key, "z", [0.995]).select(*key, F.col("q")[0].alias("outer"))
+        tall = enough.join(body_tops(dev, key), key, "left").join(outer, key).withColumn("height", F.coalesce("top", "outer") - F.col("floor"))
+    tall = checkpointed(tall.where(F.col("height") >= MIN_HEIGHT).select(*key, "floor", "height", "n_pts"))
+    low = F.col("floor") + F.greatest(F.lit(FLOOR_CUT), 0.35 * F.col("height"))
+    high = F.greatest(low + 0.10, F.col("floor") + 0.75 * F.col("height"))
+    banded = dev.drop("floor").join(tall, key).withColumn("core", F.col("z").between(low, high))
+    n_core = banded.groupBy(*key).agg(F.sum(F.col("core").cast("bigint")).alias("n_core"))
+    core = checkpointed(banded.join(n_core, key).where(F.col("core") | (F.col("n_core") < 30)).select(*key, "x", "y"))
+    straight = spans_on(core, key, {"x": F.col("x"), "y": F.col("y")}, mesh)
+    shape = core.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), (0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("axis"))
+    shape = shape.withColumn("turn", F.col("axis") - F.rint(F.col("axis") / (math.pi / 2)) * (math.pi / 2))
+    slanted = core.join(shape.where((F.col("m") >= TURN_POINTS) & (F.abs("turn") >= SNAP)).select(*key, "axis"), key)
+    c, s = F.cos("axis"), F.sin("axis")
+    turned = spans_on(slanted, key, {"u": F.col("x") * c + F.col("y") * s, "v": F.col("y") * c - F.col("x") * s}, mesh)
+    b = tall.join(straight, key, "left").join(shape, key, "left").join(turned, key, "left")
+    wide = lambda n: F.col(f"hi_{n}") - F.col(f"lo_{n}")
+    mid = lambda n: (F.col(f"hi_{n}") + F.col(f"lo_{n}")) / 2
+    b = b.where((wide("x") >= MIN_LENGTH) & (wide("y") >= MIN_WIDTH))
+    better = F.coalesce((wide("u") >= MIN_LENGTH) & (wide("v") >= MIN_WIDTH) & (wide("u") * wide("v") <= (1 - GAIN) * wide("x") * wide("y")), F.lit(False))
+    pick = lambda yes, no: F.when(better, yes).otherwise(no)
+    b = b.select(*key, pick(c * mid("u") - s * mid("v"), mid("x")).alias("cx"), pick(s * mid("u") + c * mid("v"), mid("y")).alias("cy"), (F.col("floor") + F.col("height") / 2).alias("cz"),
+                 pick(wide("u"), wide("x")).alias("l"), pick(wide("v"), wide("y")).alias("w"), F.col("height").alias("sh"), pick(F.col("turn"), F.lit(0.0)).alias("yaw"), "n_pts")
+    swap = F.col("w") > F.col("l")
+    b = b.withColumns({"sl": F.greatest("l", "w"), "sw": F.least("l", "w"), "yaw": F.col("yaw") + F.when(swap, math.pi / 2).otherwise(0.0)})
+    return regions.join(b.select(*key, *BOX), key)
+
+
+def halves(points: DataFrame, deep: DataFrame, key: list[str]) -> DataFrame:
+    """Both parts (path extended by 0 and 1) of each deep region whose points show a gap across it, or else along it."""
+    inside = points_in_rects(points, deep.select(*key, "x0", "y0", "x1", "y1")).where(F.col("z") - F.col("floor_z") > FLOOR_CUT)
+    each = inside.select(*key, F.explode(F.array(*(F.struct(F.lit(n).alias("axis"), F.col(n).alias("v")) for n in "xy"))).alias("a")).select(*key, "a.axis", "a.v")
+    at = gap_middles(each, [*key, "axis"], "v", side=MIN_DEPTH).groupBy(*key).agg(*(F.max(F.when(F.col("axis") == n, F.col("middle"))).alias(f"at_{n}") for n in "xy"))
+    across_y = F.abs(F.cos("yaw")) > F.abs(F.sin("yaw"))
+    first, second = F.when(across_y, F.col("at_y")).otherwise(F.col("at_x")), F.when(across_y, F.col("at_x")).otherwise(F.col("at_y"))
+    cut = deep.join(at, key).withColumns({"at": F.coalesce(first, second), "on_y": F.when(first.isNotNull(), across_y).otherwise(~across_y)}).where("at is not null")
+    out = None
+    for k in (0, 1):
+        lo, hi = ("x0", "x1")
+        sides = {"x0": F.col("x0"), "x1": F.col("x1"), "y0": F.col("y0"), "y1": F.col("y1")}
+        for name, axis in (("x", ~F.col("on_y")), ("y", F.col("on_y"))):
+            end = f"{name}{1 - k}"
+            sides[end] = F.when(axis, F.col("at")).otherwise(F.col(end))
+        one = cut.select(*(c for c in key if c != "path"), F.concat("path", F.lit(str(k))).alias("path"), *(v.alias(n) for n, v in sides.items()))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fitted_boxes(points: DataFrame, rects: DataFrame, floor: float | DataFrame = 0.0, mesh: bool = False, seed_top: float | None = None) -> DataFrame:
+    """(scene_id,) rect_id, part and the columns of BOX for the boxes of all rectangles (x0, y0, x1, y1).
+
+    ``floor`` is a height or a table of floor tiles; ``seed_top`` sets all heights.
+    A box deeper than ``MAX_DEPTH`` is cut at a gap, as often as that helps; it
+    stays whole where neither part gives a box.  Rect ids are unique in a scene.
+    """
     scene = scene_keys(points, rects)
-    inside = points_in_rects(points.select(*scene, "x", "y", "z"), rects.select(*scene, "rect_id", "x0", "y0", "x1", "y1"))
-    return inside.select("rect_id", "x", "y", "z").groupBy("rect_id").applyInPandas(run, FITTED)
-
-
-def gap_splits(values: DataFrame, key: str = "box_id", v: str = "v") -> DataFrame:
-    """key, middle: where each profile is split."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = gap_middle(pdf[v].to_numpy(float))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "middle": [at]})
-
-    return values.select(key, v).groupBy(key).applyInPandas(run, f"{key} bigint, middle double")
+    key = [*scene, "rect_id", "path"]
+    cloud = points.select(*scene, "x", "y", "z")
+    cloud = cloud.withColumn("floor_z", F.lit(float(floor))) if not isinstance(floor, DataFrame) else height_above_floor(cloud, floor).drop("h")
+    cloud = cloud.where("floor_z is not null")
+    regions = rects.select(*scene, "rect_id", F.lit("").alias("path"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    levels, cuts = [], []
+    while True:
+        found = checkpointed(fit_regions(cloud, regions, key, mesh=mesh, seed_top=seed_top))
+        levels.append(found)
+        deep = found.where(F.col("sw") > MAX_DEPTH)
+        parts = None if deep.isEmpty() else checkpointed(halves(cloud, deep, key))
+        cuts.append(parts)
+        if parts is None or parts.isEmpty():
+            break
+        regions = parts
+    parent = F.substring("path", F.lit(1), F.length("path") - 1)
+    boxes = levels[-1]
+    for found, parts in zip(levels[-2::-1], cuts[-2::-1]):
+        # A cut region's own box counts only where nothing came of its parts.
+        whole = found.join(parts.select(*scene, "rect_id", parent.alias("path")).distinct(), key, "left_anti")
+        alive = boxes.select(*scene, "rect_id", "path")
+        back = found.join(parts.select(*scene, "rect_id", parent.alias("path")).distinct(), key, "left_semi")
+        held = back.alias("f").join(alive.alias("a"), [F.col(f"f.{c}") == F.col(f"a.{c}") for c in (*scene, "rect_id")] + [F.col("a.path").startswith(F.col("f.path")) & (F.length("a.path") > F.length("f.path"))], "left_anti").select("f.*")
+        boxes = boxes.unionByName(whole).unionByName(held)
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*scene, "rect_id").orderBy("path")
+    return boxes.select(*scene, "rect_id", (F.row_number().over(order) - 1).cast("int").alias("part"), *BOX)
 
 
 def band_scores(cells: DataFrame, yaws: list[float]) -> DataFrame:
@@ -251,9 +220,9 @@ def outer_walls(points: DataFrame, boxes: DataFrame, edge: float = 0.35) -> Data
     open_face = {n: (F.col(f"{n}_n") >= 10) & (F.col(f"{n}_c") >= 0.05) & (F.col(f"{o}_c") < 0.05) & (F.coalesce(f"{n}_share", F.lit(0.0)) >= 0.90) for n, o, _, _, _ in order}
     some = open_face["left"] | open_face["right"] | open_face["back"] | open_face["front"]
     cand = b.join(near, "box_id", "left").withColumns({"strip": strip, "matched": matched, "some": some})
-    yaws = cand.where("some and not strip and matched < 3").select("yaw").distinct()
-    extent = extents(points, yaws)
-    c = cand.join(extent, "yaw", "left")
+    scene = scene_keys(points, boxes)
+    yaws = cand.where("some and not strip and matched < 3").select(*scene, "yaw").distinct()
+    c = cand.join(extents(points, yaws), [*scene, "yaw"], "left")
     du, dv = F.col("cx") * F.cos("yaw") + F.col("cy") * F.sin("yaw"), F.col("cy") * F.cos("yaw") - F.col("cx") * F.sin("yaw")
     wall = F.lit(None).cast("string")
     for n, _, a, z, s in reversed(order):
@@ -264,12 +233,23 @@ def outer_walls(points: DataFrame, boxes: DataFrame, edge: float = 0.35) -> Data
     return c.select("box_id", F.coalesce(reason, F.lit("")).alias("reason")).where("reason <> ''")
 
 
-def extents(points: DataFrame, yaws: DataFrame) -> DataFrame:
-    """yaw, lo_u, hi_u, lo_v, hi_v: extent of the points along and across each direction.
+def extents(points: DataFrame, yaws: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(scene_id,) yaw, lo_u, hi_u, lo_v, hi_v: extent of the (scene's) points along and across each direction.
 
-    Directions belong to boxes that passed all other tests; partial aggregates
-    keep one row for each direction and task.
+    What a grid cell's points can reach is bounded by their rectangle; only cells
+    that may hold an extreme are looked at point by point.
     """
+    scene = scene_keys(points, yaws)
     c, s = F.cos("yaw"), F.sin("yaw")
+    keyed = points.select(*scene, "x", "y", F.floor(F.col("x") / cell).alias("__i"), F.floor(F.col("y") / cell).alias("__j"))
+    rects = keyed.groupBy(*scene, "__i", "__j").agg(*(f(a).alias(f"{n}{a}") for a in "xy" for f, n in ((F.min, "a"), (F.max, "b"))))
+    each = rects.join(yaws, scene) if scene else rects.crossJoin(yaws)  # cells and directions are few against points
+    corners = [(F.col(x), F.col(y)) for x in ("ax", "bx") for y in ("ay", "by")]
+    us, vs = [x * c + y * s for x, y in corners], [y * c - x * s for x, y in corners]
+    for n, w in (("u", us), ("v", vs)):
+        each = each.withColumns({f"least_{n}": F.least(*w), f"most_{n}": F.greatest(*w)})
+    group = [*scene, "yaw"]
+    sure = each.groupBy(*group).agg(*(f(F.col(x)).alias(y) for n in "uv" for f, x, y in ((F.max, f"least_{n}", f"far_{n}"), (F.min, f"most_{n}", f"near_{n}"))))
+    ends = each.join(sure, group).where(" or ".join(f"most_{n} >= far_{n} or least_{n} <= near_{n}" for n in "uv")).select(*group, "__i", "__j")
     u, v = F.col("x") * c + F.col("y") * s, F.col("y") * c - F.col("x") * s
-    return points.select("x", "y").join(yaws).groupBy("yaw").agg(F.min(u).alias("lo_u"), F.max(u).alias("hi_u"), F.min(v).alias("lo_v"), F.max(v).alias("hi_v"))
+    return keyed.join(ends, [*scene, "__i", "__j"]).groupBy(*group).agg(F.min(u).alias("lo_u"), F.max(u).alias("hi_u"), F.min(v).alias("lo_v"), F.max(v).alias("hi_v"))

@@ -257,19 +257,6 @@ def best_trial(trials: DataFrame, agree: float = math.radians(3.0)) -> DataFrame
 # Ordered folds inside a group
 
 
-def merged_spans(spans: DataFrame, key: str = "view_id") -> DataFrame:
-    """key, lo, hi, n: spans joined where they overlap; a running maximum of ends opens a new span."""
-    order = Window.partitionBy(key).orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return spans.withColumn("__i", island).groupBy(key, "__i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).drop("__i")
-
-
-def piece_scores(spans: DataFrame) -> DataFrame:
-    """spans (lo, hi, ms, n) with centre, length and score of the piece they make."""
-    return spans.withColumns({"centre": (F.col("lo") + F.col("hi")) / 2, "length": F.col("hi") - F.col("lo"), "piece_score": 0.55 * F.col("ms") + 0.45 * F.least(F.col("n") / 200.0, F.lit(1.0))})
-
-
 def snapped_seams(rowed: DataFrame, seam: float = 0.12, height: float = 0.05) -> DataFrame:
     """box_id, lo, hi: ends of the boxes of each row after close neighbours share the middle of their seam.
 
@@ -289,66 +276,3 @@ def snapped_seams(rowed: DataFrame, seam: float = 0.12, height: float = 0.05) ->
         return pd.DataFrame({"box_id": pdf["box_id"], "lo": lo, "hi": hi})
 
     return rowed.select("bucket", "row_no", "box_id", "along", "cross", "sl", "sw", "cz", "sh").groupBy("bucket", "row_no").applyInPandas(fold, "box_id bigint, lo double, hi double")
-
-
-def anchored_tops(columns: DataFrame, key: str = "box_id", z: str = "z") -> DataFrame:
-    """key, top: upper edge of the body of a column of heights, below the first void.
-
-    Heights are counted in 5 cm bins where the points are; only the bins of a
-    column, a few hundred at most, meet in its group.
-    """
-    low = columns.groupBy(key).agg(F.min(z).alias("low"), F.count(F.lit(1)).alias("total"))
-    bins = columns.join(low, key).groupBy(key, "low", "total", F.floor((F.col(z) - F.col("low")) / 0.05).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        first = pdf.iloc[0]
-        if first["total"] < 5:
-            return pd.DataFrame({key: [], "top": []})
-        count = np.zeros(int(pdf["bin"].max()) + 1)
-        count[pdf["bin"].astype(int)] = pdf["n"]
-        body: list[float] = []
-        start = max(0.20 * float(np.median(count[count > 0])), 1.0)
-        top, weak = None, 0
-        for i, n in enumerate(count):
-            need = max(0.35 * float(np.median(body)), 1.0) if body else start
-            if n >= need:
-                body.append(float(n))
-                top, weak = i, 0
-            elif body:
-                weak += 1
-                if weak >= 2:
-                    break
-        return pd.DataFrame({key: [first[key]], "top": [float(first["low"]) + (top + 1) * 0.05 if top is not None else float("nan")]})
-
-    return bins.groupBy(key).applyInPandas(walk, f"{key} bigint, top double")
-
-
-def peeled_spans(values: DataFrame, key: str = "box_id", v: str = "u") -> DataFrame:
-    """key, lo, hi: span of the bins around the peaks of a profile, from the strongest peak downwards; percentiles if that is short."""
-    q = F.percentile(v, F.array(F.lit(0.005), F.lit(0.995)))
-    low = values.groupBy(key).agg(F.min(v).alias("low"), F.count(F.lit(1)).alias("total"), q.alias("q")).where("total >= 30")
-    bins = values.join(low, key).groupBy(key, "low", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1"), F.floor((F.col(v) - F.col("low")) / 0.05).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        count = np.zeros(int(pdf["bin"].max()) + 1)
-        count[pdf["bin"].astype(int)] = pdf["n"]
-        first = pdf.iloc[0]
-        left, peak0, lo, hi = count.copy(), count.max(), None, None
-        while (peak := left.max()) >= 0.06 * peak0 and peak > 0:
-            a = b = int(left.argmax())
-            while a > 0 and left[a - 1] >= 0.20 * peak:
-                a -= 1
-            while b + 1 < len(left) and left[b + 1] >= 0.20 * peak:
-                b += 1
-            lo, hi = a if lo is None else min(lo, a), b if hi is None else max(hi, b)
-            left[a : b + 1] = 0
-        x0, x1 = first["low"] + lo * 0.05, first["low"] + (hi + 1) * 0.05
-        if x1 - x0 < 0.65 * (first["q1"] - first["q0"]):
-            x0, x1 = first["q0"], first["q1"]
-        return pd.DataFrame({key: [first[key]], "lo": [float(x0)], "hi": [float(x1)]})
-
-    return bins.groupBy(key).applyInPandas(peel, f"{key} bigint, lo double, hi double")

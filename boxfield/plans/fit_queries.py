@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import estimators as E
 from ..operators import fitting as T
-from ..operators import merging
+from ..operators import merging, profiles
 from ..operators.spatial import inside
 from . import synth
 from .cloud_queries import r, rs
@@ -47,7 +47,7 @@ def points_in_rects(spark, d):
 
 @query()
 def cross_gap_split(spark, d):
-    return T.gap_splits(inside(V.points(spark, d), V.boxes(spark, d))).withColumn("middle", r("middle"))
+    return profiles.gap_middles(inside(V.points(spark, d), V.boxes(spark, d)), ["box_id"], "v").withColumn("middle", r("middle"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import layout as L
+from ..operators import profiles, spans as N
 from ..operators.spatial import inside
 from ..sources import layouts as J
 from .cloud_queries import r, rs
@@ -160,31 +161,47 @@ def pick_yaw_trial(spark, d):
     return L.best_trial(t)
 
 
-SPANS = "sp AS (SELECT user_id view_id, value lo, value+CAST(event_id%5 AS DOUBLE)*0.4e0 hi, CAST(event_id%10 AS DOUBLE)/10e0 ms, event_id%300 n FROM events)"
-
-
 def spans(spark, d):
-    return V.table(spark, d, "events").selectExpr("user_id view_id", "value lo", "value+CAST(event_id%5 AS DOUBLE)*0.4e0 hi", "CAST(event_id%10 AS DOUBLE)/10e0 ms", "event_id%300 n", "event_id")
+    """Spans of views along a row, each with the pixel box that it was seen in."""
+    return V.table(spark, d, "events").selectExpr("user_id view_id", "event_id span_id", "value lo", "value+CAST(event_id%5 AS DOUBLE)*0.4e0+0.1e0 hi", "CAST(event_id%10 AS DOUBLE)/10e0 ms", "event_id%300 n", "event_type label", "value*4e0 px0", "0e0 py0", "value*4e0+8e0+CAST(event_id%3 AS DOUBLE)*4e0 px1", "20e0 py1", "event_id")
 
 
-@query(given(SPANS, "mk AS (SELECT *, coalesce(CAST(lo>max(hi) OVER (PARTITION BY view_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT),1) nw FROM sp)", "il AS (SELECT *, sum(nw) OVER (PARTITION BY view_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) g FROM mk)") + f"SELECT view_id, {rs('min(lo)')} lo, {rs('max(hi)')} hi, count(*) n FROM il GROUP BY view_id, g")
+@query()
 def merge_spans(spark, d):
-    return L.merged_spans(spans(spark, d).select("view_id", "lo", "hi")).withColumns({"lo": r("lo"), "hi": r("hi")})
+    return N.merged_spans(spans(spark, d).drop("event_id")).withColumns({"lo": r("lo"), "hi": r("hi")})
+
+
+XV = "sp AS (SELECT user_id row_id, event_id%2 view_id, event_id span_id, value lo, value+CAST(event_id%5 AS DOUBLE)*2e0+0.5e0 hi, CAST(event_id%10 AS DOUBLE)/10e0 ms, event_id%300 n, event_type label FROM events)"
+XV_SQL = given(
+    XV,
+    "vc AS (SELECT row_id, view_id, count(*) c FROM sp GROUP BY 1,2), rc AS (SELECT row_id, count(*) v, min(c) lo, max(c) hi FROM vc GROUP BY 1)",
+    "ab AS (SELECT DISTINCT s.span_id FROM sp s JOIN vc ON vc.row_id=s.row_id AND vc.view_id=s.view_id AND vc.c=1 JOIN rc ON rc.row_id=s.row_id AND rc.v=2 AND rc.hi>1 JOIN sp f ON f.row_id=s.row_id AND f.view_id<>s.view_id AND least(s.hi,f.hi)>greatest(s.lo,f.lo))",
+    "lf AS (SELECT * FROM sp WHERE span_id NOT IN (SELECT span_id FROM ab))",
+    "lk AS (SELECT a.span_id a, b.span_id b FROM lf a JOIN lf b ON a.row_id=b.row_id AND a.span_id<>b.span_id AND least(a.hi,b.hi)-greatest(a.lo,b.lo)>=0.5e0*least(a.hi-a.lo,b.hi-b.lo))",
+    "dg AS (SELECT span_id, (SELECT count(*) FROM lk WHERE lk.a=lf.span_id) k, (SELECT max(b) FROM lk WHERE lk.a=lf.span_id) o FROM lf)",
+    "kp AS (SELECT * FROM dg WHERE k<=1), pr AS (SELECT a.span_id, b.span_id other FROM kp a LEFT JOIN kp b ON a.k=1 AND b.k=1 AND a.o=b.span_id AND b.o=a.span_id WHERE b.span_id IS NULL OR a.span_id<b.span_id)",
+)
+
+
+@query(XV_SQL + f"SELECT x.row_id, x.span_id, {rs('least(x.lo, coalesce(y.lo, x.lo))')} lo, {rs('greatest(x.hi, coalesce(y.hi, x.hi))')} hi, greatest(x.ms, coalesce(y.ms, x.ms)) ms, x.n+coalesce(y.n, 0) n, CASE WHEN y.n>x.n THEN y.label ELSE x.label END AS label FROM pr JOIN sp x ON x.span_id=pr.span_id LEFT JOIN sp y ON y.span_id=pr.other")
+def merge_cross_view(spark, d):
+    e = V.table(spark, d, "events").selectExpr("user_id row_id", "event_id%2 view_id", "event_id span_id", "value lo", "value+CAST(event_id%5 AS DOUBLE)*2e0+0.5e0 hi", "CAST(event_id%10 AS DOUBLE)/10e0 ms", "event_id%300 n", "event_type label")
+    return N.cross_view(e).withColumns({"lo": r("lo"), "hi": r("hi")})
 
 
 @query("SELECT event_id, " + rs("value+CAST(event_id%5 AS DOUBLE)*0.2e0") + " centre, " + rs("0.55e0*CAST(event_id%10 AS DOUBLE)/10e0+0.45e0*least((event_id%300)/200e0,1e0)") + " piece_score FROM events")
 def build_split_pieces(spark, d):
-    return L.piece_scores(spans(spark, d)).select("event_id", r("centre").alias("centre"), r("piece_score").alias("piece_score"))
+    return N.piece_scores(V.table(spark, d, "events").selectExpr("value lo", "value+CAST(event_id%5 AS DOUBLE)*0.4e0 hi", "CAST(event_id%10 AS DOUBLE)/10e0 ms", "event_id%300 n", "event_id")).select("event_id", r("centre").alias("centre"), r("piece_score").alias("piece_score"))
 
 
 @query()
 def anchored_top(spark, d):
-    return L.anchored_tops(inside(V.points(spark, d), V.boxes(spark, d))).withColumn("top", r("top"))
+    return profiles.body_tops(inside(V.points(spark, d), V.boxes(spark, d)), ["box_id"]).withColumn("top", r("top"))
 
 
 @query()
 def region_axis_span(spark, d):
-    return L.peeled_spans(inside(V.points(spark, d), V.boxes(spark, d))).withColumns({"lo": r("lo"), "hi": r("hi")})
+    return profiles.peak_spans(inside(V.points(spark, d), V.boxes(spark, d)), ["box_id"], "u").withColumns({"lo": r("lo"), "hi": r("hi")})
 
 
 # Records

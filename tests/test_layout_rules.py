@@ -13,6 +13,7 @@ from boxfield.functions import geometry as G
 from boxfield.functions import text as T
 from boxfield.operators import estimators as E
 from boxfield.operators import layout as L
+from boxfield.operators import profiles as P
 from boxfield.operators import rects as R
 from boxfield.operators import support as S
 from boxfield.sources import layouts as J
@@ -137,7 +138,7 @@ def test_clusters_join_over_one_cell(spark):
 
 def test_body_top_stops_at_a_void(spark):
     z = [0.02 * (i % 100) for i in range(400)] + [3.0] * 50
-    got = L.anchored_tops(spark.createDataFrame([(1, v) for v in z] + [(2, 1.0)] * 3, "box_id bigint, z double")).collect()
+    got = P.body_tops(spark.createDataFrame([(1, v) for v in z] + [(2, 1.0)] * 3, "box_id bigint, z double"), ["box_id"]).collect()
     assert len(got) == 1 and abs(got[0].top - 2.0) < 0.06
 
 
