@@ -113,6 +113,14 @@ def height_above_floor(points: DataFrame, tiles: DataFrame, grid: float = C.FLOO
     return keyed.join(tiles.select(*scene, "i", "j", "floor_z"), [*scene, "i", "j"], "left").withColumn("h", F.col("z") - F.col("floor_z")).drop("i", "j")
 
 
+def floor_at_local(points: DataFrame, tiles: DataFrame, yaw: float, grid: float = C.FLOOR_GRID) -> DataFrame:
+    """points of a frame turned by -yaw, with floor_z: the floor of the tile below each in the world's frame."""
+    x, y = rotate("x", "y", yaw)
+    scene = scene_keys(points, tiles)
+    keyed = points.withColumns({"i": F.floor(x / grid), "j": F.floor(y / grid)})
+    return keyed.join(tiles.select(*scene, "i", "j", "floor_z"), [*scene, "i", "j"], "left").drop("i", "j")
+
+
 def layout_frame(points: DataFrame, yaw: float) -> DataFrame:
     """Bounds of the cloud turned by -yaw."""
     x, y = rotate("x", "y", -yaw)
