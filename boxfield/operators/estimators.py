@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,16 +204,21 @@ def weighted_median(votes: DataFrame, value: str, weight: str) -> DataFrame:
     return found.crossJoin(n).select(F.when(F.col("votes") >= 2, F.col("value")).alias(value))  # one row each
 
 
+def neighbour_pairs(cells: DataFrame, reach: float) -> DataFrame:
+    """dx, dy, d of all pairs of cell means within ``reach``, each pair once."""
+    cell = reach
+    keyed = cells.select("mx", "my", F.floor(F.col("mx") / cell).alias("gi"), F.floor(F.col("my") / cell).alias("gj"), F.struct("i", "j").alias("id"))
+    around = neighbour_cells(keyed.select(F.col("mx").alias("bx"), F.col("my").alias("by"), "gi", "gj", F.col("id").alias("bid")), ["gi", "gj"])
+    pairs = keyed.join(around, ["gi", "gj"]).where("id < bid").withColumns({"dx": F.round(F.col("bx") - F.col("mx"), 9), "dy": F.round(F.col("by") - F.col("my"), 9)})
+    return pairs.withColumn("d", F.hypot("dx", "dy")).where(F.col("d") <= reach)
+
+
 def pair_angle_histogram(cells: DataFrame, reach: float = 0.55, bins: int = 90) -> DataFrame:
     """bin, w: distance-weighted directions of pairs of cell means within ``reach``, smoothed over five bins of a circle.
 
     Offsets are rounded to nanometres, so that pairs along an axis fall into one bin however their means were summed.
     """
-    cell = reach
-    keyed = cells.select("mx", "my", F.floor(F.col("mx") / cell).alias("gi"), F.floor(F.col("my") / cell).alias("gj"), F.struct("i", "j").alias("id"))
-    around = neighbour_cells(keyed.select(F.col("mx").alias("bx"), F.col("my").alias("by"), "gi", "gj", F.col("id").alias("bid")), ["gi", "gj"])
-    pairs = keyed.join(around, ["gi", "gj"]).where("id < bid").withColumns({"dx": F.round(F.col("bx") - F.col("mx"), 9), "dy": F.round(F.col("by") - F.col("my"), 9)})
-    pairs = pairs.withColumn("d", F.hypot("dx", "dy")).where(F.col("d") <= reach)
+    pairs = neighbour_pairs(cells, reach)
     angle = F.pmod(F.atan2("dy", "dx"), F.lit(math.pi / 2))
     raw = pairs.groupBy(F.least(F.floor(angle / (math.pi / 2) * bins), F.lit(bins - 1)).alias("bin")).agg(F.sum("d").alias("w"))
     spread = raw.select(F.explode(F.array(*(F.struct(F.pmod(F.col("bin") + d, F.lit(bins)).alias("bin"), (F.col("w") * k / 9.0).alias("w")) for d, k in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))))).alias("s"))
@@ -250,45 +257,76 @@ def floor_spike(points: DataFrame, cell: float = 0.05) -> DataFrame:
 # Neighbours
 
 
-def nearest_distances(points: DataFrame, k: int = 20, cell: float | None = None) -> DataFrame:
-    """points with mean_d: mean distance to the k nearest points, the point itself counted as one at 0.
+def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+    """n, d, x2, y2, z2 of the k nearest other points of each point; ``points`` is a written table with a number n.
 
     Exact: a search in the 27 cells around finds all neighbours within one cell
     width; points with fewer than k of these are searched again with twice the
-    width, until none is left.  Scenes with fewer than k points take what they have.
+    width, until none is left.  Scenes with no more than k points take what they have.
     """
     from .rects import checkpointed
 
     scene = scene_keys(points)
-    rows = checkpointed(points.withColumn("__n", F.monotonically_increasing_id()))
-    total = rows.groupBy(*scene).count().withColumnRenamed("count", "__total") if scene else None
-    ends = rows.agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count(F.lit(1))).first()
-    if not ends[3]:
-        return points.withColumn("mean_d", F.lit(None).cast("double"))
-    reach = max(ends[0], ends[1], ends[2]) or 1.0
-    if cell is None:  # about k points within one cell, by how many a metre column holds
-        held = rows.select(*scene, *(F.floor(a).alias(a) for a in "xyz")).distinct().count()
-        cell = min(reach, max(0.02, (k * held / (4.0 * ends[3])) ** (1 / 3)))
-    own = F.lit(ends[3]) if total is None else F.col("__total")
-    left = rows if total is None else rows.join(total, scene)
+    ends = points.agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count(F.lit(1))).first()
+    reach = max(*(e or 0.0 for e in ends[:3]), 1e-6)
+    if cell is None:  # about k points within one cell, by how many a metre cube holds
+        held = points.select(*scene, *(F.floor(a).alias(a) for a in "xyz")).distinct().count()
+        cell = min(reach, max(0.02, (k * held / (4.0 * max(1, ends[3]))) ** (1 / 3)))
+    sizes = points.groupBy(*scene).agg(F.count(F.lit(1)).alias("__own"))
+    left = points.join(sizes, scene) if scene else points.crossJoin(F.broadcast(sizes))  # without scenes one row
     done = None
     while True:
         keys = [F.floor(F.col(a) / cell).alias(c) for c, a in zip("ijk", "xyz")]
-        around = neighbour_cells(rows.select(*scene, *keys, *(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("__n").alias("n2")), ["i", "j", "k"])
+        around = neighbour_cells(points.select(*scene, *keys, *(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("n").alias("n2")), ["i", "j", "k"])
         d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
-        pairs = left.select("*", *keys).join(around, [*scene, "i", "j", "k"]).where("__n <> n2").select("__n", own.alias("__own"), d.alias("d"))
+        pairs = left.select("*", *keys).join(around, [*scene, "i", "j", "k"]).where("n <> n2").select("n", "__own", d.alias("d"), "x2", "y2", "z2", "n2")
         last = cell >= 2 * reach
         if not last:
             pairs = pairs.where(F.col("d") <= cell)
-        ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("__n").orderBy("d"))).where(F.col("rn") < k)
-        near = ranked.groupBy("__n").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("found"), F.max("__own").alias("__own"))
-        near = checkpointed(near.where(F.col("found") >= F.least(F.lit(k), F.col("__own")) - 1).select("__n", (F.col("s") / (F.col("found") + 1)).alias("mean_d")))
+        ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("d", "n2"))).where(F.col("rn") <= k)
+        full = F.max("rn").over(Window.partitionBy("n")) >= F.least(F.lit(k), F.col("__own") - 1)
+        near = checkpointed(ranked.withColumn("full", full).where("full").select("n", "d", "x2", "y2", "z2"))
         done = near if done is None else done.union(near)
-        left = checkpointed(left.join(near, "__n", "left_anti"))
+        left = checkpointed(left.join(near.select("n").distinct(), "n", "left_anti").where("__own > 1"))
         if last or left.isEmpty():
-            break
+            return done
         cell *= 2
-    return rows.join(done, "__n", "left").select(*points.columns, "mean_d")
+
+
+def nearest_distances(points: DataFrame, k: int = 20, cell: float | None = None) -> DataFrame:
+    """points with mean_d: mean distance to the k nearest points, the point itself counted as one at 0 (null without others)."""
+    from .rects import checkpointed
+
+    rows = checkpointed(points.withColumn("n", F.monotonically_increasing_id()))
+    near = nearest(rows, k - 1, cell).groupBy("n").agg((F.sum("d") / (F.count(F.lit(1)) + 1)).alias("mean_d"))
+    return rows.join(near, "n", "left").select(*points.columns, "mean_d")
+
+
+def upright(points: DataFrame, k: int = 20, most: float = 0.5, cell: float | None = None) -> DataFrame:
+    """Points on upright surfaces: the normal of the k nearest points (itself included) leans less than ``most`` towards z."""
+    from .rects import checkpointed
+
+    rows = checkpointed(points.withColumn("n", F.monotonically_increasing_id()))
+    own = rows.select("n", F.lit(0.0).alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    axes = ("x2", "y2", "z2")
+    moments = [F.covar_pop(a, b).alias(f"{a[0]}{b[0]}") for i, a in enumerate(axes) for b in axes[i:]]
+    cov = nearest(rows, k - 1, cell).union(own).groupBy("n").agg(*moments)
+
+    @F.pandas_udf("double")
+    def lean(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
+        m = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2)
+        return pd.Series(np.abs(np.linalg.eigh(m)[1][:, 2, 0]))
+
+    kept = cov.select("n", lean("xx", "xy", "xz", "yy", "yz", "zz").alias("lean")).where(F.col("lean") < most)
+    return rows.join(kept.select("n"), "n", "left_semi").select(*points.columns)
+
+
+def hash_sample(points: DataFrame, most: int, columns=("x", "y", "z")) -> DataFrame:
+    """About ``most`` points, the same in every run: those whose hash falls into the share that is needed."""
+    n = points.count()
+    if n <= most:
+        return points
+    return points.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
 def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | None = None, least: int = 1000, least_kept: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import corners, frame_rect
+from .rects import checkpointed
 from .spatial import scene_keys
 
 # Fixed ladders: distances of the oblique camera, lenses and distances of the local one.
@@ -72,6 +73,7 @@ def nadir_camera(foot: DataFrame, width: int = 1280, height: int = 1024, least_z
 def first_framed(cameras: DataFrame, key: list[str], points: list[Vector], width: int, height: int, margin: float, otherwise: str) -> DataFrame:
     """For each key the camera (step, ex..tz, fovy) of the smallest step that shows all points within the margin; else the ``otherwise`` ('first' or 'last') one."""
     eye, target = tuple(F.col(c) for c in ("ex", "ey", "ez")), tuple(F.col(c) for c in ("tx", "ty", "tz"))
+    cameras = checkpointed(cameras)  # a few rows; their long expressions would else be repeated below
     rows = cameras.withColumn("__p", F.explode(F.array(*(F.struct(x.alias("x"), y.alias("y"), z.alias("z")) for x, y, z in points))))
     x, y, depth = pixel((F.col("__p.x"), F.col("__p.y"), F.col("__p.z")), eye, target, F.col("fovy"), width, height)
     seen = rows.withColumns({"__x": x, "__y": y, "__d": depth})

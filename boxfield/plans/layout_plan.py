@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import directions as D
 from ..operators import estimators as E
 from ..operators import fitting as T
 from ..operators import layout as L
@@ -42,12 +43,6 @@ class Result:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def levelled(points: DataFrame) -> DataFrame:
-    """Points above the floor spike."""
-    floor = E.floor_spike(points)
-    return points.crossJoin(F.broadcast(floor)).withColumn("z", F.col("z") - F.col("floor_z")).drop("floor_z")
-
-
 def cluster_rects(points: DataFrame) -> DataFrame:
     """Rectangles of dense clusters between 0.30 and 1.00 metres."""
     found = L.cell_clusters(points.where("z > 0.30 and z <= 1.00"))
@@ -74,7 +69,7 @@ def run(points: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None
         return out
 
     cloud = E.denoised(points, o.neighbours) if o.denoise else points
-    cloud = stage("level", levelled(cloud))
+    cloud = stage("level", D.levelled(cloud, D.levelling(cloud)))
     rects = stage("rects", (judge or cluster_rects)(cloud).select("rect_id", "x0", "y0", "x1", "y1"))
     boxes = stage("fit", as_boxes(T.fitted_boxes(cloud, rects, mesh=o.mesh)))
     boxes = stage("dedup", L.two_tier_kept(boxes))
