@@ -131,17 +131,18 @@ def row_gaps(rowed: DataFrame) -> DataFrame:
     return g.select("bucket", "row_no", "box_id", "gap", "width", F.least(F.rint(F.col("gap") / F.col("width")), F.lit(2.0)).cast("bigint").alias("probes"))
 
 
-def row_continues(boxes: DataFrame, side: int) -> DataFrame:
+def row_continues(boxes: DataFrame, side: int, same: str | None = None) -> DataFrame:
     """box_id of boxes whose row another box goes on beyond the given end (+1 right, -1 left).
 
     The other's cross range is compared as absolute coordinates with plus and
     minus half the depth, as the rule is defined; so the two need not be near,
     and pairs meet on their direction modulo 180 degrees, in steps of 20 degrees.
+    With ``same`` only boxes with an equal value in that column continue each other.
     """
     step = F.floor(F.pmod(F.col("yaw"), F.lit(math.pi)) / math.radians(20)).cast("int")
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(step + k, F.lit(9))))
-    others = boxes.select(*(F.col(c).alias(c + "_b") for c in ("box_id", "cx", "cy", "sl", "sw", "yaw")), F.explode(around).alias("__d"))
-    p = boxes.withColumn("__d", F.pmod(step, F.lit(9))).join(others, "__d").where("box_id <> box_id_b")
+    others = boxes.select(*(F.col(c).alias(c + "_b") for c in ("box_id", "cx", "cy", "sl", "sw", "yaw")), *([same] if same else []), F.explode(around).alias("__d"))
+    p = boxes.withColumn("__d", F.pmod(step, F.lit(9))).join(others, ["__d", *([same] if same else [])]).where("box_id <> box_id_b")
     c, s = F.cos("yaw"), F.sin("yaw")
     xy = corners("cx_b", "cy_b", "sl_b", "sw_b", "yaw_b")
     along, cross = [x * c + y * s for x, y in xy], [y * c - x * s for x, y in xy]

@@ -151,3 +151,22 @@ def extended_face_supported(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """box_id, face, supported for front and back with the wider slab and the lower coverage."""
     faces = face_coverage(points, boxes, C.EXTENDED_TOLERANCE).where("face in ('front', 'back')")
     return faces.withColumn("supported", (F.col("n") >= C.EXTENDED_MIN_POINTS) & (F.col("coverage") >= C.EXTENDED_MIN_COVERAGE))
+
+
+# Rules of acceptance
+
+
+def low_completion() -> Column:
+    """Filled-in rows of low confidence, which do not reach the output."""
+    return (F.col("source") == "row_completion") & (F.col("confidence") == "low")
+
+
+def too_thin(least: float = 0.35) -> Column:
+    """Fits of missed clusters that are thinner than any device."""
+    return F.col("sw") < least
+
+
+def piece_in_seed(x: Column, y: Column, margin: float = 0.30) -> Column:
+    """Whether a piece's centre lies in its seed's footprint grown by the margin."""
+    dx, dy = x - F.col("cx"), y - F.col("cy")
+    return (F.abs(dx * F.cos("yaw") + dy * F.sin("yaw")) <= F.col("sl") / 2 + margin) & (F.abs(dy * F.cos("yaw") - dx * F.sin("yaw")) <= F.col("sw") / 2 + margin)
