@@ -49,6 +49,10 @@ def face_coverage(points: DataFrame, boxes: DataFrame, tolerance: float = C.FACE
     cell before they are counted per face.
     """
     near = near_points(points, boxes, tolerance)
+    # Points in the hollow of a box lie near none of its faces and are left out before anything is made of them.
+    by = lambda a, s: F.col(s) / 2 - F.abs(a)
+    hollow = (by("u", "sl") > tolerance) & (by("v", "sw") > tolerance) & (F.col("sh") / 2 - F.col("k") > tolerance)
+    near = near.where(~hollow & (F.abs("k") <= F.col("sh") / 2 + tolerance))
     options = []
     for face, axis, size, sign, (t1, s1), (t2, s2) in FACES:
         on = (F.abs(F.col(axis) - sign * F.col(size) / 2) <= tolerance) & (F.abs(t1) <= F.col(s1) / 2) & (F.abs(t2) <= F.col(s2) / 2)
@@ -126,12 +130,13 @@ def own_points(points: DataFrame, boxes: DataFrame, reach: float = 1.0) -> DataF
     """(box_id, pt_id, x, y, z, u, v, k) of points near each box that lie in no other box.
 
     A point inside two boxes is nobody's; one inside a single box is that box's only.
+    Owners are found first, one row for each point inside any box, and joined to the
+    points; the many pairs of near points and boxes are then filtered where they are made.
     """
-    row = [*scene_keys(points, boxes), "pt_id", "x", "y", "z"]
-    owners = inside(points, boxes).groupBy(*row).agg(F.min("box_id").alias("first"), F.max("box_id").alias("last"))
-    near = near_points(points, boxes, reach)
-    joined = near.join(owners, row, "left")
-    return joined.where(F.col("first").isNull() | ((F.col("first") == F.col("box_id")) & (F.col("last") == F.col("box_id")))).drop("first", "last")
+    key = [*scene_keys(points, boxes), "pt_id", "x", "y", "z"]  # ids may repeat, at other places
+    owners = inside(points.select(*key), boxes).groupBy(*key).agg(F.min("box_id").alias("__first"), F.max("box_id").alias("__last"))
+    own = points.join(owners, key, "left").where("__first is null or __first = __last")
+    return near_points(own, boxes, reach).where("__first is null or __first = box_id").drop("__first", "__last")
 
 
 def near_any_box(points: DataFrame, boxes: DataFrame, margin: float = 0.6) -> DataFrame:

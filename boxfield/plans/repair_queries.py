@@ -10,6 +10,7 @@ from .. import views as V
 from ..functions.text import is_subtractive
 from ..operators import directions as D
 from ..operators import estimators as E
+from ..operators import faces as X
 from ..operators import layout as L
 from ..operators import masks as M
 from ..operators import rects as R
@@ -127,7 +128,7 @@ def neighbour_suppression(spark, d):
 _CL = "cl AS (SELECT box_id rect_id, cx-0.6e0 x0, cy-0.6e0 y0, cx+0.6e0 x1, cy+0.6e0 y1 FROM v_boxes), ft AS (SELECT cx-sl/2e0-0.1e0 a0, cy-sw/2e0-0.1e0 b0, cx+sl/2e0+0.1e0 a1, cy+sw/2e0+0.1e0 b1 FROM v_boxes WHERE score>0.5e0)"
 
 
-@query(given(POINTS, BOX, _CL, "ht AS (SELECT DISTINCT pt_id hit FROM v_points JOIN ft ON x BETWEEN a0 AND a1 AND y BETWEEN b0 AND b1)", "iq AS (SELECT pt_id, x, y, hit IS NOT NULL h FROM v_points LEFT JOIN ht ON hit=pt_id)") + "SELECT rect_id, count(pt_id) n, count(*) FILTER (h) inside, count(pt_id)<30 OR count(*) FILTER (h)>=0.65e0*count(pt_id) covered FROM cl LEFT JOIN iq ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1")
+@query(given(POINTS, BOX, _CL, "ht AS (SELECT DISTINCT pt_id hit, x hx, y hy FROM v_points JOIN ft ON x BETWEEN a0 AND a1 AND y BETWEEN b0 AND b1)", "iq AS (SELECT pt_id, x, y, hit IS NOT NULL h FROM v_points LEFT JOIN ht ON hit=pt_id AND hx=x AND hy=y)") + "SELECT rect_id, count(pt_id) n, count(*) FILTER (h) inside, count(pt_id)<30 OR count(*) FILTER (h)>=0.65e0*count(pt_id) covered FROM cl LEFT JOIN iq ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1")
 def clusters_covered(spark, d):
     b = V.boxes(spark, d)
     clusters = b.selectExpr("box_id rect_id", "cx-0.6e0 x0", "cy-0.6e0 y0", "cx+0.6e0 x1", "cy+0.6e0 y1")
@@ -190,3 +191,8 @@ def region_floor_and_slice(spark, d):
     low = F.col("floor") + max(0.30, 0.35 * 2.0)
     core = F.col("z").between(low, F.greatest(low + 0.10, F.col("floor") + 0.75 * 2.0))
     return p.join(floors, "box_id").groupBy("box_id").agg(r(F.max("floor")).alias("floor"), F.count(F.when(core, 1)).alias("n_core"))
+
+
+@query()
+def snap_box_faces(spark, d):
+    return X.snapped_faces(V.points(spark, d), V.boxes(spark, d)).select("box_id", "moved", *(r(c).alias(c) for c in ("cx", "cy", "sw")))

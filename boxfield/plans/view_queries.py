@@ -345,3 +345,9 @@ def extract_json(spark, d):
 @query()
 def parse_box_groups(spark, d):
     return V.replies(spark, d).select("reply_id", F.posexplode(T.box_groups_column("text")).alias("k", "g")).select("reply_id", "k", "g.box", "g.label")
+
+
+@query()
+def ground_replies(spark, d):
+    out = T.grounded_rects(V.replies(spark, d), 1280, 1024)
+    return out.select("reply_id", "k", "label", *(r(c).alias(c) for c in ("x0", "y0", "x1", "y1")))

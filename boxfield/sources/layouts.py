@@ -24,14 +24,46 @@ def boxes_from_json(lines: DataFrame) -> DataFrame:
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of a layout file: a list of boxes, or a detector's {"objects": [...]}."""
-    raw = spark.read.text(path, wholetext=True)
-    listed = raw.where("ltrim(value) like '[%'")
-    if listed.isEmpty():
-        found = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.objects"), f"array<struct<{OBJECT}>>")).alias("box_id", "o")).select(F.col("box_id").cast("bigint").alias("box_id"), "o.*")
-        return boxes_from_objects(found, "box_id")
+    """file and boxes of layout files: lists of boxes, or a detector's {"objects": [...]}, numbered from 0 in each file."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    listed = F.ltrim("value").startswith("[")
+    found = raw.where(~listed).select("file", F.posexplode(F.from_json(F.get_json_object("value", "$.objects"), f"array<struct<{OBJECT}>>")).alias("k", "o")).select("file", F.col("k").cast("bigint").alias("box_id"), "o.*")
+    detected = boxes_from_objects(found.withColumn("__key", F.struct("file", "box_id")), "__key").select("__key.*", "*").drop("__key")
     fields = ", ".join(":".join(x.split(" ")) for x in SCHEMA.split(", "))
-    return boxes_from_json(raw.select(F.explode(F.from_json("value", f"array<struct<{fields}>>")).alias("b")).select(F.to_json("b").alias("value")))
+    rows = raw.where(listed).select("file", F.explode(F.from_json("value", f"array<struct<{fields}>>")).alias("b")).select("file", "b.*")
+    plain = rows.select(*(F.coalesce(c, F.lit(DEFAULTS[c])).alias(c) if c in DEFAULTS else F.col(c) for c in rows.columns))
+    return plain.unionByName(detected, allowMissingColumns=True)
+
+
+def layout_document(boxes: DataFrame) -> DataFrame:
+    """value: one JSON array of all boxes by id; a layout is a few hundred boxes."""
+    rows = boxes.select("box_id", F.struct(*boxes.columns).alias("b")).agg(F.array_sort(F.collect_list(F.struct("box_id", "b"))).alias("all"))
+    return rows.select(F.to_json(F.col("all.b")).alias("value"))
+
+
+def save_layout(boxes: DataFrame, path: str) -> None:
+    layout_document(boxes).coalesce(1).write.mode("overwrite").text(path)
+
+
+#: What a model's decision states.
+VERDICT = "action string, params map<string,double>, confidence double, detail string, raw string, picture string"
+
+
+def rounded_metrics(metrics: DataFrame, places: int = 4) -> DataFrame:
+    """One row of metrics with fractions rounded half to even."""
+    return metrics.select(*(F.bround(c, places).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes))
+
+
+def metrics_line(metrics: DataFrame) -> DataFrame:
+    """summary: one line of text."""
+    return metrics.select(F.format_string("matched %d of %d true and %d found boxes; recall %.3f, precision %.3f, edges within limit %.3f, mean error %.4f m, p90 %.4f m", "n_matched", "n_gt", "n_pred", "recall", "precision", "edge_accuracy", "mean_edge_error_m", "p90_edge_error_m").alias("summary"))
+
+
+def agent_report(unresolved: DataFrame, actions: DataFrame, performance: DataFrame) -> DataFrame:
+    """value: one JSON object with the boxes left open, the actions taken (a few for each box) and seconds by stage (stage, seconds)."""
+    listed = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    parts = listed(unresolved, "unresolved").crossJoin(listed(actions, "actions_taken")).crossJoin(performance.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "seconds")))).alias("performance")))  # one row each
+    return parts.select(F.to_json(F.struct("unresolved", "actions_taken", "performance")).alias("value"))
 
 
 def device_type(name: Column) -> Column:

@@ -137,6 +137,27 @@ def read_splats(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, gid bigint, " + ", ".join(f"{c} double" for c in SPLAT))
 
 
+def scene_splats(spark: SparkSession, path: str | None, rotation: list[list[float]] | None = None, shift: list[float] | None = None) -> DataFrame | None:
+    """The splats that belong to a scene, in its levelled frame; None where the scene names no splat file."""
+    from ..functions.geometry import align
+
+    if not path:
+        return None
+    splats = read_splats(spark, path)
+    if rotation is None:
+        return splats
+    return splats.withColumns(dict(zip("xyz", align("x", "y", "z", rotation, shift or [0.0, 0.0, 0.0]))))
+
+
+def prepared(splats: DataFrame, cut: float = float("inf"), cut_low: float = float("-inf")) -> DataFrame:
+    """Splats between two heights, with their three scales, opacity, unit quaternion and colour decoded."""
+    norm = F.sqrt(sum((F.col(f"rot_{i}") * F.col(f"rot_{i}") for i in (1, 2, 3)), F.col("rot_0") * F.col("rot_0")))
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    new = {f"scale_{i}": F.exp(f"scale_{i}") for i in range(3)} | {f"rot_{i}": F.col(f"rot_{i}") / norm for i in range(4)}
+    new |= {"opacity": 1.0 / (1.0 + F.exp(-F.col("opacity")))} | {c: clip(0.5 + C.SH_C0 * F.col(f"f_dc_{i}")) for i, c in enumerate(("red", "green", "blue"))}
+    return splats.where((F.col("z") <= cut) & (F.col("z") >= cut_low)).withColumns(new)
+
+
 def decoded(splats: DataFrame) -> DataFrame:
     """Splats with scale, opacity, unit quaternion part and red share from their raw columns."""
     norm = F.sqrt(F.col("qw") * F.col("qw") + F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy") + F.col("qz") * F.col("qz"))

@@ -12,6 +12,24 @@ def append(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+class Recorder:
+    """Where decisions are logged; without a path nothing is."""
+
+    def __init__(self, path: str | None = None) -> None:
+        self.path = path
+
+    def set(self, path: str | None) -> None:
+        self.path = path
+
+    def record(self, records: DataFrame) -> bool:
+        """Appends the records; columns that they lack are null."""
+        if self.path is None:
+            return False
+        lacking = [f.split()[0] for f in RECORD.split(", ") if f.split()[0] not in records.columns]
+        append(records.select("*", *(F.lit(None).cast("string").alias(c) for c in lacking)), self.path)
+        return True
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path)
 

@@ -89,7 +89,7 @@ def test_thin_points_are_dropped(spark):
 def test_noise_is_dropped(spark):
     rng = np.random.default_rng(1)
     body = rng.uniform(0, 1, (400, 3)).tolist()
-    kept = E.denoised(cloud(spark, [*body, (1.9, 1.9, 1.9)]), k=5, cell=1.0)
+    kept = E.denoised(cloud(spark, [*body, (1.9, 1.9, 1.9)]), k=5, cell=1.0, least=100)
     assert kept.where("x > 1.5").count() == 0 and kept.count() > 350
 
 
@@ -199,3 +199,23 @@ def test_layout_files(spark, tmp_path):
     assert (r.device_type, r.cx, round(r.yaw, 6)) == ("ac", 1.0, round(math.pi / 2, 6))
     names = spark.createDataFrame([(1, "rack"), (2, "unknown"), (3, "rack_2"), (4, "rack")], "box_id bigint, n string")
     assert [x.name for x in J.output_names(names, F.col("n")).orderBy("box_id").collect()] == ["rack", "unknown", "rack_2", "rack_3"]
+
+
+def test_replies_whole_and_broken(spark):
+    replies = [
+        (1, '```json\n[{"bbox_2d": [100, 200, 300, 400], "label": "rack"}]\n```'),
+        (2, '{"regions": [{"x0": 10, "y0": 20, "x1": 110, "y1": 90, "label": ""}]}'),
+        (3, '[{"bbox_2d": [64, 128, 1280, 512]}]'),
+        (4, "no devices here"),
+        (5, "({'bbox 2d': [500, 500, 600, 700], 'label': 'cabinet'}), {\"bbox _2d\": [0, 0, 250, 250]}, {bbox_2d: [1, 2, 3"),
+        (6, 'draft [{"bbox_2d": [0, 0, 1, 1]}] final [{"bbox_2d": [0, 0, 500, 500]}, {"bbox_2d": [-2000, 0, 500, 500]}]'),
+        (7, None),
+    ]
+    got = {(r.reply_id, r.k): (r.label, r.x0, r.y0, r.x1, r.y1) for r in T.grounded_rects(spark.createDataFrame(replies, "reply_id int, text string"), 1280, 1024).collect()}
+    assert got == {
+        (1, 0): ("rack", 128.0, 204.8, 384.0, 409.6),
+        (2, 0): ("device", 10.0, 20.0, 110.0, 90.0),
+        (3, 0): ("device", 64.0, 128.0, 1280.0, 512.0),
+        (5, 0): ("cabinet", 640.0, 512.0, 768.0, 716.8), (5, 1): ("device", 0.0, 0.0, 320.0, 256.0),
+        (6, 0): ("device", 0.0, 0.0, 640.0, 512.0), (6, 1): ("device", 0.0, 0.0, 500.0, 500.0),
+    }
