@@ -190,7 +190,10 @@ class Transducer:
         return last, back
 
     def _relaxed_merges(self, text: str) -> tuple[list, list]:
-        """The same where only neighbours weigh, 0 or infinite: a place that is reached at all is reached at 0."""
+        """The same where only neighbours weigh, 0 or infinite: a place that is reached at all is reached at 0.
+
+        So the end of the text is settled as soon as it is reached, and the arcs of later places are left out.
+        """
         n, root, known = len(text), self.trie, self.pair.get
         last: list = [None] * (n + 1)
         back = [0] * (n + 1)
@@ -212,6 +215,8 @@ class Transducer:
                         w = self.beside(before, piece)
                     if w == 0.0:
                         last[j], back[j] = piece, i
+            if last[n] is not None:
+                break
             if last[i + 1] is None and ((child := root.get(text[i])) is None or child[1] is None):
                 piece = self.spell(text[i])
                 if self.beside(before, piece) == 0.0:
