@@ -41,12 +41,12 @@ def nested(rects: DataFrame) -> DataFrame:
 
 def covered_share(rects: DataFrame, steps: int = 20) -> DataFrame:
     """view_id, rect_id, share: part of a grid over each rectangle that lies in any other of its view."""
-    grid = rects.select("view_id", "rect_id", *SIDES, F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1))).alias("s"))
-    at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * (k + 0.5) / steps
-    grid = grid.withColumns({"gx": at("x0", "x1", F.col("s") % steps), "gy": at("y0", "y1", F.floor(F.col("s") / steps))})
-    others = pairs(rects).select("view_id", "rect_id", *(f"{s}_b" for s in SIDES))
-    hit = grid.join(others, ["view_id", "rect_id"]).where(F.col("gx").between(F.col("x0_b"), F.col("x1_b")) & F.col("gy").between(F.col("y0_b"), F.col("y1_b")))
-    n = hit.groupBy("view_id", "rect_id").agg(F.countDistinct("s").alias("n"))
+    at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * F.lit(k + 0.5) / steps
+    bits = lambda lo, hi: sum((F.when(at(lo, hi, k).between(F.col(f"{lo}_b"), F.col(f"{hi}_b")), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(steps)), F.lit(0).cast("bigint"))
+    # Another rectangle covers whole columns by whole rows of the grid, so a row is a number of bits; numbers of all others are joined by or.
+    others = pairs(rects).select("view_id", "rect_id", bits("x0", "x1").alias("across"), bits("y0", "y1").alias("down"))
+    n = others.groupBy("view_id", "rect_id").agg(*(F.bit_or(F.when(F.col("down").bitwiseAND(F.lit(1 << k)) != 0, F.col("across")).otherwise(F.lit(0).cast("bigint"))).alias(f"r{k}") for k in range(steps)))
+    n = n.select("view_id", "rect_id", sum((F.bit_count(f"r{k}") for k in range(1, steps)), F.bit_count("r0")).alias("n"))
     return rects.join(n, ["view_id", "rect_id"], "left").select("view_id", "rect_id", (F.coalesce("n", F.lit(0)) / float(steps * steps)).alias("share"))
 
 
