@@ -42,6 +42,7 @@ SHAPED = {
     "agent_confidence": NEAR,
     "clusters_covered": ((fitting, "points_in_rects", 1),),
     "column_slice": NEAR,
+    "diag_support": NEAR,
 }
 
 
