@@ -43,6 +43,7 @@ SHAPED = {
     "clusters_covered": ((fitting, "points_in_rects", 1),),
     "column_slice": NEAR,
     "diag_support": NEAR,
+    "extended_face_supported": NEAR,
 }
 
 
