@@ -44,6 +44,7 @@ SHAPED = {
     "column_slice": NEAR,
     "diag_support": NEAR,
     "extended_face_supported": NEAR,
+    "face_coverage": NEAR,
 }
 
 
