@@ -45,6 +45,7 @@ SHAPED = {
     "diag_support": NEAR,
     "extended_face_supported": NEAR,
     "face_coverage": NEAR,
+    "face_support": NEAR,
 }
 
 
