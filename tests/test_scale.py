@@ -46,6 +46,7 @@ SHAPED = {
     "extended_face_supported": NEAR,
     "face_coverage": NEAR,
     "face_support": NEAR,
+    "furniture_filter": NEAR,
 }
 
 
