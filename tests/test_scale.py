@@ -47,6 +47,7 @@ SHAPED = {
     "face_coverage": NEAR,
     "face_support": NEAR,
     "furniture_filter": NEAR,
+    "near_boxes_mask": (NEAR[1],),
 }
 
 
