@@ -50,6 +50,7 @@ SHAPED = {
     "near_boxes_mask": (NEAR[1],),
     "outer_wall_filter": (NEAR[0],),
     "own_points": NEAR,
+    "probe_filled": NEAR,
 }
 
 
