@@ -11,32 +11,33 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geometry import fold_quarter, principal_axis, rotate
-from .spatial import neighbour_cells, scene_keys
+from .spatial import neighbour_cells, places, scene_keys
 
 
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def quantiles(values: DataFrame, keys: list[str], v: str, shares: list[float], bins: int = 4096) -> DataFrame:
+def quantiles(values: DataFrame, keys: list[str], v: str, shares: list[float], bins: int = 4096, weight: str | None = None) -> DataFrame:
     """keys, q array<double>: exact quantiles (between neighbours in rank by straight line) of v in each group; nulls left out.
 
     Values are counted in bins of each group's range first; only the bins that hold
-    a wanted rank are looked at value by value, and equal values as one.
+    a wanted rank are looked at value by value, and equal values as one.  ``weight``
+    names a column that tells how often a row's value counts.
     """
-    rows = values.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("__v"), *([] if keys else [F.lit(0).alias("__all")]))
+    rows = values.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("__v"), (F.col(weight) if weight else F.lit(1)).alias("__w"), *([] if keys else [F.lit(0).alias("__all")]))
     keys_ = keys or ["__all"]
-    stats = rows.groupBy(*keys_).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    stats = rows.groupBy(*keys_).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__w").alias("__n"))
     at = F.least(F.coalesce(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(0)), F.lit(bins - 1))
-    binned = rows.join(stats, keys_).select(*keys_, "__n", "__v", at.alias("__bin"))
+    binned = rows.join(stats, keys_).select(*keys_, "__n", "__v", "__w", at.alias("__bin"))
     running = Window.partitionBy(*keys_).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = binned.groupBy(*keys_, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n")).withColumn("__to", F.sum("__c").over(running))
+    counts = binned.groupBy(*keys_, "__bin").agg(F.sum("__w").alias("__c"), F.max("__n").alias("__n")).withColumn("__to", F.sum("__c").over(running))
     rank = lambda q, f: f(F.lit(float(q)) * (F.col("__n") - 1)).cast("bigint")
     wanted = F.array_distinct(F.array(*(rank(q, f) for q in shares for f in (F.floor, F.ceil))))
     held = counts.withColumn("__ranks", F.filter(wanted, lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).where(F.size("__ranks") > 0)
     held = held.select(*keys_, "__bin", "__ranks", "__n", (F.col("__to") - F.col("__c")).alias("__from"))
     inner = Window.partitionBy(*keys_, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = binned.drop("__n").join(held, [*keys_, "__bin"]).groupBy(*keys_, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__ranks").alias("__ranks"), F.first("__from").alias("__from"), F.first("__n").alias("__n"))
+    near = binned.drop("__n").join(held, [*keys_, "__bin"]).groupBy(*keys_, "__bin", "__v").agg(F.sum("__w").alias("__c"), F.first("__ranks").alias("__ranks"), F.first("__from").alias("__from"), F.first("__n").alias("__n"))
     near = near.withColumn("__to", F.col("__from") + F.sum("__c").over(inner))
     found = near.select(*keys_, "__n", "__v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).alias("__rank"))
     by_rank = found.groupBy(*keys_).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"), F.max("__n").alias("__n"))
@@ -175,7 +176,10 @@ def side_supported_span(values: DataFrame, key: str, v: str, lo: float, hi: floa
 
 
 def voxel_means(points: DataFrame, voxel: float = 0.25) -> DataFrame:
-    """i, j, n and mean x, y of the points of each column of the grid."""
+    """i, j, n and mean x, y of the points (or places with __n) of each column of the grid."""
+    if "__n" in points.columns:
+        mean = lambda c: F.sum(F.col(c) * F.col("__n")) / F.sum("__n")
+        return points.groupBy(F.floor(F.col("x") / voxel).alias("i"), F.floor(F.col("y") / voxel).alias("j")).agg(F.sum("__n").alias("n"), mean("x").alias("mx"), mean("y").alias("my"))
     return points.groupBy(F.floor(F.col("x") / voxel).alias("i"), F.floor(F.col("y") / voxel).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
 
 
@@ -257,8 +261,8 @@ def floor_spike(points: DataFrame, cell: float = 0.05) -> DataFrame:
 # Neighbours
 
 
-def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """n, d, x2, y2, z2 of the k nearest other points of each point; ``points`` is a written table with a number n.
+def nearest(points: DataFrame, k: int, cell: float | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """n, d, x2, y2, z2, n2 of the k nearest other points of each point (of ``asked``, a part of them); ``points`` is a written table with a number n.
 
     Exact: a search in the 27 cells around finds all neighbours within one cell
     width; points with fewer than k of these are searched again with twice the
@@ -273,7 +277,8 @@ def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
         held = points.select(*scene, *(F.floor(a).alias(a) for a in "xyz")).distinct().count()
         cell = min(reach, max(0.02, (k * held / (4.0 * max(1, ends[3]))) ** (1 / 3)))
     sizes = points.groupBy(*scene).agg(F.count(F.lit(1)).alias("__own"))
-    left = points.join(sizes, scene) if scene else points.crossJoin(F.broadcast(sizes))  # without scenes one row
+    left = points if asked is None else asked
+    left = left.join(sizes, scene) if scene else left.crossJoin(F.broadcast(sizes))  # without scenes one row
     done = None
     while True:
         keys = [F.floor(F.col(a) / cell).alias(c) for c, a in zip("ijk", "xyz")]
@@ -285,7 +290,7 @@ def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
             pairs = pairs.where(F.col("d") <= cell)
         ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("d", "n2"))).where(F.col("rn") <= k)
         full = F.max("rn").over(Window.partitionBy("n")) >= F.least(F.lit(k), F.col("__own") - 1)
-        near = checkpointed(ranked.withColumn("full", full).where("full").select("n", "d", "x2", "y2", "z2"))
+        near = checkpointed(ranked.withColumn("full", full).where("full").select("n", "d", "x2", "y2", "z2", "n2"))
         done = near if done is None else done.union(near)
         left = checkpointed(left.join(near.select("n").distinct(), "n", "left_anti").where("__own > 1"))
         if last or left.isEmpty():
@@ -293,32 +298,57 @@ def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
         cell *= 2
 
 
+def weighted_nearest(rows: DataFrame, k: int, cell: float | None) -> DataFrame | None:
+    """n, d, x2, y2, z2 and __t, how many of its points count, of the places around each place of fewer than k points; None if there is no such.
+
+    ``rows`` are written places with a number n.  Points at one place are each
+    other's nearest; only what is missing to k is taken from around.
+    """
+    few = rows.where(F.col("__n") < k)
+    most = few.agg(F.min("__n")).first()[0]
+    if most is None:
+        return None
+    near = nearest(rows, k - most, cell, few).join(rows.select(F.col("n").alias("n2"), F.col("__n").alias("__m")), "n2").join(few.select("n", "__n"), "n")
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy("n").orderBy("d", "n2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return near.withColumn("__t", F.greatest(F.lit(0), F.least("__m", k - F.col("__n") - before)))
+
+
 def nearest_distances(points: DataFrame, k: int = 20, cell: float | None = None) -> DataFrame:
-    """points with mean_d: mean distance to the k nearest points, the point itself counted as one at 0 (null without others)."""
+    """(scene_id,) x, y, z of each place with __n, its points, and mean_d: their mean distance to the k nearest points, the point itself counted as one at 0 (null without others)."""
     from .rects import checkpointed
 
-    rows = checkpointed(points.withColumn("n", F.monotonically_increasing_id()))
-    near = nearest(rows, k - 1, cell).groupBy("n").agg((F.sum("d") / (F.count(F.lit(1)) + 1)).alias("mean_d"))
-    return rows.join(near, "n", "left").select(*points.columns, "mean_d")
+    rows = checkpointed(places(points).withColumn("n", F.monotonically_increasing_id()))
+    near = weighted_nearest(rows, k, cell)
+    if near is None:
+        return rows.select("*", F.lit(0.0).alias("mean_d")).drop("n")
+    found = near.groupBy("n").agg(F.sum(F.col("d") * F.col("__t")).alias("__d"), F.sum("__t").alias("__t"))
+    mean = F.when(F.col("__n") >= k, F.lit(0.0)).when(F.col("__t").isNotNull(), F.col("__d") / (F.col("__t") + F.col("__n"))).when(F.col("__n") > 1, F.lit(0.0))
+    return rows.join(found, "n", "left").withColumn("mean_d", mean).drop("n", "__d", "__t")
 
 
 def upright(points: DataFrame, k: int = 20, most: float = 0.5, cell: float | None = None) -> DataFrame:
-    """Points on upright surfaces: the normal of the k nearest points (itself included) leans less than ``most`` towards z."""
+    """Places (with __n) on upright surfaces: the normal of the k nearest points (itself included) leans less than ``most`` towards z."""
     from .rects import checkpointed
 
-    rows = checkpointed(points.withColumn("n", F.monotonically_increasing_id()))
-    own = rows.select("n", F.lit(0.0).alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
-    axes = ("x2", "y2", "z2")
-    moments = [F.covar_pop(a, b).alias(f"{a[0]}{b[0]}") for i, a in enumerate(axes) for b in axes[i:]]
-    cov = nearest(rows, k - 1, cell).union(own).groupBy("n").agg(*moments)
+    spots = points if "__n" in points.columns else places(points)
+    rows = checkpointed(spots.withColumn("n", F.monotonically_increasing_id()))
+    near = weighted_nearest(rows, k, cell)
+    if near is None:
+        return spots
+    off = near.join(rows.select("n", "x", "y", "z"), "n").select("n", "__n", "__t", *((F.col(f"{a}2") - F.col(a)).alias(a) for a in "xyz"))
+    # Moments of the offsets from the place, where its own points have none.
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = off.groupBy("n").agg((F.sum("__t") + F.max("__n")).alias("w"), *(F.sum(F.col("__t") * F.col(a)).alias(a) for a in "xyz"), *(F.sum(F.col("__t") * F.col(a) * F.col(b)).alias(a + b) for a, b in pairs))
+    cov = sums.select("n", *((F.col(a + b) / F.col("w") - F.col(a) / F.col("w") * F.col(b) / F.col("w")).alias(a + b) for a, b in pairs))
 
     @F.pandas_udf("double")
     def lean(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
         m = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2)
         return pd.Series(np.abs(np.linalg.eigh(m)[1][:, 2, 0]))
 
-    kept = cov.select("n", lean("xx", "xy", "xz", "yy", "yz", "zz").alias("lean")).where(F.col("lean") < most)
-    return rows.join(kept.select("n"), "n", "left_semi").select(*points.columns)
+    # Where all points are one place, the normal is the first axis by rule.
+    leans = rows.join(cov.select("n", lean("xx", "xy", "xz", "yy", "yz", "zz").alias("lean")), "n", "left")
+    return leans.where(F.coalesce("lean", F.lit(0.0)) < most).select(*spots.columns)
 
 
 def hash_sample(points: DataFrame, most: int, columns=("x", "y", "z")) -> DataFrame:
@@ -335,12 +365,18 @@ def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | N
     Scenes of fewer than ``least`` points, and those that would keep fewer than
     ``least_kept``, stay as they are.
     """
+    from .rects import checkpointed
+
     scene = scene_keys(points)
     key = scene or ["__all"]
-    near = nearest_distances(points, k, cell)
+    near = checkpointed(nearest_distances(points, k, cell))
     near = near if scene else near.withColumn("__all", F.lit(0))
-    stats = near.groupBy(*key).agg(F.avg("mean_d").alias("__m"), F.stddev_samp("mean_d").alias("__s"), F.count(F.lit(1)).alias("__n"))
-    marked = near.join(stats, key).withColumn("__keep", F.col("mean_d") < F.col("__m") + ratio * F.col("__s"))
-    kept = marked.groupBy(*key).agg(F.sum(F.col("__keep").cast("bigint")).alias("__kept"))
-    raw = (F.col("__n") < least) | (F.coalesce("__kept", F.lit(0)) < least_kept)
-    return marked.join(kept, key).where(raw | F.col("__keep")).select(*points.columns)
+    found = near.where("mean_d is not null")
+    means = found.groupBy(*key).agg((F.sum(F.col("mean_d") * F.col("__n")) / F.sum("__n")).alias("__m"), F.sum("__n").alias("__d"))
+    off = found.join(means, key).groupBy(*key).agg(F.sqrt(F.sum((F.col("mean_d") - F.col("__m")) ** 2 * F.col("__n")) / F.when(F.max("__d") > 1, F.max("__d") - 1)).alias("__s"))
+    sizes = near.groupBy(*key).agg(F.sum("__n").alias("__all_n"))
+    marked = near.join(sizes.join(means, key, "left").join(off, key, "left"), key).withColumn("__keep", F.col("mean_d") < F.col("__m") + ratio * F.col("__s"))
+    kept = marked.groupBy(*key).agg(F.sum(F.when(F.col("__keep"), F.col("__n"))).alias("__kept"))
+    raw = (F.col("__all_n") < least) | (F.coalesce("__kept", F.lit(0)) < least_kept)
+    place = [*scene, "x", "y", "z"]
+    return points.join(marked.join(kept, key).where(raw | F.col("__keep")).select(*place), place, "left_semi").select(*points.columns)

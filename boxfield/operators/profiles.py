@@ -18,11 +18,11 @@ from .estimators import quantiles
 BIN = 0.05
 
 
-def profiles(values: DataFrame, keys: list[str], v: str, cell: float = BIN) -> DataFrame:
-    """keys, low, total, bins array<struct<bin,n>>: bins start at each group's smallest value."""
-    rows = values.select(*keys, F.col(v).alias("__v"))
-    low = rows.groupBy(*keys).agg(F.min("__v").alias("low"), F.count("__v").alias("total"))
-    counted = rows.join(low, keys).groupBy(*keys, "low", "total", F.floor((F.col("__v") - F.col("low")) / cell).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def profiles(values: DataFrame, keys: list[str], v: str, cell: float = BIN, weight: str | None = None) -> DataFrame:
+    """keys, low, total, bins array<struct<bin,n>>: bins start at each group's smallest value; a row counts as often as ``weight`` says."""
+    rows = values.select(*keys, F.col(v).alias("__v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("__w"))
+    low = rows.groupBy(*keys).agg(F.min("__v").alias("low"), F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w"))), F.lit(0)).alias("total"))
+    counted = rows.join(low, keys).groupBy(*keys, "low", "total", F.floor((F.col("__v") - F.col("low")) / cell).alias("bin")).agg(F.sum("__w").alias("n"))
     return counted.groupBy(*keys, "low", "total").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
 
 
@@ -105,22 +105,22 @@ def gap(n: np.ndarray, strong: float = 0.25, wide: float = 0.30, side: float = 0
 # Over tables
 
 
-def body_tops(columns: DataFrame, keys: list[str], z: str = "z", least: int = 5) -> DataFrame:
+def body_tops(columns: DataFrame, keys: list[str], z: str = "z", least: int = 5, weight: str | None = None) -> DataFrame:
     """keys, top: upper edge of the body of each column of at least ``least`` heights."""
-    p = read(profiles(columns, keys, z).where(F.col("total") >= least), keys, body_end, ("first", "end"))
+    p = read(profiles(columns, keys, z, weight=weight).where(F.col("total") >= least), keys, body_end, ("first", "end"))
     return p.select(*keys, (F.col("low") + F.col("end") * BIN).alias("top"))
 
 
-def peak_spans(values: DataFrame, keys: list[str], v: str, least: int = 30) -> DataFrame:
+def peak_spans(values: DataFrame, keys: list[str], v: str, least: int = 30, weight: str | None = None) -> DataFrame:
     """keys, lo, hi: span of the peaks of each profile of at least ``least`` values; outer percentiles where that is short or there is no peak."""
-    p = read(profiles(values, keys, v).where(F.col("total") >= least), keys, peaks, ("first", "end"))
+    p = read(profiles(values, keys, v, weight=weight).where(F.col("total") >= least), keys, peaks, ("first", "end"))
     lo, hi = F.col("low") + F.col("first") * BIN, F.col("low") + F.col("end") * BIN
     q0, q1 = F.col("q")[0], F.col("q")[1]
     ok = F.coalesce(hi - lo >= 0.65 * (q1 - q0), F.lit(False))
-    return p.join(quantiles(values, keys, v, [0.005, 0.995]), keys).select(*keys, F.when(ok, lo).otherwise(q0).alias("lo"), F.when(ok, hi).otherwise(q1).alias("hi"))
+    return p.join(quantiles(values, keys, v, [0.005, 0.995], weight=weight), keys).select(*keys, F.when(ok, lo).otherwise(q0).alias("lo"), F.when(ok, hi).otherwise(q1).alias("hi"))
 
 
-def gap_middles(values: DataFrame, keys: list[str], v: str, side: float = 0.40) -> DataFrame:
+def gap_middles(values: DataFrame, keys: list[str], v: str, side: float = 0.40, weight: str | None = None) -> DataFrame:
     """keys, middle: where each profile is split; null where it has no gap."""
-    p = read(profiles(values, keys, v), keys, lambda n: gap(n, side=side), ("first", "end"))
+    p = read(profiles(values, keys, v, weight=weight), keys, lambda n: gap(n, side=side), ("first", "end"))
     return p.select(*keys, (F.col("low") + (F.col("first") + F.col("end")) / 2 * BIN).alias("middle"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import layout as L
 from ..operators import profiles, spans as N
-from ..operators.spatial import inside
+from ..operators.spatial import by_shape, inside, places
 from ..sources import layouts as J
 from .cloud_queries import r, rs
 from .sql_views import BOX, POINTS, PRED, given, inside as sql_inside, near
@@ -201,7 +201,8 @@ def anchored_top(spark, d):
 
 @query()
 def region_axis_span(spark, d):
-    return profiles.peak_spans(inside(V.points(spark, d), V.boxes(spark, d)), ["box_id"], "u").withColumns({"lo": r("lo"), "hi": r("hi")})
+    spans = lambda shapes: profiles.peak_spans(inside(places(V.points(spark, d)), shapes), ["box_id"], "u", weight="__n")
+    return by_shape(V.boxes(spark, d), spans, "inner").select("box_id", r("lo").alias("lo"), r("hi").alias("hi"))
 
 
 # Records

@@ -51,6 +51,7 @@ SHAPED = {
     "outer_wall_filter": (NEAR[0],),
     "own_points": NEAR,
     "probe_filled": NEAR,
+    "region_axis_span": NEAR,
 }
 
 
