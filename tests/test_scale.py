@@ -52,6 +52,7 @@ SHAPED = {
     "own_points": NEAR,
     "probe_filled": NEAR,
     "region_axis_span": NEAR,
+    "region_axis_span_mesh": NEAR,
 }
 
 
