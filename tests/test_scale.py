@@ -53,6 +53,7 @@ SHAPED = {
     "probe_filled": NEAR,
     "region_axis_span": NEAR,
     "region_axis_span_mesh": NEAR,
+    "region_floor_and_slice": NEAR,
 }
 
 
