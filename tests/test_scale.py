@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from boxfield.operators import estimators, fitting, layout, spatial, support, trims
+from boxfield.operators import estimators, fitting, layout, masks, spatial, support, trims
 from boxfield.operators import rects as R
 from boxfield.plans import registry
 from conftest import SF
@@ -80,3 +83,22 @@ def test_a_shape_is_measured_once(spark, copies, monkeypatch, name):
         key = list(rows.columns)
         a, b = (x.sort_values(key).reset_index(drop=True) for x in (rows, want))
         pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)
+
+
+def test_visible_points_meet_the_cloud_before_boxes(spark, monkeypatch):
+    """The cloud is not joined with boxes, and the rows are those of all pairs."""
+    rng = np.random.default_rng(1)
+    cloud = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-0.9, 0.9, (3000, 3)))]
+    lifted = [(1, i, 0, *map(float, p)) for i, p in enumerate(rng.uniform(-0.9, 0.9, (60, 3)))]
+    given = [(7, 0.1, 0.0, 0.0, 0.6, 0.5, 0.6, 0.3), (9, 0.1, 0.0, 0.0, 0.6, 0.5, 0.6, 0.3), (8, -0.3, 0.2, 0.1, 0.4, 0.4, 0.4, 0.0)]
+    calls, real = [], masks.inside
+    monkeypatch.setattr(masks, "inside", lambda *a, **k: calls.append(a[1].count()) or real(*a, **k))
+    out = masks.visible_points(spark.createDataFrame(lifted, "view_id bigint, px int, py int, x double, y double, z double"), spark.createDataFrame(cloud, "pt_id bigint, x double, y double, z double"), spark.createDataFrame(given, "box_id bigint, cx double, cy double, cz double, sl double, sw double, sh double, yaw double"))
+    got = sorted((r.box_id, r.px) for r in out.collect())
+
+    def held(p, b, margin):
+        dx, dy, c, s = p[0] - b[1], p[1] - b[2], math.cos(b[7]), math.sin(b[7])
+        return abs(dx * c + dy * s) <= b[4] / 2 + margin and abs(dy * c - dx * s) <= b[5] / 2 + margin and abs(p[2] - b[3]) <= b[6] / 2 + margin
+
+    want = sorted((b[0], p[1]) for b in given for p in lifted if held(p[3:], b, 0.25) and any(math.dist(p[3:], q[1:]) <= 0.06 and held(q[1:], b, 0.30) for q in cloud))
+    assert got == want and len(want) > 3 and calls == [2]
