@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import corners
 from .layout import overlaps
 from .rects import checkpointed
-from .spatial import near_points
+from .spatial import by_shape, near_points, places
 
 FLOOR, SLACK, BIN, BAND = 0.30, 0.05, 0.05, 0.06
 GUARD_POINTS, OVERHEAD, OVERHEAD_SHARE, ABOVE = 12, 8, 0.50, 0.15
@@ -44,13 +44,18 @@ def trimmed_tops(points: DataFrame, boxes: DataFrame) -> DataFrame:
     the top if it is dense and it and its neighbours fill most of the cells that
     the lower body fills; the highest such slice is the new top, if it is worth it.
     """
+    return by_shape(boxes, lambda shapes: _tops(places(points), shapes)).withColumns({"cz": F.col("__cz"), "sh": F.col("__h")}).select(*boxes.columns, "trimmed")
+
+
+def _tops(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """box_id, trimmed, __cz, __h: the new centre and height of each box; ``points`` are places."""
     low = FLOOR - F.col("sh") / 2
     column = near_points(points, boxes, SLACK).where((F.abs("u") <= F.col("sl") / 2 + SLACK) & (F.abs("v") <= F.col("sw") / 2 + SLACK) & (F.col("k") > low))
     part = lambda a, s: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((F.col(a) + F.col(s) / 2) / F.col(s) * CELLS)))
     tall = F.col("sh") - FLOOR
     height = F.col("k") - low
-    keyed = column.select("box_id", "sh", F.floor(height / BIN).alias("bin"), (part("u", "sl") * CELLS + part("v", "sw")).alias("cell"), height.between(0.20 * tall, 0.55 * tall).alias("ref"))
-    counts = keyed.groupBy("box_id", "sh", "bin", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ref").cast("bigint")).alias("refs"))
+    keyed = column.select("box_id", "sh", "__n", F.floor(height / BIN).alias("bin"), (part("u", "sl") * CELLS + part("v", "sw")).alias("cell"), height.between(0.20 * tall, 0.55 * tall).alias("ref"))
+    counts = keyed.groupBy("box_id", "sh", "bin", "cell").agg(F.sum("__n").alias("n"), F.sum(F.when(F.col("ref"), F.col("__n")).otherwise(0)).alias("refs"))
     counts = checkpointed(counts)
     body = counts.groupBy("box_id", "cell").agg(F.sum("refs").alias("r")).where(F.col("r") >= CELL_POINTS).select("box_id", "cell")
     enough = counts.groupBy("box_id").agg(F.sum("n").alias("total")).where(F.col("total") >= TOP_POINTS).select("box_id")
@@ -65,7 +70,7 @@ def trimmed_tops(points: DataFrame, boxes: DataFrame) -> DataFrame:
     new = FLOOR + (F.col("bin") + 1) * BIN
     cut = F.coalesce((F.col("sh") - new >= WORTH) & (new >= 0.30) & (tall >= 2 * BIN), F.lit(False))
     out = boxes.join(tops, "box_id", "left").withColumn("trimmed", cut).withColumn("__h", F.when(F.col("trimmed"), new).otherwise(F.col("sh")))
-    return out.withColumns({"cz": F.col("cz") - (F.col("sh") - F.col("__h")) / 2, "sh": F.col("__h")}).select(*boxes.columns, "trimmed")
+    return out.select("box_id", "trimmed", (F.col("cz") - (F.col("sh") - F.col("__h")) / 2).alias("__cz"), "__h")
 
 
 def nested_cuts(points: DataFrame, boxes: DataFrame, group: str | None = None) -> DataFrame:

@@ -58,6 +58,7 @@ SHAPED = {
     "region_axis_span_mesh": NEAR,
     "region_floor_and_slice": NEAR,
     "free_row_end": ((layout, "strip_points", 1),),
+    "trim_sparse_top": NEAR,
 }
 
 
