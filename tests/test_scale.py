@@ -59,6 +59,7 @@ SHAPED = {
     "region_floor_and_slice": NEAR,
     "free_row_end": ((layout, "strip_points", 1),),
     "trim_sparse_top": NEAR,
+    "denoise_cloud": ((estimators, "nearest", 0),),
 }
 
 
