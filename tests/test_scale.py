@@ -60,6 +60,7 @@ SHAPED = {
     "free_row_end": ((layout, "strip_points", 1),),
     "trim_sparse_top": NEAR,
     "denoise_cloud": ((estimators, "nearest", 0),),
+    "yaw_vote": ((estimators, "nearest", 0),),
 }
 
 
