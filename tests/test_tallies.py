@@ -52,7 +52,7 @@ def test_cells_far_apart_need_no_row_each():
 
 
 #: Queries that count where the points are: the join by cells is not made for them.
-TALLIED = ["diag_support", "extended_face_supported"]
+TALLIED = ["diag_support", "extended_face_supported", "face_coverage"]
 
 
 @pytest.mark.parametrize("name", TALLIED)
