@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geometry import fold_quarter, principal_axis, rotate
+from . import spatial
 from .spatial import neighbour_cells, places, scene_keys
+from .tallies import Box, Near, within
 
 
 def share(condition: Column) -> Column:
@@ -30,27 +33,84 @@ def quantiles(values: DataFrame, keys: list[str], v: str, shares: list[float], b
     stats = rows.groupBy(*keys_).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__w").alias("__n"))
     at = F.least(F.coalesce(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(0)), F.lit(bins - 1))
     binned = rows.join(stats, keys_).select(*keys_, "__n", "__v", "__w", at.alias("__bin"))
-    running = Window.partitionBy(*keys_).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = binned.groupBy(*keys_, "__bin").agg(F.sum("__w").alias("__c"), F.max("__n").alias("__n")).withColumn("__to", F.sum("__c").over(running))
-    rank = lambda q, f: f(F.lit(float(q)) * (F.col("__n") - 1)).cast("bigint")
-    wanted = F.array_distinct(F.array(*(rank(q, f) for q in shares for f in (F.floor, F.ceil))))
+    held = ranked_bins(binned.groupBy(*keys_, "__bin").agg(F.sum("__w").alias("__c")), keys_, shares)
+    near = binned.drop("__n").join(held.select(*keys_, "__bin"), [*keys_, "__bin"]).groupBy(*keys_, "__bin", "__v").agg(F.sum("__w").alias("__c"))
+    return at_ranks(near, held, keys_, shares).select(*keys, "q")
+
+
+def _rank(q: float, f: Callable[[Column], Column]) -> Column:
+    return f(F.lit(float(q)) * (F.col("__n") - 1)).cast("bigint")
+
+
+def ranked_bins(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys, __bin, __ranks, __n, __from: the bins (of keys, __bin, __c) that hold a rank wanted for ``shares``, and how many values come before."""
+    group = Window.partitionBy(*keys)
+    running = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumns({"__to": F.sum("__c").over(running), "__n": F.sum("__c").over(group)})
+    wanted = F.array_distinct(F.array(*(_rank(q, f) for q in shares for f in (F.floor, F.ceil))))
     held = counts.withColumn("__ranks", F.filter(wanted, lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).where(F.size("__ranks") > 0)
-    held = held.select(*keys_, "__bin", "__ranks", "__n", (F.col("__to") - F.col("__c")).alias("__from"))
-    inner = Window.partitionBy(*keys_, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = binned.drop("__n").join(held, [*keys_, "__bin"]).groupBy(*keys_, "__bin", "__v").agg(F.sum("__w").alias("__c"), F.first("__ranks").alias("__ranks"), F.first("__from").alias("__from"), F.first("__n").alias("__n"))
-    near = near.withColumn("__to", F.col("__from") + F.sum("__c").over(inner))
-    found = near.select(*keys_, "__n", "__v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).alias("__rank"))
-    by_rank = found.groupBy(*keys_).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"), F.max("__n").alias("__n"))
+    return held.select(*keys, "__bin", "__ranks", "__n", (F.col("__to") - F.col("__c")).alias("__from"))
+
+
+def at_ranks(near: DataFrame, held: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys, q array<double> from the values (keys, __bin, __v, __c) of the bins ``held``."""
+    inner = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.join(held, [*keys, "__bin"]).withColumn("__to", F.col("__from") + F.sum("__c").over(inner))
+    found = near.select(*keys, "__n", "__v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")))).alias("__rank"))
+    by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"), F.max("__n").alias("__n"))
 
     def value(q: float):
         exact = F.lit(float(q)) * (F.col("__n") - 1)
-        low, high = F.col("__m")[rank(q, F.floor)], F.col("__m")[rank(q, F.ceil)]
+        low, high = F.col("__m")[_rank(q, F.floor)], F.col("__m")[_rank(q, F.ceil)]
         part = exact - F.floor(exact)
         return F.when(low == high, low).otherwise((1 - part) * low + part * high)
 
     return by_rank.select(*keys, F.array(*(value(q) for q in shares)).alias("q"))
 
 
+def box_quantiles(points: DataFrame, boxes: DataFrame, axes: dict[str, str], shares: list[float], inner: Callable = within, asked: Callable[[Column], Column] | None = None, bins: int = 256) -> DataFrame:
+    """box_id, n, top and q_<axis> array<double>: how many points ``inner(box, points)`` takes of each box, their largest k, and exact quantiles along ``axes`` (axis -> its size).
+
+    Points are counted in bins of each box first, where they are; a second pass over the
+    points gives the values of the bins that hold a wanted rank.  ``asked`` (of n) tells the boxes
+    whose quantiles are wanted; the others' are null.
+    """
+    from .rects import checkpointed
+
+    names = list(axes.items())
+    at = lambda b, p, hit, axis, size: np.clip(np.floor((getattr(p, axis)[hit] / getattr(b, size) + 0.5) * bins), 0, bins - 1).astype(np.int64)
+
+    def count(b: Box, p: Near):
+        if not len(hit := inner(b, p)):
+            return None
+        of = [np.bincount(at(b, p, hit, *x), minlength=bins) for x in names]
+        found = [np.flatnonzero(n) for n in of]
+        part = np.repeat(np.arange(len(names)), [len(f) for f in found])
+        return part, np.concatenate(found), np.concatenate([n[f] for n, f in zip(of, found)]), np.full(len(part), p.k[hit].max())
+
+    def values(b: Box, p: Near):
+        hit = inner(b, p)
+        out = []
+        for i, (axis, size) in enumerate(names):
+            own = at(b, p, hit, axis, size)
+            wanted = np.zeros(bins, bool)
+            wanted[[x["__bin"] for x in b.more["__wanted"] if x["part"] == i]] = True
+            keep = wanted[own]
+            out.append((np.full(np.count_nonzero(keep), i), own[keep], getattr(p, axis)[hit[keep]]))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    near = spatial.near_points
+    counts = checkpointed(near(points, boxes, tally=count, ddl="part int, __bin int, n bigint, top double").groupBy("box_id", "part", "__bin").agg(F.sum("n").alias("__c"), F.max("top").alias("top")))
+    sizes = counts.where("part = 0").groupBy("box_id").agg(F.sum("__c").alias("n"), F.max("top").alias("top"))
+    some = sizes.where(asked(F.col("n"))) if asked else sizes
+    key = ["box_id", "part"]
+    held = checkpointed(ranked_bins(counts.join(some.select("box_id"), "box_id", "left_semi").drop("top"), key, shares))
+    wanted = boxes.join(held.groupBy("box_id").agg(F.collect_list(F.struct("part", "__bin")).alias("__wanted")), "box_id")
+    found = near(points, wanted, tally=values, ddl="part int, __bin int, __v double", more=("__wanted",)).groupBy(*key, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    q = at_ranks(found, held, key, shares).groupBy("box_id").agg(*(F.max(F.when(F.col("part") == i, F.col("q"))).alias(f"q_{axis}") for i, (axis, _) in enumerate(names)))
+    return sizes.join(q, "box_id", "left")
+
+
 def cloud_summary(points: DataFrame) -> DataFrame:
     """One row: size, bounds, height percentiles, share in the device band, distinct 0.1 m columns."""
     voxels = points.select(F.floor(F.col("x") / 0.1).alias("i"), F.floor(F.col("y") / 0.1).alias("j")).distinct().agg(F.count(F.lit(1)).alias("xy_voxels"))

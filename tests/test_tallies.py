@@ -28,14 +28,14 @@ def test_tallies_count_what_pairs_hold(spark, monkeypatch, scenes):
     monkeypatch.setattr(tallies, "BOXES_AT_ONCE", 4)
     monkeypatch.setattr(tallies, "ROWS_AT_ONCE", 500)
     points, boxes = made(spark, scenes)
-    size = lambda b, near, u, v, k, z: (np.array([len(support.within(b, near, u, v, k, 0.1))]),)
+    size = lambda b, p: (np.array([len(tallies.within(b, p, 0.1))]),)
     got = {r.box_id: r.n for r in spatial.near_points(points, boxes, 0.1, tally=size, ddl="n bigint").groupBy("box_id").agg({"n": "sum"}).toDF("box_id", "n").collect() if r.n}
     pairs = spatial.inside(points, boxes, 0.1)
     assert got == {r.box_id: r["count"] for r in pairs.groupBy("box_id").count().collect()} and len(got) > 6
 
-    def mark(b, near, u, v, k, z):
-        hit = np.zeros(len(u), bool)
-        hit[support.within(b, near, u, v, k, 0.1)] = True
+    def mark(b, p):
+        hit = np.zeros(len(p.u), bool)
+        hit[tallies.within(b, p, 0.1)] = True
         return hit
 
     met = [r.pt_id for r in spatial.near_points(points, boxes, 0.1, mark=mark).collect()]
@@ -52,7 +52,7 @@ def test_cells_far_apart_need_no_row_each():
 
 
 #: Queries that count where the points are: the join by cells is not made for them.
-TALLIED = ["diag_support", "extended_face_supported", "face_coverage", "face_support", "furniture_filter"]
+TALLIED = ["diag_support", "extended_face_supported", "face_coverage", "face_support", "furniture_filter", "near_boxes_mask"]
 
 
 @pytest.mark.parametrize("name", TALLIED)
