@@ -52,7 +52,7 @@ def test_cells_far_apart_need_no_row_each():
 
 
 #: Queries that count where the points are: the join by cells is not made for them.
-TALLIED = ["diag_support", "extended_face_supported", "face_coverage", "face_support", "furniture_filter", "near_boxes_mask", "probe_filled", "region_axis_span_mesh"]
+TALLIED = ["diag_support", "extended_face_supported", "face_coverage", "face_support", "furniture_filter", "near_boxes_mask", "probe_filled", "region_axis_span_mesh", "region_floor_and_slice"]
 
 
 @pytest.mark.parametrize("name", TALLIED)
