@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from .common import column, text_udf
-from .pieces import PieceModel
+from .pieces import SPACE, PieceModel
 
 LENGTH = 4096
 GROUP_BYTES = 16 << 20
 PAD = 0
+#: Words whose ids a worker remembers.
+WORDS = 250_000
 PACKED = "pack_id bigint, length int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{id}>, parts array<int>, starts array<bigint>"
 _encoders: dict = {}
 
@@ -92,13 +94,41 @@ def id_type(model: PieceModel) -> str:
     return "<u2" if len(model.pieces) <= 1 << 16 else "<i4"
 
 
-def encoder(data: bytes, key: int) -> SentencePieceProcessor:
-    """The library for this model, once for each worker process."""
+def encoder(data: bytes, key: int) -> Words:
+    """The library for this model and the words it has encoded, once for each worker process."""
     if key not in _encoders:
-        _encoders[key] = SentencePieceProcessor(model_proto=data)
+        _encoders[key] = Words(SentencePieceProcessor(model_proto=data), PieceModel(data))
     return _encoders[key]
 
 
+class Words(dict):
+    """Ids, as bytes, of the words between single spaces, each encoded by the library when it is first met.
+
+    No piece has a space behind another character (``PieceModel`` refuses models that do),
+    so a word's ids are the same alone, where the library puts a space before it.  Texts
+    with runs of spaces or escaped ones, and models that put no space before, are encoded whole.
+    """
+
+    def __init__(self, library: SentencePieceProcessor, model: PieceModel, limit: int = WORDS) -> None:
+        super().__init__()
+        self.library, self.apart, self.limit = library, model.dummy_prefix, limit
+        self.code = "H" if id_type(model) == "<u2" else "i"
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; all words that are new to the batch go to the library at once."""
+        code = self.code
+        parts = [t.split(" ") for t in texts]
+        cut = [self.apart and SPACE not in t and "" not in p for t, p in zip(texts, parts)]
+        if len(self) >= self.limit:
+            self.clear()
+        new = {w for p, c in zip(parts, cut) if c for w in p if w not in self}
+        new = list(new)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.update((w, array(code, x).tobytes()) for w, x in zip(some, self.library.encode(some, num_threads=1)))
+        return [b"".join(map(self.__getitem__, p)) if c else array(code, self.library.encode(t)).tobytes() for t, p, c in zip(texts, parts, cut)]
+
+
 def split(ids: bytes, width: int, length: int) -> list[dict]:
     """Parts of at most ``length`` ids of ``width`` bytes each."""
     step = width * length
@@ -112,13 +142,14 @@ def token_parts(docs: DataFrame, data: bytes, *, doc_id="doc_id", text="text", l
     kind = id_type(PieceModel(data))
 
     def make():
-        library = encoder(sent.value, key)
+        words = encoder(sent.value, key)
         width = np.dtype(kind).itemsize
-        code = "H" if width == 2 else "i"
 
         def work(batch):
-            ids = library.encode([t.decode() if t else "" for t in batch], num_threads=1)
-            return {"parts": [split(array(code, x).tobytes(), width, length) for x in ids]}
+            parts = []
+            for at in range(0, len(batch), 64):  # new words of a few texts at a time
+                parts += [split(x, width, length) for x in words.encode([t.decode() if t else "" for t in batch[at : at + 64]])]
+            return {"parts": parts}
 
         return work
 

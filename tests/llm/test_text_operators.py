@@ -791,3 +791,28 @@ def test_crf_learns_from_lines_behind_the_first_hundred():
     model = quality_crf.fit([quality_crf.with_neighbours(f) for f, _ in feats], [w for _, w in feats], np.array([y for _, y in rows_]))
     scores = model.score(np.array([model.badness(t) for t, _ in rows_]))
     assert ((scores >= 0.5) == np.array([y == 1 for _, y in rows_])).all()
+
+
+def test_packing_encodes_a_word_once():
+    """A word goes to the library once; texts that can't be cut at spaces go whole; ids are those of whole texts."""
+    from sentencepiece import SentencePieceProcessor
+
+    from boxfield.llm.pieces import PieceModel
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        model = PieceModel(f.read())
+    library, asked = SentencePieceProcessor(model_file=path), []
+
+    class Watched:
+        def encode(self, x, **more):
+            asked.extend([x] if isinstance(x, str) else x)
+            return library.encode(x, **more)
+
+    rng = random.Random(6)
+    texts = ["one two one", "", " lead", "tail ", "a  b", "a ▁b"] + ["".join(rng.choice("abé  ▁\n日.") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    words = packing.Words(Watched(), model)
+    first = words.encode(texts[:1])
+    assert asked and sorted(asked) == ["one", "two"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in first + words.encode(texts[1:])]
+    assert got == library.encode(texts)
