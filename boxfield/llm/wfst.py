@@ -12,7 +12,8 @@ Three machines are compiled from a model, offline:
   stands at its end (at its start) while the piece is merged, and the rank of its
   next merge meanwhile.  No text is merged when it is encoded.
 
-They are composed lazily with each input: a state is a place in the text and the
+They are composed lazily with each input, in a merge model stretch by stretch between
+neighbouring characters that stand side by side in no piece: a state is a place in the text and the
 last piece, and the arcs are relaxed in the tropical semiring in text order.
 Merging never crosses a border that the two pieces beside it would not cross on
 their own, so in a merge model one path of finite weight leads to any place.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import codecs
 import math
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, Segments
 #: What a character spelled in bytes costs beyond the heaviest piece of a unigram model.
 FALLBACK = 10.0
 START = -1
+#: Stretches whose ids a worker remembers.
+STRETCHES = 350_000
 _encoders: dict = {}
 
 codecs.register_error("pieces", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -48,11 +52,15 @@ class Normaliser:
     """One state; ``arcs`` holds what differs from identity, ``first`` what the arc from the start writes."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.arcs = str.maketrans({" ": SPACE})
+        self.arcs = ((" ", SPACE),)
         self.first = SPACE if model.dummy_prefix else ""
 
     def __call__(self, text: str) -> str:
-        return self.first + text.translate(self.arcs) if text else ""
+        if not text:
+            return ""
+        for read, written in self.arcs:
+            text = text.replace(read, written)
+        return self.first + text
 
 
 class Neighbours:
@@ -112,6 +120,10 @@ class Transducer:
         self.names: dict[int, str] = {i: p for p, i in model.ids.items()}
         self.written: dict[int, bytes] = {i: i.to_bytes(4, "little") for i in self.names}
         self.spelled: dict[str, int] = {}
+        #: Neighbouring characters inside any piece: no arc and no merge crosses a place between two others.
+        self.inner = frozenset(p[i : i + 2] for p in model.ids for i in range(len(p) - 1))
+        #: What is written for each stretch without such a place that has been met.
+        self.stretches: dict[str, bytes] = {}
         #: Weight of each neighbour pair that has been met, by first * 2**20 + second.
         self.pair: dict[int, float] = {}
         self.trie: dict = {}
@@ -223,10 +235,35 @@ class Transducer:
                     last[i + 1], back[i + 1] = piece, i
         return last, back
 
-    def encoder(self, limit: int = 400_000) -> Segments:
+    def output(self, text: str) -> bytes:
+        """What the lightest path through a normalised text writes; in a merge model it is composed stretch by stretch.
+
+        There all paths of finite weight weigh the same, so the lightest path is made of those of the stretches.
+        """
+        inner = self.inner
+        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner] if self.merged else []
+        if not cuts:
+            return self._written(text)
+        at, out = 0, []
+        for i in cuts:
+            out.append(self._written(text[at:i]))
+            at = i
+        out.append(self._written(text[at:]))
+        return b"".join(out)
+
+    def _written(self, text: str) -> bytes:
+        found = self.stretches.get(text)
+        if found is None:
+            found = b"".join(map(self.written.__getitem__, self.shortest(text)))
+            if len(text) <= 64:
+                if len(self.stretches) >= STRETCHES:
+                    self.stretches.clear()
+                self.stretches[text] = found
+        return found
+
+    def encoder(self, limit: int = 150_000) -> Segments:
         """Ids of parts as little-endian 32-bit bytes."""
-        write, shortest = self.written.__getitem__, self.shortest
-        return Segments(self.model, lambda s: b"".join(map(write, shortest(s))), b"".join, limit=limit, normalise=self.normalise)
+        return Segments(self.model, self.output, b"".join, limit=limit, normalise=self.normalise)
 
 
 class Decoder:

@@ -793,6 +793,22 @@ def test_crf_learns_from_lines_behind_the_first_hundred():
     assert ((scores >= 0.5) == np.array([y == 1 for _, y in rows_])).all()
 
 
+def test_sentencepiece_composes_stretches_apart():
+    """Stretches between characters that no piece has side by side are relaxed one by one and once; ids are the library's."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    machine = wfst.Transducer(wfst.read_model(path))
+    seen, real = [], machine.shortest
+    machine.shortest = lambda text: seen.append(text) or real(text)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeé ▁\n日😀.th") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    known, library = machine.encoder(), SentencePieceProcessor(model_file=path)
+    got = [np.frombuffer(b"".join(known.values_of(t)), "<i4").tolist() for t in texts]
+    assert got == library.encode(texts)
+    assert len(seen) == len(set(seen)) and all(s[i : i + 2] in machine.inner for s in seen for i in range(len(s) - 1))
+
+
 def test_packing_encodes_a_word_once():
     """A word goes to the library once; texts that can't be cut at spaces go whole; ids are those of whole texts."""
     from sentencepiece import SentencePieceProcessor
