@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .estimators import quantiles
 
 BIN = 0.05
+#: Shares between which the values lie that a short span falls back on.
+OUTER = (0.005, 0.995)
 
 
 def profiles(values: DataFrame, keys: list[str], v: str, cell: float = BIN, weight: str | None = None) -> DataFrame:
@@ -107,17 +109,26 @@ def gap(n: np.ndarray, strong: float = 0.25, wide: float = 0.30, side: float = 0
 
 def body_tops(columns: DataFrame, keys: list[str], z: str = "z", least: int = 5, weight: str | None = None) -> DataFrame:
     """keys, top: upper edge of the body of each column of at least ``least`` heights."""
-    p = read(profiles(columns, keys, z, weight=weight).where(F.col("total") >= least), keys, body_end, ("first", "end"))
+    return tops_in(profiles(columns, keys, z, weight=weight).where(F.col("total") >= least), keys)
+
+
+def tops_in(bins: DataFrame, keys: list[str]) -> DataFrame:
+    p = read(bins, keys, body_end, ("first", "end"))
     return p.select(*keys, (F.col("low") + F.col("end") * BIN).alias("top"))
 
 
 def peak_spans(values: DataFrame, keys: list[str], v: str, least: int = 30, weight: str | None = None) -> DataFrame:
     """keys, lo, hi: span of the peaks of each profile of at least ``least`` values; outer percentiles where that is short or there is no peak."""
-    p = read(profiles(values, keys, v, weight=weight).where(F.col("total") >= least), keys, peaks, ("first", "end"))
+    return spans_in(profiles(values, keys, v, weight=weight), quantiles(values, keys, v, list(OUTER), weight=weight), keys, least)
+
+
+def spans_in(bins: DataFrame, outer: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
+    """``peak_spans`` from profiles and q, their quantiles at OUTER."""
+    p = read(bins.where(F.col("total") >= least), keys, peaks, ("first", "end"))
     lo, hi = F.col("low") + F.col("first") * BIN, F.col("low") + F.col("end") * BIN
     q0, q1 = F.col("q")[0], F.col("q")[1]
     ok = F.coalesce(hi - lo >= 0.65 * (q1 - q0), F.lit(False))
-    return p.join(quantiles(values, keys, v, [0.005, 0.995], weight=weight), keys).select(*keys, F.when(ok, lo).otherwise(q0).alias("lo"), F.when(ok, hi).otherwise(q1).alias("hi"))
+    return p.join(outer, keys).select(*keys, F.when(ok, lo).otherwise(q0).alias("lo"), F.when(ok, hi).otherwise(q1).alias("hi"))
 
 
 def gap_middles(values: DataFrame, keys: list[str], v: str, side: float = 0.40, weight: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from boxfield.operators import spatial, support, tallies, trims
+from boxfield.operators import fitting, spatial, support, tallies, trims
 from boxfield.plans import registry
 
 BOX = "box_id bigint, cx double, cy double, cz double, sl double, sw double, sh double, yaw double"
@@ -66,3 +66,10 @@ def test_pairs_are_no_rows(spark, sf, monkeypatch, name):
 
         monkeypatch.setattr(module, "near_points", watched)
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_points_of_rectangles_are_no_rows(spark, sf, monkeypatch):
+    """Rectangles are fitted without a join with points; only deep ones, of which there are none here, are cut by one."""
+    monkeypatch.setattr(fitting, "points_in_rects", lambda *a, **k: pytest.fail("pairs of points and rectangles are rows"))
+    rows = registry.QUERIES["fit_region_boxes"](spark, sf).collect()
+    assert rows and {r.part for r in rows} == {0}
