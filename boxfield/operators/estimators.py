@@ -425,6 +425,12 @@ def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | N
     Scenes of fewer than ``least`` points, and those that would keep fewer than
     ``least_kept``, stay as they are.
     """
+    place = [*scene_keys(points), "x", "y", "z"]
+    return points.join(denoised_places(points, k, ratio, cell, least, least_kept).select(*place), place, "left_semi").select(*points.columns)
+
+
+def denoised_places(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | None = None, least: int = 1000, least_kept: int = 100) -> DataFrame:
+    """(scene_id,) x, y, z of the places that ``denoised`` keeps, with __n, their points; where only sums over points are wanted, they need not be joined back."""
     from .rects import checkpointed
 
     scene = scene_keys(points)
@@ -439,4 +445,5 @@ def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | N
     kept = marked.groupBy(*key).agg(F.sum(F.when(F.col("__keep"), F.col("__n"))).alias("__kept"))
     raw = (F.col("__all_n") < least) | (F.coalesce("__kept", F.lit(0)) < least_kept)
     place = [*scene, "x", "y", "z"]
-    return points.join(marked.join(kept, key).where(raw | F.col("__keep")).select(*place), place, "left_semi").select(*points.columns)
+    known = " and ".join(f"{c} is not null" for c in place)
+    return marked.join(kept, key).where(raw | F.col("__keep")).where(known).select(*place, "__n")

@@ -107,3 +107,10 @@ def test_visible_points_meet_the_cloud_before_boxes(spark, monkeypatch):
 
     want = sorted((b[0], p[1]) for b in given for p in lifted if held(p[3:], b, 0.25) and any(math.dist(p[3:], q[1:]) <= 0.06 and held(q[1:], b, 0.30) for q in cloud))
     assert got == want and len(want) > 3 and calls == [2]
+
+
+def test_denoised_points_are_not_joined_back_for_sums(spark, sf):
+    """The query sums over places; the cloud is read once, for these."""
+    out = registry.QUERIES["denoise_cloud"](spark, sf)
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().n > 0
