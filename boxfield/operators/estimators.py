@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.geometry import fold_quarter, principal_axis, rotate
 from . import spatial
+from .neighbours import Tiles, mean_distance, normal_lean
 from .spatial import neighbour_cells, places, scene_keys
 from .tallies import Box, Near, within
 
@@ -321,94 +322,58 @@ def floor_spike(points: DataFrame, cell: float = 0.05) -> DataFrame:
 # Neighbours
 
 
-def nearest(points: DataFrame, k: int, cell: float | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """n, d, x2, y2, z2, n2 of the k nearest other points of each point (of ``asked``, a part of them); ``points`` is a written table with a number n.
+def nearest(pieces: DataFrame, tiles: Tiles, measure: Callable, cell: float | None = None) -> DataFrame:
+    """(scene_id,) x, y, z, __n, v, r: what ``measure`` finds of the k nearest points of each place, in the tile that holds it.
 
-    Exact: a search in the 27 cells around finds all neighbours within one cell
-    width; points with fewer than k of these are searched again with twice the
-    width, until none is left.  Scenes with no more than k points take what they have.
+    Exact: cells of a tile widen until the k nearest are certain; where they may lie
+    beyond what the tile holds, r tells how far to look (``Tiles.neighbours``).
     """
-    from .rects import checkpointed
-
-    scene = scene_keys(points)
-    ends = points.agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count(F.lit(1))).first()
-    reach = max(*(e or 0.0 for e in ends[:3]), 1e-6)
-    if cell is None:  # about k points within one cell, by how many a metre cube holds
-        held = points.select(*scene, *(F.floor(a).alias(a) for a in "xyz")).distinct().count()
-        cell = min(reach, max(0.02, (k * held / (4.0 * max(1, ends[3]))) ** (1 / 3)))
-    sizes = points.groupBy(*scene).agg(F.count(F.lit(1)).alias("__own"))
-    left = points if asked is None else asked
-    left = left.join(sizes, scene) if scene else left.crossJoin(F.broadcast(sizes))  # without scenes one row
-    done = None
-    while True:
-        keys = [F.floor(F.col(a) / cell).alias(c) for c, a in zip("ijk", "xyz")]
-        around = neighbour_cells(points.select(*scene, *keys, *(F.col(a).alias(f"{a}2") for a in "xyz"), F.col("n").alias("n2")), ["i", "j", "k"])
-        d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
-        pairs = left.select("*", *keys).join(around, [*scene, "i", "j", "k"]).where("n <> n2").select("n", "__own", d.alias("d"), "x2", "y2", "z2", "n2")
-        last = cell >= 2 * reach
-        if not last:
-            pairs = pairs.where(F.col("d") <= cell)
-        ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("d", "n2"))).where(F.col("rn") <= k)
-        full = F.max("rn").over(Window.partitionBy("n")) >= F.least(F.lit(k), F.col("__own") - 1)
-        near = checkpointed(ranked.withColumn("full", full).where("full").select("n", "d", "x2", "y2", "z2", "n2"))
-        done = near if done is None else done.union(near)
-        left = checkpointed(left.join(near.select("n").distinct(), "n", "left_anti").where("__own > 1"))
-        if last or left.isEmpty():
-            return done
-        cell *= 2
-
-
-def weighted_nearest(rows: DataFrame, k: int, cell: float | None) -> DataFrame | None:
-    """n, d, x2, y2, z2 and __t, how many of its points count, of the places around each place of fewer than k points; None if there is no such.
-
-    ``rows`` are written places with a number n.  Points at one place are each
-    other's nearest; only what is missing to k is taken from around.
-    """
-    few = rows.where(F.col("__n") < k)
-    most = few.agg(F.min("__n")).first()[0]
-    if most is None:
-        return None
-    near = nearest(rows, k - most, cell, few).join(rows.select(F.col("n").alias("n2"), F.col("__n").alias("__m")), "n2").join(few.select("n", "__n"), "n")
-    before = F.coalesce(F.sum("__m").over(Window.partitionBy("n").orderBy("d", "n2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return near.withColumn("__t", F.greatest(F.lit(0), F.least("__m", k - F.col("__n") - before)))
+    return tiles.measured(pieces, measure, cell)
 
 
 def nearest_distances(points: DataFrame, k: int = 20, cell: float | None = None) -> DataFrame:
-    """(scene_id,) x, y, z of each place with __n, its points, and mean_d: their mean distance to the k nearest points, the point itself counted as one at 0 (null without others)."""
-    from .rects import checkpointed
+    """(scene_id,) x, y, z of each place with __n, its points, and mean_d: their mean distance to the k nearest points, the point itself counted as one at 0 (null without others, and where a coordinate is missing).
+
+    ``cell`` is the width of cells that is tried first.
+    """
+    from .rects import written
 
-    rows = checkpointed(places(points).withColumn("n", F.monotonically_increasing_id()))
-    near = weighted_nearest(rows, k, cell)
-    if near is None:
-        return rows.select("*", F.lit(0.0).alias("mean_d")).drop("n")
-    found = near.groupBy("n").agg(F.sum(F.col("d") * F.col("__t")).alias("__d"), F.sum("__t").alias("__t"))
-    mean = F.when(F.col("__n") >= k, F.lit(0.0)).when(F.col("__t").isNotNull(), F.col("__d") / (F.col("__t") + F.col("__n"))).when(F.col("__n") > 1, F.lit(0.0))
-    return rows.join(found, "n", "left").withColumn("mean_d", mean).drop("n", "__d", "__t")
+    tiles = Tiles(points, k)
+    place = [*tiles.scene, "x", "y", "z", "__n"]
+    found = written(nearest(tiles.pieces(), tiles, mean_distance, cell))
+    rest = places(points.where(f"not ({tiles.known})")).select(*place, F.lit(None).cast("double").alias("mean_d"))
+    open_ = found.where("r is not null")
+    if not open_.isEmpty():
+        sums = tiles.neighbours(open_).groupBy(*tiles.scene, "x", "y", "z").agg(F.sum(F.col("d") * F.col("__t")).alias("__d"), F.sum("__t").alias("__t"))
+        mean = F.when(F.col("__t").isNotNull(), F.col("__d") / (F.col("__t") + F.col("__n"))).when(F.col("__n") > 1, F.lit(0.0))
+        rest = rest.unionByName(open_.select(*place).join(sums, place[:-1], "left").select(*place, mean.alias("mean_d")))
+    return found.where("r is null").select(*place, F.col("v").alias("mean_d")).unionByName(written(rest))
 
 
 def upright(points: DataFrame, k: int = 20, most: float = 0.5, cell: float | None = None) -> DataFrame:
     """Places (with __n) on upright surfaces: the normal of the k nearest points (itself included) leans less than ``most`` towards z."""
-    from .rects import checkpointed
+    from .rects import written
 
-    spots = points if "__n" in points.columns else places(points)
-    rows = checkpointed(spots.withColumn("n", F.monotonically_increasing_id()))
-    near = weighted_nearest(rows, k, cell)
-    if near is None:
-        return spots
-    off = near.join(rows.select("n", "x", "y", "z"), "n").select("n", "__n", "__t", *((F.col(f"{a}2") - F.col(a)).alias(a) for a in "xyz"))
+    tiles = Tiles(points, k)
+    place = [*tiles.scene, "x", "y", "z"]
+    # Where all points are one place, the normal is the first axis by rule.
+    found = written(nearest(tiles.pieces(), tiles, normal_lean, cell).where((F.col("v") < most) | F.col("r").isNotNull()))
+    sure, open_ = found.where("r is null").select(*place, "__n"), found.where("r is not null")
+    if open_.isEmpty():
+        return sure
+    off = tiles.neighbours(open_).select(*place, "__n", "__t", *((F.col(f"{a}2") - F.col(a)).alias(f"d{a}") for a in "xyz"))
     # Moments of the offsets from the place, where its own points have none.
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    sums = off.groupBy("n").agg((F.sum("__t") + F.max("__n")).alias("w"), *(F.sum(F.col("__t") * F.col(a)).alias(a) for a in "xyz"), *(F.sum(F.col("__t") * F.col(a) * F.col(b)).alias(a + b) for a, b in pairs))
-    cov = sums.select("n", *((F.col(a + b) / F.col("w") - F.col(a) / F.col("w") * F.col(b) / F.col("w")).alias(a + b) for a, b in pairs))
+    sums = off.groupBy(*place).agg((F.sum("__t") + F.max("__n")).alias("w"), *(F.sum(F.col("__t") * F.col(f"d{a}")).alias(f"m{a}") for a in "xyz"), *(F.sum(F.col("__t") * F.col(f"d{a}") * F.col(f"d{b}")).alias(a + b) for a, b in pairs))
+    cov = sums.select(*place, *((F.col(a + b) / F.col("w") - F.col(f"m{a}") / F.col("w") * F.col(f"m{b}") / F.col("w")).alias(a + b) for a, b in pairs))
 
     @F.pandas_udf("double")
     def lean(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
         m = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2)
         return pd.Series(np.abs(np.linalg.eigh(m)[1][:, 2, 0]))
 
-    # Where all points are one place, the normal is the first axis by rule.
-    leans = rows.join(cov.select("n", lean("xx", "xy", "xz", "yy", "yz", "zz").alias("lean")), "n", "left")
-    return leans.where(F.coalesce("lean", F.lit(0.0)) < most).select(*spots.columns)
+    leans = open_.select(*place, "__n").join(cov.select(*place, lean("xx", "xy", "xz", "yy", "yz", "zz").alias("lean")), place, "left")
+    return sure.unionByName(written(leans.where(F.coalesce("lean", F.lit(0.0)) < most).select(*place, "__n")))
 
 
 def hash_sample(points: DataFrame, most: int, columns=("x", "y", "z")) -> DataFrame:
@@ -431,19 +396,19 @@ def denoised(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | N
 
 def denoised_places(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float | None = None, least: int = 1000, least_kept: int = 100) -> DataFrame:
     """(scene_id,) x, y, z of the places that ``denoised`` keeps, with __n, their points; where only sums over points are wanted, they need not be joined back."""
-    from .rects import checkpointed
-
     scene = scene_keys(points)
     key = scene or ["__all"]
-    near = checkpointed(nearest_distances(points, k, cell))
+    near = nearest_distances(points, k, cell)
     near = near if scene else near.withColumn("__all", F.lit(0))
+    # Without scenes the sums are one row; a join on a constant would send all places to one task.
+    beside = lambda a, b: a.join(b, key) if scene else a.crossJoin(F.broadcast(b.drop("__all")))
     found = near.where("mean_d is not null")
     means = found.groupBy(*key).agg((F.sum(F.col("mean_d") * F.col("__n")) / F.sum("__n")).alias("__m"), F.sum("__n").alias("__d"))
-    off = found.join(means, key).groupBy(*key).agg(F.sqrt(F.sum((F.col("mean_d") - F.col("__m")) ** 2 * F.col("__n")) / F.when(F.max("__d") > 1, F.max("__d") - 1)).alias("__s"))
+    off = beside(found, means).groupBy(*key).agg(F.sqrt(F.sum((F.col("mean_d") - F.col("__m")) ** 2 * F.col("__n")) / F.when(F.max("__d") > 1, F.max("__d") - 1)).alias("__s"))
     sizes = near.groupBy(*key).agg(F.sum("__n").alias("__all_n"))
-    marked = near.join(sizes.join(means, key, "left").join(off, key, "left"), key).withColumn("__keep", F.col("mean_d") < F.col("__m") + ratio * F.col("__s"))
+    marked = beside(near, sizes.join(means, key, "left").join(off, key, "left")).withColumn("__keep", F.col("mean_d") < F.col("__m") + ratio * F.col("__s"))
     kept = marked.groupBy(*key).agg(F.sum(F.when(F.col("__keep"), F.col("__n"))).alias("__kept"))
     raw = (F.col("__all_n") < least) | (F.coalesce("__kept", F.lit(0)) < least_kept)
     place = [*scene, "x", "y", "z"]
     known = " and ".join(f"{c} is not null" for c in place)
-    return marked.join(kept, key).where(raw | F.col("__keep")).where(known).select(*place, "__n")
+    return beside(marked, kept).where(raw | F.col("__keep")).where(known).select(*place, "__n")
